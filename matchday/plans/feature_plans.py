@@ -50,7 +50,7 @@ SELECT game_id, n_home, n_away,
        CASE WHEN least(n_home, n_away) >= 5 THEN h5w - a5w END AS last5_win_rate_diff,
        CASE WHEN least(n_home, n_away) >= 5 THEN h5m - a5m END AS last5_margin_diff,
        CASE WHEN least(n_home, n_away) >= 5 THEN CAST(hr - ar AS DOUBLE) END AS rest_days_diff
-FROM asof"""
+FROM prior"""
 
 
 def asof_sql(targets: str) -> str:
@@ -69,7 +69,7 @@ GROUP BY t.game_id"""
     return f"""
 targets AS (SELECT *, CAST(starts_at AS DATE) AS date FROM ({targets})),
 ahome AS ({side('home')}), aaway AS ({side('away')}),
-asof AS (SELECT h.game_id, h.n AS n_home, a.n AS n_away, h.w AS hw, a.w AS aw, h.f AS hf, a.f AS af, h.a AS ha, a.a AS aa, h.m AS hm, a.m AS am,
+prior AS (SELECT h.game_id, h.n AS n_home, a.n AS n_away, h.w AS hw, a.w AS aw, h.f AS hf, a.f AS af, h.a AS ha, a.a AS aa, h.m AS hm, a.m AS am,
                 h.w5 AS h5w, a.w5 AS a5w, h.m5 AS h5m, a.m5 AS a5m, h.r AS hr, a.r AS ar
          FROM ahome h JOIN aaway a ON a.game_id = h.game_id)"""
 

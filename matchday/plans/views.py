@@ -2,6 +2,13 @@
 
 from matchday.plans.registry import view
 from matchday.sources.adapter import ZERO_LINE
+from matchday.sources.fixtures import FIXTURES
+
+
+class _Names(dict):
+    def __missing__(self, key):
+        return key
+
 
 view("teams", "SELECT CAST(n_nationkey AS STRING) AS team_id, n_name AS name FROM nation")
 
@@ -52,7 +59,7 @@ GROUP BY p.league, p.season, p.game_id""")
 view("line_counts", "SELECT game_id, CAST(count(*) AS INT) AS n FROM lines GROUP BY game_id")
 
 view("player_imports", """
-SELECT g.game_id, g.season, g.season_type, g.home, g.away,
+SELECT g.league, g.game_id, g.season, g.season_type, g.home, g.away,
        CAST(c.n + CASE WHEN CAST(g.game_id AS BIGINT) % 10 = 0 THEN 1 ELSE 0 END AS INT) AS line_count
 FROM games g JOIN line_counts c ON c.game_id = g.game_id""")
 
@@ -127,3 +134,6 @@ view("examples", """
 SELECT league, season, season_type, game_id, date, week, win_rate_diff, points_for_diff, points_against_diff, margin_diff,
        last5_win_rate_diff, last5_margin_diff, rest_days_diff, CASE WHEN home_score > away_score THEN 1 ELSE 0 END AS target
 FROM classified WHERE fate = 'eligible'""")
+
+for _name, _sql in FIXTURES.items():
+    view(_name, _sql.format_map(_Names()))

@@ -7,6 +7,7 @@ views it uses, and Catalyst prunes their columns down to the Parquet scans.
 from __future__ import annotations
 
 from functools import cached_property
+from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import Window as W
 
 from matchday.functions.domain import KEY
 from matchday.session import configure
+from matchday.sources.fixtures import FIXTURES
 
 ZERO_LINE = (
     '{"minutes":"--","fouls":"0","blocks":"0","points":"0","steals":"0","assists":"0","rebounds":"0",'
@@ -27,6 +29,20 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = configure(spark)
         self.sf_dir = sf_dir
+        self._views: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        """A view by name: a property of this class, or one of the shared SQL fixtures."""
+        if name not in self._views:
+            if name in FIXTURES:
+                text = FIXTURES[name]
+                used = {f for _, f, _, _ in Formatter().parse(text) if f}
+                self._views[name] = self.spark.sql(text, **{u: self[u] for u in used})
+            elif isinstance(getattr(type(self), name, None), cached_property):
+                self._views[name] = getattr(self, name)
+            else:
+                self._views[name] = self.raw(name)
+        return self._views[name]
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -145,7 +161,7 @@ class Tables:
         counts = self.lines.groupBy("game_id").agg(F.count("*").cast("int").alias("line_count"))
         off = F.when(F.col("game_id").cast("bigint") % 10 == 0, 1).otherwise(0)
         return self.games.join(counts, "game_id").select(
-            "game_id", "season", "season_type", "home", "away",
+            "league", "game_id", "season", "season_type", "home", "away",
             (F.col("line_count") + off).alias("line_count"))
 
     @cached_property
