@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from matchday.functions.domain import KEY
+from matchday.operators import features
 from matchday.session import configure
 from matchday.sources.fixtures import FIXTURES
 
@@ -114,6 +115,10 @@ class Tables:
             .when((F.col("line") == 4) & (F.col("category") == "passing"), passing)
             .otherwise(general).alias("stats_json"))
 
+    @cached_property
+    def examples(self) -> DataFrame:
+        return features.examples(self.games)
+
     # --- observations over time ------------------------------------------------------------
     @cached_property
     def snapshots(self) -> DataFrame:

@@ -6,8 +6,9 @@ rule on ids, so every rule of the operators fires at every scale while no row is
 
 FIXTURES = {
     "league_teams": """
-SELECT l.league, t.team_id, t.name, concat('N', t.team_id) AS abbreviation
-FROM {teams} t JOIN (SELECT DISTINCT league FROM {games}) l ON CAST(t.team_id AS INT) % 7 <> 3 OR l.league = 'NBA'""",
+SELECT 'NBA' AS league, team_id, name, concat('N', team_id) AS abbreviation FROM {teams}
+UNION ALL
+SELECT 'NFL', team_id, name, concat('N', team_id) FROM {teams} WHERE CAST(team_id AS INT) % 7 <> 3""",
 
     "team_manifest": """
 SELECT league, home AS team_id FROM {games} UNION SELECT league, away FROM {games}""",
@@ -103,7 +104,7 @@ SELECT league AS report_league, season AS report_season, season_type AS report_s
        CAST(away_score AS STRING) AS away_score,
        CASE WHEN CAST(game_id AS BIGINT) % 10 = 0 THEN 'false' ELSE 'true' END AS player_import_complete,
        CASE WHEN CAST(game_id AS BIGINT) % 53 = 0 THEN '0' WHEN CAST(game_id AS BIGINT) % 54 = 0 THEN '' ELSE CAST(week AS STRING) END AS week
-FROM {games} g JOIN (SELECT CAST(0 AS INT) AS copy UNION ALL SELECT 1) c ON c.copy = 0 OR CAST(g.game_id AS BIGINT) % 49 = 0
+FROM (SELECT * FROM {games} UNION ALL SELECT * FROM {games} WHERE CAST(game_id AS BIGINT) % 49 = 0) g
 WHERE status = 'final'""",
 
     "export_players": """
@@ -116,7 +117,7 @@ SELECT league AS report_league, season AS report_season, season_type AS report_s
        stats_json,
        CASE WHEN CAST(player_id AS BIGINT) % 25 = 0 THEN 'did_not_play' WHEN CAST(player_id AS BIGINT) % 24 = 0 THEN 'absent'
             WHEN did_not_play THEN 'did_not_play' ELSE 'reported' END AS participation_status
-FROM {stored_lines} l JOIN (SELECT CAST(0 AS INT) AS copy UNION ALL SELECT 1) c ON c.copy = 0 OR CAST(l.player_id AS BIGINT) % 27 = 0""",
+FROM (SELECT * FROM {stored_lines} UNION ALL SELECT * FROM {stored_lines} WHERE CAST(player_id AS BIGINT) % 27 = 0) l""",
 
     "export_reports": """
 SELECT k.league, k.season, k.season_type, CAST(CASE WHEN k.season = 1996 THEN 2 ELSE 4 END AS INT) AS schema_version,
@@ -126,4 +127,15 @@ SELECT k.league, k.season, k.season_type, CAST(CASE WHEN k.season = 1996 THEN 2
 FROM (SELECT league, season, season_type, count(*) AS n FROM {games} WHERE status = 'final' GROUP BY league, season, season_type) k
 LEFT JOIN (SELECT league, season, season_type, count(*) AS n FROM {lines} GROUP BY league, season, season_type) l
   ON l.league = k.league AND l.season = k.season AND l.season_type = k.season_type""",
+
+    # Standardisation of each key's examples; the weights of the fixed models are constants of the plans.
+    "model_stats": """
+SELECT league, season, season_type, max(date) AS last_date, round(avg(target), 6) AS rate,
+       round(avg(win_rate_diff), 6) AS m1, round(avg(points_for_diff), 6) AS m2, round(avg(points_against_diff), 6) AS m3,
+       round(avg(margin_diff), 6) AS m4, round(avg(last5_win_rate_diff), 6) AS m5, round(avg(last5_margin_diff), 6) AS m6,
+       round(avg(rest_days_diff), 6) AS m7,
+       round(stddev_pop(win_rate_diff), 6) AS s1, round(stddev_pop(points_for_diff), 6) AS s2, round(stddev_pop(points_against_diff), 6) AS s3,
+       round(stddev_pop(margin_diff), 6) AS s4, round(stddev_pop(last5_win_rate_diff), 6) AS s5, round(stddev_pop(last5_margin_diff), 6) AS s6,
+       round(stddev_pop(rest_days_diff), 6) AS s7
+FROM {examples} GROUP BY league, season, season_type""",
 }
