@@ -59,8 +59,8 @@ METRICS = """count(*) AS games,
  round(avg((p - target) * (p - target)), 9) AS brier_score, round(avg(CASE WHEN (p >= 0.5) = (target = 1) THEN 1.0::DOUBLE ELSE 0 END), 9) AS accuracy"""
 
 
-def rounded(df, *names):
-    return df.select(*[F.round(c, 9).alias(c) if c in names else F.col(c) for c in df.columns])
+def rounded(df, *names, digits=9):
+    return df.select(*[F.round(c, digits).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
 def round_metrics(df):
@@ -179,19 +179,19 @@ SELECT {V}, CAST(least(floor(p * 10), 9) AS INT) AS bin, count(*) AS games, avg(
 FROM predictions GROUP BY ALL""")
 view("full_bins", f"""
 SELECT g.league, g.season, g.season_type, g.variant, g.bin, g.bin / 10.0::DOUBLE AS lower, (g.bin + 1) / 10.0::DOUBLE AS upper,
-       coalesce(b.games, 0) AS games, round(b.mean_probability, 9) AS mean_probability, round(b.observed_home_win_rate, 9) AS observed_home_win_rate
+       coalesce(b.games, 0) AS games, round(b.mean_probability, 6) AS mean_probability, round(b.observed_home_win_rate, 6) AS observed_home_win_rate
 FROM (SELECT *, CAST(unnest(range(10)) AS INT) AS bin FROM (SELECT DISTINCT {V} FROM predictions)) g LEFT JOIN bins b USING ({V}, bin)""")
 
 
 @query("calibration_bins", "SELECT * FROM full_bins")
 def _(t):
-    return rounded(op.calibration_bins(predictions(t), GROUP), "mean_probability", "observed_home_win_rate")
+    return rounded(op.calibration_bins(predictions(t), GROUP), "mean_probability", "observed_home_win_rate", digits=6)
 
 
 @query("calibration_gap", f"""
-SELECT {V}, round(sum(games * abs(mean_probability - observed_home_win_rate)) / sum(games), 9) AS calibration_gap FROM bins GROUP BY {V}""")
+SELECT {V}, round(sum(games * abs(mean_probability - observed_home_win_rate)) / sum(games), 6) AS calibration_gap FROM bins GROUP BY {V}""")
 def _(t):
-    return rounded(op.calibration_gap(predictions(t), GROUP), "calibration_gap")
+    return rounded(op.calibration_gap(predictions(t), GROUP), "calibration_gap", digits=6)
 
 
 @query("confident_predictions", f"""

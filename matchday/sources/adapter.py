@@ -85,7 +85,8 @@ class Tables:
 
     # --- player lines ----------------------------------------------------------------------
     @cached_property
-    def lines(self) -> DataFrame:
+    def line_items(self) -> DataFrame:
+        """One row per (game, part, category) of final games, with the values lines are made of."""
         item = (
             self.raw("lineitem")
             .groupBy(
@@ -97,6 +98,14 @@ class Tables:
             .withColumn("game_id", F.col("l_orderkey").cast("string"))
         )
         finals = self.games.where(F.col("status") == "final").select("game_id", *KEY, "home", "away")
+        return item.join(finals, "game_id").select(
+            "game_id", *KEY, "home", "away", F.col("l_partkey").alias("part"), "category", "line", "quantity",
+            (F.col("discount") == 0).alias("did_not_play"),
+            F.when(F.col("l_partkey") % 2 == 0, F.col("home")).otherwise(F.col("away")).alias("team_id"),
+            F.when(F.col("line") != 7, F.col("line") <= 3).alias("starter"))
+
+    @cached_property
+    def lines(self) -> DataFrame:
         line, quantity = F.col("line").cast("string"), F.col("quantity").cast("string")
         general = F.concat(
             F.lit('{"points":"'), quantity,
@@ -106,11 +115,9 @@ class Tables:
         passing = F.concat(
             F.lit('{"passingYards":"'), quantity,
             F.lit('","completions/passingAttempts":"1/2","adjQBR":"--"}'))
-        return item.join(finals, "game_id").select(
-            "game_id", *KEY, F.col("l_partkey").cast("string").alias("player_id"),
-            F.when(F.col("l_partkey") % 2 == 0, F.col("home")).otherwise(F.col("away")).alias("team_id"),
-            "category", (F.col("discount") == 0).alias("did_not_play"),
-            F.when(F.col("line") != 7, F.col("line") <= 3).alias("starter"),
+        return self.line_items.select(
+            "game_id", *KEY, F.col("part").cast("string").alias("player_id"), "team_id", "category", "did_not_play",
+            "starter",
             F.when((F.col("line") == 6) & (F.col("category") == "general"), ZERO_LINE)
             .when((F.col("line") == 4) & (F.col("category") == "passing"), passing)
             .otherwise(general).alias("stats_json"))
