@@ -1,7 +1,7 @@
 """Loads every family of registered queries."""
 
 from matchday.plans import views  # noqa: F401
-from matchday.plans import feature_plans, completeness_plans, player_plans, audit_plans, upsert_plans, export_rule_plans, browse_plans, split_plans, model_plans, raw_plans  # noqa: F401
+from matchday.plans import feature_plans, completeness_plans, player_plans, audit_plans, upsert_plans, export_rule_plans, browse_plans, split_plans, model_plans, raw_plans, publish_plans, forecast_plans, stream_plans, sink_plans  # noqa: F401
 from matchday.plans.registry import QUERIES, SQL, runnable, with_views
 
 
