@@ -7,8 +7,7 @@ one season, however many games a team (or a hot key) has.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchday.functions.domain import FEATURE_SETS, FEATURES, KEY, MINIMUM_GAMES, REGULAR
@@ -19,34 +18,29 @@ STATE = ["n", "win_rate", "mean_for", "mean_against", "mean_margin", "last5_win_
 
 
 def played(games: DataFrame) -> DataFrame:
-    return games.where(
-        (F.col("status") == "final") & F.col("home_score").isNotNull() & F.col("away_score").isNotNull())
+    return games.where("status = 'final' and home_score is not null and away_score is not null")
 
 
 def team_games(games: DataFrame) -> DataFrame:
     """Each final game once per side."""
-    side = lambda team, opponent, mine, theirs: F.struct(
-        F.col(team).alias("team"), F.col(opponent).alias("opponent"),
-        F.col(mine).alias("points_for"), F.col(theirs).alias("points_against"))
-    sides = F.array(side("home", "away", "home_score", "away_score"),
-                    side("away", "home", "away_score", "home_score"))
+    names = "'team', {}, 'opponent', {}, 'points_for', {}, 'points_against', {}"
+    sides = ", ".join(f"named_struct({names.format(*side)})" for side in (
+        ("home", "away", "home_score", "away_score"), ("away", "home", "away_score", "home_score")))
     return (
         played(games)
-        .select(*KEY, "game_id", "starts_at", F.to_date("starts_at").alias("date"), F.explode(sides).alias("s"))
+        .selectExpr(*KEY, "game_id", "starts_at", "to_date(starts_at) AS date", f"explode(array({sides})) AS s")
         .select(*KEY, "game_id", "starts_at", "date", "s.*")
     )
 
 
-def half_wins() -> Column:
-    """Two for a win, one for a tie: keeps running sums exact integers."""
-    mine, theirs = F.col("points_for"), F.col("points_against")
-    return F.when(mine > theirs, 2).when(mine == theirs, 1).otherwise(0)
+# Two for a win, one for a tie: keeps running sums exact integers.
+HALF_WINS = "CASE WHEN points_for > points_against THEN 2 WHEN points_for = points_against THEN 1 ELSE 0 END"
 
 
 def daily_totals(sides: DataFrame) -> DataFrame:
     return sides.groupBy(*TEAM, "date").agg(
-        F.count("*").alias("games"), F.sum(half_wins()).alias("half_wins"),
-        F.sum("points_for").alias("points_for"), F.sum("points_against").alias("points_against"))
+        F.expr("count(*) AS games"), F.expr(f"sum({HALF_WINS}) AS half_wins"),
+        F.expr("sum(points_for) AS points_for"), F.expr("sum(points_against) AS points_against"))
 
 
 def daily_recent(sides: DataFrame) -> DataFrame:
@@ -55,12 +49,12 @@ def daily_recent(sides: DataFrame) -> DataFrame:
     The rank filter is planned as a group limit on the map side, so at most five rows per team-day
     and input partition are shuffled.
     """
-    latest = W.partitionBy(*TEAM, "date").orderBy(F.desc("starts_at"), F.desc("game_id"))
-    entry = F.struct("starts_at", "game_id", half_wins().alias("half_wins"),
-                     (F.col("points_for") - F.col("points_against")).alias("margin"))
+    team_day = ", ".join([*TEAM, "date"])
+    entry = f"struct(starts_at, game_id, {HALF_WINS} AS half_wins, points_for - points_against AS margin)"
     return (
-        sides.withColumn("rank", F.row_number().over(latest)).where(F.col("rank") <= RECENT)
-        .groupBy(*TEAM, "date").agg(F.sort_array(F.collect_list(entry)).alias("recent"))
+        sides.selectExpr("*", f"row_number() OVER (PARTITION BY {team_day} ORDER BY starts_at DESC, game_id DESC) AS rank")
+        .where(f"rank <= {RECENT}")
+        .groupBy(*TEAM, "date").agg(F.expr(f"sort_array(collect_list({entry})) AS recent"))
     )
 
 
@@ -74,37 +68,23 @@ def team_state(games: DataFrame, ask: DataFrame | None = None) -> DataFrame:
     if ask is not None:
         asked = ask.select(*TEAM, "date").distinct()
         days = days.join(asked, [*TEAM, "date"], "full_outer")
-    ordered = W.partitionBy(*TEAM).orderBy("date")
-    before = ordered.rowsBetween(W.unboundedPreceding, -1)
-    total = lambda name: F.sum(name).over(before)
-    state = (
-        days.withColumn("n", F.coalesce(total("games"), F.lit(0)))
-        .withColumn("half", total("half_wins"))
-        .withColumn("pf", total("points_for"))
-        .withColumn("pa", total("points_against"))
-        .withColumn("previous", F.max(F.when(F.col("games").isNotNull(), F.col("date"))).over(before))
-    )
-    if ask is None:
-        last_days = ordered.rowsBetween(-RECENT, -1)
-    else:
-        # Count only dates with results, so that empty asked dates take no slot of the frame.
-        state = state.withColumn("slot", F.count("games").over(before))
-        last_days = W.partitionBy(*TEAM).orderBy("slot").rangeBetween(-RECENT, -1)
-    last5 = F.slice(F.flatten(F.collect_list("recent").over(last_days)), -RECENT, RECENT)
-    state = state.withColumn("last5", last5)
-    mean5 = lambda field, scale: F.when(
-        F.size("last5") == RECENT,
-        F.aggregate(F.col(f"last5.{field}"), F.lit(0), lambda a, x: a + x) / F.lit(scale))
-    return state.select(
+    team = ", ".join(TEAM)
+    before = f"OVER (PARTITION BY {team} ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    state = days.selectExpr(
+        "*", f"coalesce(sum(games) {before}, 0) AS n", f"sum(half_wins) {before} AS half",
+        f"sum(points_for) {before} AS pf", f"sum(points_against) {before} AS pa",
+        f"max(CASE WHEN games IS NOT NULL THEN date END) {before} AS previous", f"count(games) {before} AS slot")
+    # With asked dates the frame counts only dates with results, so that empty ones take no place in it.
+    frame = "ORDER BY date ROWS" if ask is None else "ORDER BY slot RANGE"
+    last_days = f"OVER (PARTITION BY {team} {frame} BETWEEN {RECENT} PRECEDING AND 1 PRECEDING)"
+    state = state.selectExpr("*", f"slice(flatten(collect_list(recent) {last_days}), -{RECENT}, {RECENT}) AS last5")
+    mean5 = lambda field, scale: (
+        f"CASE WHEN size(last5) = {RECENT} THEN aggregate(last5.{field}, 0, (a, x) -> a + x) / {scale}D END")
+    return state.selectExpr(
         *TEAM, "date", "n",
-        (F.col("half") / (2.0 * F.col("n"))).alias("win_rate"),
-        (F.col("pf") / F.col("n")).alias("mean_for"),
-        (F.col("pa") / F.col("n")).alias("mean_against"),
-        ((F.col("pf") - F.col("pa")) / F.col("n")).alias("mean_margin"),
-        mean5("half_wins", 2.0 * RECENT).alias("last5_win_rate"),
-        mean5("margin", 1.0 * RECENT).alias("last5_margin"),
-        F.datediff("date", "previous").alias("rest_days"),
-    )
+        "half / (2.0D * n) AS win_rate", "pf / n AS mean_for", "pa / n AS mean_against", "(pf - pa) / n AS mean_margin",
+        f"{mean5('half_wins', 2.0 * RECENT)} AS last5_win_rate", f"{mean5('margin', 1.0 * RECENT)} AS last5_margin",
+        "datediff(date, previous) AS rest_days")
 
 
 def team_history(games: DataFrame) -> DataFrame:
@@ -123,38 +103,31 @@ def with_states(targets: DataFrame, state: DataFrame) -> DataFrame:
     """Attach home and away state.  ``state`` is unique per join key, so neither join multiplies rows;
     AQE broadcasts it when its measured size allows and splits hot team-days otherwise."""
     def side(prefix):
-        return state.select(*KEY, F.col("team").alias(prefix), "date",
-                            *[F.col(c).alias(f"{prefix}_{c}") for c in STATE])
+        return state.selectExpr(*KEY, f"team AS {prefix}", "date", *[f"{c} AS {prefix}_{c}" for c in STATE])
     return targets.join(side("home"), [*KEY, "home", "date"], "left").join(
         side("away"), [*KEY, "away", "date"], "left")
 
 
-def feature_columns() -> list[Column]:
-    return [
-        (F.col(f"home_{c}") - F.col(f"away_{c}")).cast("double").alias(name)
-        for name, c in zip(FEATURES, STATE[1:])
-    ]
+FEATURE_SQL = [f"CAST(home_{c} - away_{c} AS DOUBLE) AS {name}" for name, c in zip(FEATURES, STATE[1:])]
+ENOUGH = f"least(home_n, away_n) >= {MINIMUM_GAMES}"
 
 
 def classified(games: DataFrame) -> DataFrame:
     """Every final game with its fate: tie first, then warm-up, else eligible."""
     targets = played(games).withColumn("date", F.to_date("starts_at"))
-    enough = F.least("home_n", "away_n") >= MINIMUM_GAMES
-    return with_states(targets, team_state(games)).withColumn(
-        "fate",
-        F.when(F.col("home_score") == F.col("away_score"), "tie").when(enough, "eligible").otherwise("warmup"))
+    return with_states(targets, team_state(games)).selectExpr(
+        "*", f"CASE WHEN home_score = away_score THEN 'tie' WHEN {ENOUGH} THEN 'eligible' ELSE 'warmup' END AS fate")
 
 
 def examples(games: DataFrame) -> DataFrame:
-    return classified(games).where(F.col("fate") == "eligible").select(
-        *KEY, "game_id", "date", "week", *feature_columns(),
-        (F.col("home_score") > F.col("away_score")).cast("int").alias("target"))
+    return classified(games).where("fate = 'eligible'").selectExpr(
+        *KEY, "game_id", "date", "week", *FEATURE_SQL, "CAST(home_score > away_score AS INT) AS target")
 
 
 def example_counts(games: DataFrame) -> DataFrame:
-    fate = lambda value: F.count_if(F.col("fate") == value)
+    fate = lambda value: F.expr(f"count_if(fate = '{value}')")
     return classified(games).groupBy(*KEY).agg(
-        F.count("*").alias("input_games"), fate("tie").alias("excluded_ties"),
+        F.expr("count(*) AS input_games"), fate("tie").alias("excluded_ties"),
         fate("warmup").alias("excluded_warmup"), fate("eligible").alias("eligible_games"))
 
 
@@ -174,11 +147,10 @@ def asof_features(targets: DataFrame, history: DataFrame) -> DataFrame:
     ask = goals.select(
         *KEY, "date", F.explode(F.array("home", "away")).alias("team"))
     joined = with_states(goals, team_state(past, ask))
-    enough = F.least("home_n", "away_n") >= MINIMUM_GAMES
-    return joined.select(
-        *[F.col("own_type").alias(c) if c == "season_type" else F.col(c) for c in own_type],
-        *[F.when(enough, f).alias(name) for name, f in zip(FEATURES, feature_columns())],
-        F.col("home_n").alias("n_home"), F.col("away_n").alias("n_away"))
+    gated = [f"CASE WHEN {ENOUGH} THEN {sql.replace(' AS ' + name, '')} END AS {name}" for name, sql in zip(FEATURES, FEATURE_SQL)]
+    return joined.selectExpr(
+        *["own_type AS season_type" if c == "season_type" else c for c in own_type], *gated,
+        "home_n AS n_home", "away_n AS n_away")
 
 
 def feature_subset(frame: DataFrame, name: str) -> DataFrame:

@@ -43,7 +43,6 @@ def standardize(split: DataFrame, by: list[str]) -> DataFrame:
 
 def _pass(train: DataFrame, by: list[str], spark: SparkSession, stats: dict, models: list[dict]) -> dict:
     """Loss, gradient and curvature sums at the models' current weights."""
-    columns = [*by, "model_id", "b", *[f"w{j}" for j in range(WIDTH)]]
     types = {f.name: f.dataType.simpleString() for f in train.schema.fields}
     schema = ", ".join([*[f"`{c}` {types[c]}" for c in by], "model_id int", "b double",
                         *[f"w{j} double" for j in range(WIDTH)],
@@ -52,29 +51,22 @@ def _pass(train: DataFrame, by: list[str], spark: SparkSession, stats: dict, mod
         (*m["group"], i, *map(float, m["trial"]), *stats[m["group"]]["mean"], *stats[m["group"]]["scale"])
         for i, m in models
     ]
-    assert len(columns) + 2 * WIDTH == len(rows[0])
     # A driver-built table of one short row per model: its size is known before it is sent.
     weights = F.broadcast(spark.createDataFrame(rows, schema))
-    x = [F.lit(1.0)] + [F.col(f"x{j}") for j in range(WIDTH)]
-    scaled = train.join(weights, by).select(
+    scaled = train.join(weights, by).selectExpr(
         "model_id", "target", "b", *[f"w{j}" for j in range(WIDTH)],
-        *[((F.col(name) - F.col(f"m{j}")) / F.col(f"s{j}")).alias(f"x{j}") for j, name in enumerate(FEATURES)])
-    z = F.col("b")
-    for j in range(WIDTH):
-        z = z + F.col(f"w{j}") * F.col(f"x{j}")
-    e = F.exp(-F.abs(F.col("z")))
+        *[f"({name} - m{j}) / s{j} AS x{j}" for j, name in enumerate(FEATURES)])
+    z = " + ".join(["b", *[f"w{j} * x{j}" for j in range(WIDTH)]])
     scored = (
-        scaled.withColumn("z", z)
-        .withColumn("p", F.when(F.col("z") >= 0, 1 / (1 + e)).otherwise(e / (1 + e)))
+        scaled.selectExpr("*", f"{z} AS z").selectExpr("*", "exp(-abs(z)) AS e")
+        .selectExpr("*", "CASE WHEN z >= 0 THEN 1 / (1 + e) ELSE e / (1 + e) END AS p")
         # log(1 + exp(z)) - y z, without overflow
-        .withColumn("loss", F.greatest("z", F.lit(0.0)) + F.log1p(e) - F.col("target") * F.col("z"))
-        .withColumn("r", F.col("p") - F.col("target"))
-        .withColumn("v", F.col("p") * (1 - F.col("p")))
+        .selectExpr("*", "greatest(z, 0.0D) + log1p(e) - target * z AS loss", "p - target AS r", "p * (1 - p) AS v")
     )
-    sums = [F.sum("loss").alias("loss")]
-    sums += [F.sum(F.col("r") * x[j]).alias(f"g{j}") for j in range(WIDTH + 1)]
-    sums += [F.sum(F.col("v") * x[j] * x[k]).alias(f"h{j}_{k}") for j in range(WIDTH + 1) for k in range(j + 1)]
-    return {row["model_id"]: row for row in scored.groupBy("model_id").agg(*sums).collect()}
+    x = ["1.0D", *[f"x{j}" for j in range(WIDTH)]]
+    sums = ["sum(loss) AS loss", *[f"sum(r * {x[j]}) AS g{j}" for j in range(WIDTH + 1)],
+            *[f"sum(v * {x[j]} * {x[k]}) AS h{j}_{k}" for j in range(WIDTH + 1) for k in range(j + 1)]]
+    return {row["model_id"]: row for row in scored.groupBy("model_id").agg(*map(F.expr, sums)).collect()}
 
 
 def fit_logistic(split: DataFrame, by: list[str], candidates: dict[str, tuple], grid=C_GRID,
@@ -143,18 +135,22 @@ def score(models: DataFrame, features: DataFrame, on: list[str]) -> DataFrame:
     The model's arrays are turned into one slope per known feature before the join, so scoring a row
     is plain arithmetic inside generated code.
     """
-    named = models
-    for name in FEATURES:
-        at = F.array_position("features", name).cast("int")
-        for part, default in (("mean", 0.0), ("scale", 1.0), ("coefficients", 0.0)):
-            named = named.withColumn(f"{part}_{name}", F.when(at > 0, F.element_at(part, F.greatest(at, F.lit(1)))).otherwise(default))
-    joined = features.join(named.drop("features", "mean", "scale", "coefficients"), on)
-    z = F.col("intercept")
-    for name in FEATURES:
-        value = F.coalesce(F.col(name), F.lit(0.0)) if name in features.columns else F.lit(0.0)
-        z = z + (value - F.col(f"mean_{name}")) / F.col(f"scale_{name}") * F.col(f"coefficients_{name}")
-    extra = [f"{p}_{n}" for p in ("mean", "scale", "coefficients") for n in FEATURES]
-    return joined.withColumn("z", z).withColumn("p", expr.sigmoid(F.col("z"))).drop("z", *extra, "intercept")
+    at = "array_position(features, '{}')"
+    pick = "CASE WHEN {at} > 0 THEN element_at({part}, CAST(greatest({at}, 1) AS INT)) ELSE {default}D END AS {part}_{name}"
+    slopes = [pick.format(at=at.format(name), part=part, default=default, name=name) for name in FEATURES
+              for part, default in (("mean", 0.0), ("scale", 1.0), ("coefficients", 0.0))]
+    rest = [c for c in models.columns if c not in ("features", "mean", "scale", "coefficients")]
+    joined = features.join(models.selectExpr(*rest, *slopes), on)
+    terms = [
+        f"({f'coalesce({n}, 0.0D)' if n in features.columns else '0.0D'} - mean_{n}) / scale_{n} * coefficients_{n}"
+        for n in FEATURES]
+    keep = [*features.columns, *[c for c in rest if c not in on and c != "intercept"]]
+    z = " + ".join(["intercept", *terms])
+    # exp(-|z|) is computed once per row; both branches are stable.
+    return (
+        joined.selectExpr(*[f"`{c}`" for c in keep], f"{z} AS z").selectExpr("*", "exp(-abs(z)) AS e")
+        .selectExpr(*[f"`{c}`" for c in keep], "CASE WHEN z >= 0 THEN 1 / (1 + e) ELSE e / (1 + e) END AS p")
+    )
 
 
 def validation_losses(models: DataFrame, split: DataFrame, by: list[str]) -> DataFrame:

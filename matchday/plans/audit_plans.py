@@ -12,6 +12,9 @@ K = "league, season, season_type"
 
 
 def audit_input(t) -> op.AuditInput:
+    """The stored tables, written once: every rule reads the same version of them."""
+    t.share("games")
+    t.share("lines")
     return op.AuditInput(t["scopes"], t["stored_games"], t["stored_lines"], t["headers"], t["manifest_ids"],
                          complete(t), t["replacements"])
 

@@ -16,6 +16,7 @@ NAMES, WEIGHTS, INTERCEPT = VARIANTS["all"]
 
 
 def per_clock(fn):
+    """The same job at two instants, one per league."""
     first, second = (fn(now) for now in CLOCKS)
     return first.unionByName(second)
 
@@ -134,7 +135,8 @@ SELECT d.league, d.game_id, d.starts_at, d.status, h.name AS home_team, a.name A
   CASE WHEN decision <> 'frozen' THEN decision END AS unavailable
 FROM decided d JOIN teams h ON h.team_id = d.home JOIN teams a ON a.team_id = d.away""")
 def _(t):
-    fitted, book, log = models(t), ledger(t), loads(t)
+    t.share("games")
+    fitted, book, log = t.share("models", models(t)), ledger(t), loads(t)
     out = per_clock(lambda now: op.today_predictions(t["games"], t["teams"], fitted, book, log.where(F.col("loaded_at") <= op.instant(now)), ZONE, now))
     p = F.col("prediction")
     return out.select(
@@ -148,7 +150,8 @@ SELECT g.league, coalesce(CASE WHEN g.status = 'final' AND CAST(g.game_id AS BIG
   WHEN g.league = 'NFL' THEN 'training_overlap' WHEN least(p.n_home, p.n_away) < 5 THEN 'too_few_games' END, 'available') AS reason, count(*) AS games
 FROM day_games g JOIN prior p ON p.game_id = g.game_id GROUP BY ALL""")
 def _(t):
-    fitted = models(t).withColumn("trained_through", F.when(F.col("league") == "NFL", "1998-03-02").otherwise("1996-12-31"))
+    t.share("games")
+    fitted = t.share("models", models(t)).withColumn("trained_through", F.when(F.col("league") == "NFL", "1998-03-02").otherwise("1996-12-31"))
     book, log = ledger(t), loads(t)
     out = per_clock(lambda now: op.today_predictions(t["games"], t["teams"], fitted, book, log.where(F.col("loaded_at") <= op.instant(now)), ZONE, now))
     return out.groupBy("league", F.coalesce("unavailable", F.lit("available")).alias("reason")).agg(F.count("*").alias("games"))

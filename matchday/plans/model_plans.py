@@ -19,27 +19,31 @@ GROUP = [*KEY, "variant"]
 V = f"{K}, variant"
 
 
-def fixed_models(t):
-    stats = t["model_stats"]
-    out = None
-    for name, (names, weights, intercept) in VARIANTS.items():
+def fixed_models(t, baseline=False):
+    """One row per key and variant, from a single pass over the statistics."""
+    def variant(name, names, weights, intercept):
         at = [FEATURES.index(f) + 1 for f in names]
-        one = stats.select(
-            *KEY, F.lit(name).alias("variant"), "last_date", F.array(*[F.lit(f) for f in names]).alias("features"),
-            F.array(*[F.col(f"m{i}") for i in at]).alias("mean"),
-            F.array(*[F.when(F.col(f"s{i}") == 0, 1.0).otherwise(F.col(f"s{i}")) for i in at]).alias("scale"),
-            F.array(*[F.lit(w) for w in weights]).alias("coefficients"), F.lit(intercept).alias("intercept"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        numbers = lambda values: F.array(*values).cast("array<double>")
+        return F.struct(
+            F.lit(name).alias("variant"), F.array(*[F.lit(f) for f in names]).cast("array<string>").alias("features"),
+            numbers([F.col(f"m{i}") for i in at]).alias("mean"),
+            numbers([F.when(F.col(f"s{i}") == 0, 1.0).otherwise(F.col(f"s{i}")) for i in at]).alias("scale"),
+            numbers([F.lit(w) for w in weights]).alias("coefficients"), F.lit(intercept).alias("intercept"))
+    rows = [variant(name, *v) for name, v in VARIANTS.items()]
+    if baseline:
+        rows.append(variant(BASELINE, (), (), 0.0))
+    return t["model_stats"].select(*KEY, "last_date", "rate", F.inline(F.array(*rows)))
 
 
 def predictions(t):
-    """Fixed models plus the constant baseline, one row per game and variant."""
-    keep = [*GROUP, "game_id", "date", "target", "p"]
-    fitted = fit.score(fixed_models(t).drop("last_date"), t["examples"], KEY)
-    constant = t["examples"].join(t["model_stats"].select(*KEY, F.col("rate").alias("p")), KEY).withColumn(
-        "variant", F.lit(BASELINE))
-    return fitted.withColumn("p", F.round("p", 9)).select(*keep).unionByName(constant.select(*keep))
+    """Fixed models plus the constant baseline, one row per game and variant.
+
+    Examples feed both the statistics and the scoring, so they are written once and read back.
+    """
+    t.share("examples")
+    scored = fit.score(fixed_models(t, baseline=True), t["examples"], KEY)
+    p = F.when(F.col("variant") == BASELINE, F.col("rate")).otherwise(F.round("p", 9))
+    return scored.select(*GROUP, "game_id", "date", "target", p.alias("p"))
 
 
 def z_sql(names, weights, intercept):
@@ -69,8 +73,7 @@ def round_metrics(df):
 
 @query("score", f"SELECT {V}, game_id, date, target, p FROM predictions WHERE variant <> '{BASELINE}'")
 def _(t):
-    scored = fit.score(fixed_models(t).drop("last_date"), t["examples"], KEY)
-    return scored.select(*GROUP, "game_id", "date", "target", F.round("p", 9).alias("p"))
+    return predictions(t).where(F.col("variant") != BASELINE)
 
 
 @query("constant_baseline", f'SELECT {K}, window_no AS "window", round(avg(target), 9) AS rate FROM swf WHERE split = \'train\' GROUP BY {K}, window_no')

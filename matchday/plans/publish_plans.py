@@ -4,19 +4,29 @@ from pyspark.sql import functions as F
 
 from matchday.functions.domain import KEY
 from matchday.operators import metrics, publish
-from matchday.plans.model_plans import GROUP, METRICS, predictions, round_metrics, rounded
+from matchday.plans.model_plans import GROUP, METRICS, round_metrics, rounded
+from matchday.plans.model_plans import predictions as scored
 from matchday.plans.registry import query, view
 
 STAMP = "2026-01-01T00:00:00Z"
 RUN = "concat(league, '-', CAST(season AS VARCHAR))"
 
 
+def predictions(t):
+    """Shared: a publication reads the same predictions for rows, metrics and calibration."""
+    t.share("games")
+    if "predictions" not in t.shared:
+        t.share("predictions", scored(t))
+    return t.shared["predictions"]
+
+
 def run_id():
     return F.concat_ws("-", "league", F.col("season").cast("string"))
 
 
 def runs(t):
-    keys = t["model_stats"].select(*KEY).withColumn("report_id", run_id())
+    t.share("examples")
+    keys = t.share("model_stats").select(*KEY).withColumn("report_id", run_id())
     single = keys.where("league = 'NBA'").withColumn("created_at", F.lit(STAMP))
     double = keys.where("league = 'NFL'").select(
         "report_id", "league", (F.col("season") - 2).alias("training_season"), F.col("season").alias("test_season"),

@@ -16,6 +16,9 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.dataFrameQueryContext.enabled": "false",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.ui.enabled": "false",
 }
 
@@ -30,9 +33,14 @@ def build_session(app: str = "matchday", master: str | None = None, **conf: str)
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Pin the one setting results depend on; leave resources and AQE to the deployment."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Pin the one setting results depend on; leave resources and AQE to the deployment.
+
+    Call-site capture is switched off too: it costs more than everything else while a plan of many
+    small expressions is built, and affects only the wording of error messages.
+    """
+    for key, value in {"spark.sql.session.timeZone": "UTC", "spark.sql.dataFrameQueryContext.enabled": "false"}.items():
+        if spark.conf.get(key) != value:
+            spark.conf.set(key, value)
     return spark
 
 

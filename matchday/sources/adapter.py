@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 
 from matchday.functions.domain import KEY
 from matchday.operators import features
-from matchday.session import configure
+from matchday.session import configure, materialize
 from matchday.sources.fixtures import FIXTURES
 
 ZERO_LINE = (
@@ -25,12 +25,26 @@ ZERO_LINE = (
     '"threePointFieldGoalsMade-threePointFieldGoalsAttempted":"0-0"}'
 )
 
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
 
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = configure(spark)
         self.sf_dir = sf_dir
         self._views: dict[str, DataFrame] = {}
+        self.shared: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         """A view by name: a property of this class, or one of the shared SQL fixtures."""
@@ -45,8 +59,16 @@ class Tables:
                 self._views[name] = self.raw(name)
         return self._views[name]
 
+    def share(self, name: str, df: DataFrame | None = None) -> DataFrame:
+        """Write a view that a plan uses several times once, and read it back from then on."""
+        if name not in self.shared:
+            self._views[name] = self.shared[name] = materialize(self[name] if df is None else df, name)
+        return self.shared[name]
+
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A driver table.  The declared schema saves the footer-reading job of schema inference."""
+        reader = self.spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else self.spark.read
+        return reader.parquet(f"{self.sf_dir}/{name}.parquet")
 
     # --- dimensions ------------------------------------------------------------------------
     @cached_property
@@ -57,30 +79,21 @@ class Tables:
     # --- games -----------------------------------------------------------------------------
     @cached_property
     def games(self) -> DataFrame:
-        orders, customer = self.raw("orders"), self.raw("customer")
-        supplier, lineitem = self.raw("supplier"), self.raw("lineitem")
-        first_supplier = lineitem.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("s_suppkey"))
-        final = F.col("o_orderstatus") == "F"
-        score = lambda amount: F.when(final, ((F.floor(amount).cast("bigint") % 41) + 80).cast("int"))
+        first_supplier = self.raw("lineitem").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("s_suppkey"))
+        score = "CASE WHEN o_orderstatus = 'F' THEN CAST(CAST(floor({}) AS BIGINT) % 41 + 80 AS INT) END AS {}"
         return (
-            orders.join(customer, orders.o_custkey == customer.c_custkey)
-            .join(first_supplier, orders.o_orderkey == first_supplier.l_orderkey)
-            .join(supplier, "s_suppkey")
-            .where(F.col("c_nationkey") != F.col("s_nationkey"))
-            .select(
-                F.col("o_orderkey").cast("string").alias("game_id"),
-                F.when(F.year("o_orderdate") % 2 == 0, "NFL").otherwise("NBA").alias("league"),
-                F.year("o_orderdate").alias("season"),
-                F.lit(2).alias("season_type"),
-                F.col("o_orderdate").alias("starts_at"),
-                F.col("c_nationkey").cast("string").alias("home"),
-                F.col("s_nationkey").cast("string").alias("away"),
-                F.when(final, "final").when(F.col("o_orderstatus") == "O", "scheduled")
-                .otherwise("postponed").alias("status"),
-                score(F.col("o_totalprice")).alias("home_score"),
-                score(F.col("o_totalprice") / 41).alias("away_score"),
-                (F.floor((F.dayofyear("o_orderdate") - 1) / 7).cast("int") + 1).alias("week"),
-            )
+            self.raw("orders").withColumnRenamed("o_custkey", "c_custkey").join(self.raw("customer"), "c_custkey")
+            .withColumnRenamed("o_orderkey", "l_orderkey").join(first_supplier, "l_orderkey")
+            .join(self.raw("supplier"), "s_suppkey")
+            .where("c_nationkey <> s_nationkey")
+            .selectExpr(
+                "CAST(l_orderkey AS STRING) AS game_id",
+                "CASE WHEN year(o_orderdate) % 2 = 0 THEN 'NFL' ELSE 'NBA' END AS league",
+                "year(o_orderdate) AS season", "2 AS season_type", "o_orderdate AS starts_at",
+                "CAST(c_nationkey AS STRING) AS home", "CAST(s_nationkey AS STRING) AS away",
+                "CASE o_orderstatus WHEN 'F' THEN 'final' WHEN 'O' THEN 'scheduled' ELSE 'postponed' END AS status",
+                score.format("o_totalprice", "home_score"), score.format("o_totalprice / 41", "away_score"),
+                "CAST(floor((dayofyear(o_orderdate) - 1) / 7) AS INT) + 1 AS week")
         )
 
     # --- player lines ----------------------------------------------------------------------

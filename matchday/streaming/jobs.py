@@ -39,11 +39,13 @@ def prediction_ledger(predictions: DataFrame) -> DataFrame:
     start is a new entry.  Streaming input expires 72 hours behind the greatest start seen."""
     rows = admissible(predictions)
     if predictions.isStreaming:
-        rows = rows.withWatermark("starts_at", f"{LEDGER_HOURS} hours")
+        # Watermarks need a zoned timestamp; the session zone is UTC, so the instant is the same.
+        rows = rows.withColumn("starts_at", F.col("starts_at").cast("timestamp")).withWatermark(
+            "starts_at", f"{LEDGER_HOURS} hours")
     rest = [c for c in predictions.columns if c not in LEDGER_KEY]
-    return rows.groupBy(*LEDGER_KEY).agg(
-        F.max_by(F.struct(*rest), F.struct("generated_at", *[c for c in rest if c != "generated_at"])).alias("row")
-    ).select(*LEDGER_KEY, "row.*")
+    kept = rows.groupBy(*LEDGER_KEY).agg(
+        F.max_by(F.struct(*rest), F.struct("generated_at", *[c for c in rest if c != "generated_at"])).alias("row"))
+    return kept.select("model_id", "game_id", F.col("starts_at").cast("timestamp_ntz").alias("starts_at"), "row.*")
 
 
 def start_upserts(stream: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
