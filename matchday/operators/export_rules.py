@@ -38,9 +38,13 @@ def report_rules(reports: DataFrame) -> DataFrame:
 
 
 def game_rules(games: DataFrame, reports: DataFrame) -> DataFrame:
-    """V2-V5 on single rows; the report only contributes its schema version, so it is a small lookup."""
-    versions = reports.select(*[F.col(k).alias(r) for k, r in zip(KEY, REPORT)], "schema_version")
-    rows = games.join(versions, REPORT, "left")
+    """V2-V5 on single rows.  A file without a week column is looked up by its report's version:
+    optional in version 3, a fault in version 4.  An empty week is fine in both."""
+    rows, unversioned = games, F.lit(False)
+    if "week" not in games.columns:
+        versions = reports.select(*[F.col(k).alias(r) for k, r in zip(KEY, REPORT)], "schema_version")
+        rows = games.join(versions, REPORT, "left").withColumn("week", F.lit(None).cast("string"))
+        unversioned = F.coalesce(F.col("schema_version") == 4, F.lit(False))
     mixed = (
         (F.col("league") != F.col("report_league")) | (F.col("season") != F.col("report_season").cast("string"))
         | (F.col("season_type") != F.col("report_season_type").cast("string"))
@@ -49,7 +53,7 @@ def game_rules(games: DataFrame, reports: DataFrame) -> DataFrame:
     time = (
         ~F.col("starts_at_utc").rlike(ZONED) | ~F.coalesce("home_score", F.lit("")).rlike(DIGITS)
         | ~F.coalesce("away_score", F.lit("")).rlike(DIGITS)
-        | ((F.col("schema_version") == 4) & F.col("week").isNull())
+        | unversioned
         | ((week != "") & ~(week.rlike(DIGITS) & ~week.rlike(r"^0+\z"))))
     home, away = F.coalesce("home_team_id", F.lit("")), F.coalesce("away_team_id", F.lit(""))
     identity = (F.coalesce("game_id", F.lit("")) == "") | (home == "") | (away == "") | (home == away)
