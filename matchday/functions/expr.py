@@ -24,9 +24,10 @@ def finite(value: Column) -> Column:
 
 
 def number(text: Column) -> Column:
-    """Finite double, or null.  The guard keeps suffixed, padded and symbolic numbers out."""
-    value = F.when(text.rlike(NUMBER), text.try_cast("double"))
-    return F.when(finite(value), value)
+    """Finite double, or null.  The guard keeps suffixed, padded and symbolic numbers out; what it lets
+    through can only be infinite by overflow."""
+    value = text.try_cast("double")
+    return F.when(text.rlike(NUMBER) & (F.abs(value) < float("inf")), value)
 
 
 def integer(text: Column) -> Column:

@@ -17,21 +17,23 @@ def additive_stats(lines: DataFrame, keep: list[str] | None = None) -> DataFrame
     keep = keep or LINE
     key = F.col("key")
     pair = key.isin(*PAIR_KEYS)
-    # explode_outer and inline_outer: the inner forms make the optimizer copy the generator's input
-    # into a filter, which would parse every document twice.
-    parts = (
+    # Outer generators and late filters: the inner forms, and filters on computed columns, make the
+    # optimizer copy the whole computation into a filter below, and every value is then parsed twice.
+    numbers = (
         lines.where(~F.col("did_not_play"))
         .select(*keep, F.explode_outer(expr.stats_map(F.col("stats_json"))).alias("key", "raw"))
         .where(key.isin(*ADDITIVE_KEYS, *PAIR_KEYS))
         .select(*keep, "key", expr.additive_parts(key, F.col("raw")).alias("parts"))
-        .where(F.size("parts") == F.when(pair, 2).otherwise(1))
-        .select(*keep, "key", expr.number(F.get("parts", F.lit(0))).alias("a"),
+        .select(*keep, "key", F.size("parts").alias("n"), expr.number(F.get("parts", F.lit(0))).alias("a"),
                 expr.number(F.get("parts", F.lit(1))).alias("b"))
-        .where(F.col("a").isNotNull() & (~pair | ((F.col("a") >= 0) & (F.col("b") >= 0))))
     )
+    both = (F.col("n") == 2) & (F.col("a") >= 0) & (F.col("b") >= 0)
+    good = F.when(pair, both).otherwise(True)
+
     def metric(position, value):
-        return F.struct(expr.pair_name(key, position).alias("metric"), F.col(value).alias("value"))
-    return parts.select(*keep, F.inline_outer(F.array(metric(0, "a"), metric(1, "b")))).where("metric is not null")
+        return F.struct(expr.pair_name(key, position).alias("metric"), F.when(good, F.col(value)).alias("value"))
+    rows = numbers.select(*keep, F.inline_outer(F.array(metric(0, "a"), metric(1, "b"))))
+    return rows.where("metric is not null and value is not null")
 
 
 def player_season_totals(lines: DataFrame, complete: DataFrame) -> DataFrame:

@@ -19,6 +19,10 @@ COMPLETE = "complete"
 
 
 def complete(t):
+    """Complete games over the stored tables: games and lines are read several times, so they are
+    written once, as they would be in a deployment."""
+    t.share("games")
+    t.share("lines")
     return op.complete_games(t["games"], t["player_imports"], t["lines"])
 
 

@@ -110,7 +110,7 @@ class Tables:
                  F.min("l_discount").alias("discount"))
             .withColumn("game_id", F.col("l_orderkey").cast("string"))
         )
-        finals = self.games.where(F.col("status") == "final").select("game_id", *KEY, "home", "away")
+        finals = self["games"].where(F.col("status") == "final").select("game_id", *KEY, "home", "away")
         return item.join(finals, "game_id").select(
             "game_id", *KEY, "home", "away", F.col("l_partkey").alias("part"), "category", "line", "quantity",
             (F.col("discount") == 0).alias("did_not_play"),
@@ -128,7 +128,7 @@ class Tables:
         passing = F.concat(
             F.lit('{"passingYards":"'), quantity,
             F.lit('","completions/passingAttempts":"1/2","adjQBR":"--"}'))
-        return self.line_items.select(
+        return self["line_items"].select(
             "game_id", *KEY, F.col("part").cast("string").alias("player_id"), "team_id", "category", "did_not_play",
             "starter",
             F.when((F.col("line") == 6) & (F.col("category") == "general"), ZERO_LINE)
@@ -137,7 +137,7 @@ class Tables:
 
     @cached_property
     def examples(self) -> DataFrame:
-        return features.examples(self.games)
+        return features.examples(self["games"])
 
     # --- observations over time ------------------------------------------------------------
     @cached_property
@@ -159,11 +159,11 @@ class Tables:
 
     @cached_property
     def manifests(self) -> DataFrame:
-        return self.games.select("league", F.to_date("starts_at").alias("import_date"), "game_id")
+        return self["games"].select("league", F.to_date("starts_at").alias("import_date"), "game_id")
 
     @cached_property
     def manifest_dates(self) -> DataFrame:
-        return self.manifests.select("league", "import_date").distinct()
+        return self["manifests"].select("league", "import_date").distinct()
 
     @cached_property
     def replacements(self) -> DataFrame:
@@ -172,27 +172,27 @@ class Tables:
         A suffix minimum over one row per distinct start time, so no pair of games is ever built.
         """
         pairing = [*KEY[:2], "home", "away"]
-        slots = self.games.groupBy(*pairing, "starts_at").agg(
+        slots = self["games"].groupBy(*pairing, "starts_at").agg(
             F.min(F.when(F.col("status") == "final", F.col("game_id"))).alias("first_final"))
         later = W.partitionBy(*pairing).orderBy("starts_at").rowsBetween(1, W.unboundedFollowing)
         best = slots.withColumn("final_id", F.min("first_final").over(later)).where("final_id is not null")
-        postponed = self.games.where((F.col("status") == "postponed") & (F.col("game_id").cast("bigint") % 3 != 0))
+        postponed = self["games"].where((F.col("status") == "postponed") & (F.col("game_id").cast("bigint") % 3 != 0))
         return postponed.join(best, [*pairing, "starts_at"]).select(
             "league", "season", F.col("game_id").alias("postponed_id"), "final_id")
 
     @cached_property
     def player_imports(self) -> DataFrame:
         """Box-score manifests; every tenth game's count is wrong so that incompleteness occurs."""
-        counts = self.lines.groupBy("game_id").agg(F.count("*").cast("int").alias("line_count"))
+        counts = self["lines"].groupBy("game_id").agg(F.count("*").cast("int").alias("line_count"))
         off = F.when(F.col("game_id").cast("bigint") % 10 == 0, 1).otherwise(0)
-        return self.games.join(counts, "game_id").select(
+        return self["games"].join(counts, "game_id").select(
             "league", "game_id", "season", "season_type", "home", "away",
             (F.col("line_count") + off).alias("line_count"))
 
     @cached_property
     def scopes(self) -> DataFrame:
         """Audit scopes: every stored key with a calendar-year range (one without), plus empty keys."""
-        stored = self.games.select(*KEY).distinct()
+        stored = self["games"].select(*KEY).distinct()
         empty = stored.withColumn("season", F.col("season") + 100)
         year = F.col("season").cast("string")
         return stored.unionByName(empty).select(
