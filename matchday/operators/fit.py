@@ -21,6 +21,8 @@ from matchday.session import materialize
 
 WIDTH = len(FEATURES)
 TOLERANCE = 1e-10
+# Bounds what one pass sends to the executors and brings back: about a megabyte each way.
+MODELS_PER_PASS = 5000
 
 
 class NotConverged(RuntimeError):
@@ -94,7 +96,9 @@ def fit_logistic(split: DataFrame, by: list[str], candidates: dict[str, tuple],
         active = [(i, m) for i, m in enumerate(models) if not m["done"]]
         if not active:
             break
-        results = _pass(train, by, spark, info, active)
+        results = {}
+        for start in range(0, len(active), MODELS_PER_PASS):
+            results.update(_pass(train, by, spark, info, active[start:start + MODELS_PER_PASS]))
         for i, m in active:
             row, u = results[i], m["used"]
             m["iterations"] += 1
@@ -129,6 +133,22 @@ def fit_logistic(split: DataFrame, by: list[str], candidates: dict[str, tuple],
     return spark.createDataFrame(rows, schema)
 
 
+def stationarity(models: DataFrame, split: DataFrame, by: list[str]) -> DataFrame:
+    """Greatest absolute gradient component of the objective at each model's weights; zero at the optimum."""
+    rows = split.where("split = 'train'").select(*by, "target", *FEATURES)
+    keys = [*by, "candidate", "C"]
+    residual = score(models.drop("rate", "n_train", "iterations"), rows, by).selectExpr("*", "p - target AS r")
+    sums = residual.groupBy(*keys).agg(
+        F.count("*").alias("n_train"), F.expr("sum(r) AS g"), *[F.expr(f"sum(r * {f}) AS g_{f}") for f in FEATURES])
+    joined = models.drop("n_train").join(sums, keys)
+    value = F.map_from_arrays(F.array(*[F.lit(f) for f in FEATURES]), F.array(*[F.col(f"g_{f}") for f in FEATURES]))
+    parts = F.transform(F.sequence(F.lit(1), F.size("features")), lambda i: F.abs(
+        F.col("C") * (F.element_at(value, F.element_at("features", i)) - F.element_at("mean", i) * F.col("g")) / F.element_at("scale", i)
+        + F.element_at("coefficients", i)))
+    worst = F.greatest(F.array_max(parts), F.abs(F.col("C") * F.col("g")))
+    return joined.select(*keys, "n_train", worst.alias("gradient"))
+
+
 def score(models: DataFrame, features: DataFrame, on: list[str]) -> DataFrame:
     """Probability of every model of a row's group; an absent feature counts as zero.
 

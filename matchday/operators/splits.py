@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from matchday.functions.domain import KEY, REGULAR
 from matchday.operators.features import example_counts
+from matchday.operators.sinks import dataset_fingerprint
 
 SLOT = [*KEY, "slot"]
 
@@ -148,7 +149,7 @@ def cross_season_pairs(games: DataFrame) -> DataFrame:
     )
 
 
-def season_inventory(games: DataFrame, holdouts: dict[str, int]) -> DataFrame:
+def season_inventory(games: DataFrame, holdouts: dict[str, int], fingerprints: bool = False) -> DataFrame:
     """Counts of development seasons strictly before each league's holdout.
 
     The filter is on partition columns only, so holdout partitions are never opened.
@@ -158,8 +159,9 @@ def season_inventory(games: DataFrame, holdouts: dict[str, int]) -> DataFrame:
         inside = inside | ((F.col("league") == league) & (F.col("season") < season))
     development = games.where(inside & (F.col("season_type") == REGULAR))
     counts = example_counts(development)
-    return counts.withColumn("development_seasons", F.count("*").over(W.partitionBy("league"))).where(
+    inventory = counts.withColumn("development_seasons", F.count("*").over(W.partitionBy("league"))).where(
         "development_seasons >= 2").drop("development_seasons")
+    return inventory.join(dataset_fingerprint(development, KEY), KEY) if fingerprints else inventory
 
 
 def split_summary(split: DataFrame, by: list[str]) -> DataFrame:

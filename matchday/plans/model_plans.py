@@ -95,6 +95,35 @@ def _(t):
     return fit.fit_logistic(split, KEY, CANDIDATES)
 
 
+CANDIDATE_SQL = " UNION ALL ".join(f"SELECT '{l}' AS league, '{c}' AS candidate" for l, names in CANDIDATES.items() for c in names)
+
+
+@query("fit_logistic_gradient", f"""
+SELECT s.league, s.season, s.season_type, k.candidate, c."C", s.n_train, 0.0::DOUBLE AS gradient
+FROM (SELECT {K}, count(*) AS n_train FROM s602020 WHERE split = 'train' GROUP BY {K}) s JOIN ({CANDIDATE_SQL}) k ON k.league = s.league,
+  (SELECT unnest([0.01::DOUBLE, 0.1::DOUBLE, 1.0::DOUBLE, 10.0::DOUBLE]) AS "C") c""")
+def _(t):
+    """Every fitted model sits where the gradient of its objective vanishes."""
+    split = materialize(splits.split_60_20_20(t["examples"]), "split")
+    found = fit.stationarity(fit.fit_logistic(split, KEY, CANDIDATES), split, KEY)
+    return found.withColumn("gradient", F.abs(F.round("gradient", 5)))
+
+
+@query("evaluate_summary", f"""
+WITH w AS (SELECT * FROM swf WHERE league = 'NBA' UNION ALL SELECT * FROM swk),
+t AS (SELECT {K}, window_no, count(*) AS games, CAST(sum(target) AS BIGINT) AS home_wins FROM w WHERE split = 'test' GROUP BY {K}, window_no),
+b AS (SELECT {K}, window_no, avg(target) AS rate FROM w WHERE split = 'train' GROUP BY {K}, window_no)
+SELECT t.league, t.season, t.season_type, t.window_no AS "window", k.candidate, t.games, t.home_wins,
+       CASE WHEN k.candidate = '{BASELINE}' THEN round(b.rate, 9) END AS constant
+FROM t JOIN b USING ({K}, window_no) JOIN ({CANDIDATE_SQL} UNION ALL SELECT 'NBA', '{BASELINE}' UNION ALL SELECT 'NFL', '{BASELINE}') k ON k.league = t.league""")
+def _(t):
+    """Each test game is predicted once per candidate of its league and window, and once by the baseline."""
+    out = fit.evaluate(t["examples"])[1]
+    constant = F.when(F.col("candidate") == BASELINE, F.round(F.max("p"), 9))
+    return out.groupBy(*KEY, "window", "candidate").agg(
+        F.count("*").alias("games"), F.sum("target").alias("home_wins"), constant.alias("constant"))
+
+
 # Losses of the fixed variants stand in for a grid: the rule is the lowest loss, ties to the smaller C.
 LOSS_GRID = f"""
 SELECT {K}, 'fixed' AS candidate, CASE variant WHEN 'strength' THEN 0.1 WHEN 'all' THEN 1.0 WHEN 'bold' THEN 10.0 ELSE 0.01 END::DOUBLE AS "C",

@@ -138,6 +138,11 @@ def _(t):
     return op.season_inventory(t["games"], {"NBA": 2001, "NFL": 2000})
 
 
+@query("season_inventory_fingerprints")
+def _(t):
+    return op.season_inventory(t.share("games"), {"NBA": 2001, "NFL": 2000}, fingerprints=True)
+
+
 @query("split_summary", f"""
 SELECT {K}, window_no AS "window", split, count(*) AS games, min(date) AS "from", max(date) AS "to", CAST(sum(target) AS BIGINT) AS home_wins,
        array_to_string(list_sort(list(DISTINCT week)), ',') AS weeks

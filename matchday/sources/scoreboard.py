@@ -7,6 +7,8 @@ leave it.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,6 +127,13 @@ def manifest_responses(raw: DataFrame) -> DataFrame:
     return judged(raw).where(F.size("reasons") == 0).select(*ID, F.sort_array(ids).alias("ids"))
 
 
+def games_in_range(daily: DataFrame, first: date, last: date) -> DataFrame:
+    """Games of the daily responses between two dates, 1 to 31 days apart inclusive."""
+    if not 0 <= (last - first).days <= 30:
+        raise ValueError("a range spans 1 to 31 dates")
+    return range_dedup(daily.where(F.col("import_date").between(first, last)), ["league", "game_id"])
+
+
 def range_dedup(daily: DataFrame, keys: list[str]) -> DataFrame:
     """Union of daily responses: the last occurrence of an id wins and keeps the first one's place."""
     rest = [c for c in daily.columns if c not in keys]

@@ -174,3 +174,13 @@ def test_team_lists(spark):
     assert {r.response_id: r.reason for r in team_list.teams_rejects(df).collect()} == {
         "none": "no_teams", "blank": "missing_field", "twice": "duplicate_team", "json": "bad_json"}
     assert {r.team_id for r in team_list.teams_decode(df).collect()} == {"1", "2"}
+
+
+def test_range_keeps_the_last_occurrence(spark):
+    rows = [("NBA", "a", date(2026, 1, 1), 1, "scheduled"), ("NBA", "a", date(2026, 1, 2), 2, "final"), ("NBA", "b", date(2026, 2, 5), 3, "final")]
+    df = spark.createDataFrame(rows, "league string, game_id string, import_date date, seq int, status string")
+    (got,) = scoreboard.games_in_range(df, date(2026, 1, 1), date(2026, 1, 31)).collect()
+    assert got.status == "final" and got.position.seq == 1
+    for first, last in ((date(2026, 1, 2), date(2026, 1, 1)), (date(2026, 1, 1), date(2026, 2, 1))):
+        with pytest.raises(ValueError):
+            scoreboard.games_in_range(df, first, last)
