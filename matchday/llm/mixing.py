@@ -25,13 +25,21 @@ from matchday.llm.common import WORD, pick, table, written
 LEVEL_BITS = 12
 
 
+def source_key(source):
+    """'1...' for named sources and '2' for null: null sorts last and joins as any other key."""
+    return F.when(source.isNull(), "2").otherwise(F.concat(F.lit("1"), source))
+
+
+def cell_of(doc_id, text, seed: int):
+    ident = F.coalesce(doc_id.cast("string"), F.md5(text.cast("binary")), F.lit(""))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), ident)), 1, 6), 16, 10).cast("int")
+
+
 def sized(docs: DataFrame, seed: int) -> DataFrame:
-    ident = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary")), F.lit(""))
-    cell = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), ident)), 1, 6), 16, 10).cast("int")
+    cell = cell_of(F.col("doc_id"), F.col("text"), seed)
     return pick(docs, "doc_id", "text", "source").select(
         "doc_id",
-        # '1...' for named sources and '2' for null: null sorts last and joins as any other key
-        F.when(F.col("source").isNull(), "2").otherwise(F.concat(F.lit("1"), F.col("source"))).alias("k"),
+        source_key(F.col("source")).alias("k"),
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), cell.alias("cell"))
 
 
@@ -84,29 +92,46 @@ def boundaries(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
         "k", F.col("at").alias("edge"), (F.col("rest") - F.col("before")).alias("need"), F.col("n").alias("edge_size"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2,
-        seed: int = 17) -> DataFrame:
-    """doc_id, size, source_size, target (its source's), taken (words) and repeats (whole documents), per document.
-
-    `taken` meets each source's target to the word but for rounding in one cell; `repeats` rounds the boundary cell's
-    documents to whole ones.
-    """
+def mix_plan(docs: DataFrame, weights: tuple[int, ...], share: float, max_epochs: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Sizes per document, and per source its target, whole repetitions and the boundary of the sampled remainder."""
     sizes = written(sized(docs, seed), "sizes")
     sources = written(weighted(sizes, weights), "weighted")
     level = water_level(sources, share, max_epochs)
-    cap = F.col("source_size") * F.lit(float(max_epochs))
-    target = F.least(F.col("weight") * F.lit(level), cap)
+    target = F.least(F.col("weight") * F.lit(level), F.col("source_size") * F.lit(float(max_epochs)))
     want = F.floor(target + 0.5).cast("long")
     wanted = (sources.withColumn("target", target).withColumn("want", want)
               .withColumn("whole", F.expr("CASE WHEN source_size = 0 THEN 0 ELSE want div source_size END"))
               .withColumn("rest", F.expr("want - whole * source_size")))
-    plan = written(wanted.join(boundaries(sizes, wanted), "k", "left"), "plan")
+    return sizes, written(wanted.join(boundaries(sizes, wanted), "k", "left"), "plan")
+
+
+REPEATS = "whole + CASE WHEN cell < edge OR (cell = edge AND 2 * need >= edge_size) THEN 1 ELSE 0 END"
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2,
+        seed: int = 17) -> DataFrame:
+    """doc_id, size, source_size, target (its source's), taken (words) and repeats (whole documents), per document.
+
+    `taken` meets each source's target to the word but for rounding in one cell; `repeats` rounds the boundary cell's
+    documents to whole ones.
+    """
+    sizes, plan = mix_plan(docs, weights, share, max_epochs, seed)
     return sizes.join(plan, "k").select(
         "doc_id", "size", "source_size", "target",
         F.expr("size * whole + CASE WHEN cell < edge THEN size WHEN cell = edge THEN (size * need) div edge_size "
-               "ELSE 0 END").alias("taken"),
-        F.expr("whole + CASE WHEN cell < edge OR (cell = edge AND 2 * need >= edge_size) THEN 1 ELSE 0 END")
-        .alias("repeats"))
+               "ELSE 0 END").alias("taken"), F.expr(REPEATS).alias("repeats"))
+
+
+def repeated(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2,
+             seed: int = 17) -> DataFrame:
+    """The rows of `docs`, with all their columns, each as often as the mix takes it: whole documents only."""
+    _, plan = mix_plan(docs, weights, share, max_epochs, seed)
+    at = {n: F.col(f"c{docs.columns.index(n)}") for n in ("doc_id", "text", "source")}
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    keyed = plain.withColumns({"k": source_key(at["source"]), "cell": cell_of(at["doc_id"], at["text"], seed)})
+    times = keyed.join(plan, "k").withColumn("times", F.expr(REPEATS).cast("int")).where("times > 0")
+    return times.select(*plain.columns, F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("copy")).drop(
+        "copy").toDF(*docs.columns)
 
 
 def op1_source_mix(spark, sf_dir):
