@@ -8,8 +8,10 @@ hash inside it.  Equal windows have equal anchors, so a window cannot occur in m
 2. Count-min sketch: each anchor counts once a document in DEPTH rows of cells.  Partition sketches are merged by an
    aggregation with map-side combining; only whether a cell's count reached two is kept, as a bitmap of a bounded size
    (at most DEPTH * MAX_CELLS / 8 bytes), which is what the next pass gets.  Counts are never underestimated.
-3. Second pass: only windows whose anchor is estimated repeated in every row are emitted, under the 128-bit hash of their
-   words, and grouped exactly.  A window is removed where its smallest doc_id is smaller than the document's.
+3. Second pass: only windows whose anchor is estimated repeated are emitted, as segments: runs of windows with one anchor.
+   Segments are grouped exactly, and a segment that a smaller doc_id has too is removed as a whole.  A window can differ in
+   its segment between two documents only where a match begins or ends, so only anchors with several different segments
+   have their windows grouped one by one, each different segment once.  Keys are two 64-bit hashes of different texts.
 4. Documents with removed windows are joined with their texts once more and cut.  All others take their result from step 1.
 
 The sketch's width follows the number of anchors up to MAX_CELLS.  Beyond that it passes more windows to the exact step
@@ -114,32 +116,55 @@ def sketch(marks: DataFrame, cells: int) -> list[bytes]:
 
 
 def candidates(docs: DataFrame, test) -> DataFrame:
-    """(doc_id, text_hash, position, two hashes) of each window whose anchor is estimated repeated."""
+    """Segments of windows whose anchor is estimated repeated: place, anchor, hash of the words, hash of each window."""
+    schema = "doc_id bigint, text_hash bigint, at int, anchor bigint, segment bigint, windows array<bigint>"
+
     def per_batch(batches):
-        digest = xxhash.xxh3_128_intdigest
+        digest = xxhash.xxh3_64_intdigest
         passes = test()
         for batch in batches:
-            owner, places, h1, h2 = [], [], [], []
+            owner, places, marks, whole, each = [], [], [], [], []
             for i, text in enumerate(batch.column(2)):
                 words = (text.as_py() or b"").split()
                 if len(words) < WINDOW:
                     continue
-                own = np.flatnonzero(passes(anchors(words)))
-                if not len(own):
+                own = anchors(words)
+                firsts = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1])
+                lasts = np.concatenate([firsts[1:], [len(own)]])
+                ok = passes(own[firsts])
+                if not ok.any():
                     continue
                 joined, starts, ends = spans_of(words)
-                for p in own.tolist():
-                    whole = digest(joined[starts[p]:ends[p + WINDOW - 1]])
-                    h1.append(whole >> 64), h2.append(whole & 0xFFFFFFFFFFFFFFFF)
-                owner.append(np.full(len(own), i)), places.append(own)
-            rows = pa.array(np.concatenate(owner) if owner else np.zeros(0, np.int64))
+                for s, e in zip(firsts[ok].tolist(), lasts[ok].tolist()):
+                    owner.append(i), places.append(s), marks.append(own[s])
+                    whole.append(digest(joined[starts[s]:ends[e + WINDOW - 2]]))
+                    each.append(np.array([digest(joined[a:b]) for a, b in zip(starts[s:e], ends[s + WINDOW - 1:e + WINDOW - 1])],
+                                         np.uint64).view(np.int64))
+            rows = pa.array(owner, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows),
-                 pa.array((np.concatenate(places) if places else np.zeros(0)).astype(np.int32)),
-                 pa.array(np.array(h1, np.uint64).view(np.int64)), pa.array(np.array(h2, np.uint64).view(np.int64))],
-                ["doc_id", "text_hash", "at", "h1", "h2"])
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(places, pa.int32()),
+                 pa.array(marks, pa.int64()), pa.array(np.array(whole, np.uint64).view(np.int64)),
+                 pa.array(each, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "at", "anchor", "segment", "windows"])
+
+    return docs.mapInArrow(per_batch, schema)
+
 
-    return docs.mapInArrow(per_batch, "doc_id bigint, text_hash bigint, at int, h1 bigint, h2 bigint")
+def covered(found: DataFrame) -> DataFrame:
+    """doc_id, text_hash, at, n: n windows from at on that also start in a document with a smaller doc_id."""
+    segments = written(found.groupBy("anchor", "segment").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")),
+                       "segments")
+    whole = (found.join(segments.where("least < most").drop("most"), ["anchor", "segment"]).where("least < doc_id")
+             .select("doc_id", "text_hash", "at", F.size("windows").alias("n")))
+    contested = segments.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    chosen = segments.join(contested, "anchor", "left_semi").select("anchor", "segment", F.col("least").alias("doc_id"))
+    single = written(found.join(chosen, ["anchor", "segment", "doc_id"]).select(
+        "doc_id", "text_hash", "at", "anchor", F.posexplode("windows").alias("step", "window")), "windows")
+    least = (single.groupBy("anchor", "window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+             .where("least < most").drop("most"))
+    rest = (single.join(least, ["anchor", "window"]).where("least < doc_id")
+            .select("doc_id", "text_hash", (F.col("at") + F.col("step")).alias("at"), F.lit(1).alias("n")))
+    return whole.unionByName(rest)
 
 
 def cut_text(batches):
@@ -149,9 +174,10 @@ def cut_text(batches):
         for text, at in zip(batch.column(1), batch.column(2)):
             words = (text.as_py() or b"").split()
             edge = np.zeros(len(words) + 1, np.int64)
-            starts = np.unique(np.asarray(at.values))
+            places = at.values.flatten()
+            starts = np.asarray(places[0], np.int64)
             np.add.at(edge, starts, 1)
-            np.add.at(edge, starts + WINDOW, -1)
+            np.add.at(edge, starts + np.asarray(places[1], np.int64) + WINDOW - 1, -1)
             gone = np.cumsum(edge)[:-1] > 0
             total.append(len(words))
             removed.append(int(gone.sum()))
@@ -187,11 +213,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return passes
 
     found = written(candidates(rows.where("doc_id IS NOT NULL"), test), "candidates")
-    least = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    covered = (found.join(least.select("h1", "h2", "least"), ["h1", "h2"]).where("least < doc_id")
-               .groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("at")))
+    places = covered(found).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("at", "n")).alias("at"))
     copies = flagged.where("first < doc_id").select("doc_id", "text_hash").distinct().withColumn("copy", F.lit(True))
-    touched = written(covered.join(copies, ["doc_id", "text_hash"], "full").withColumn("copy", F.coalesce("copy", F.lit(False))),
+    touched = written(places.join(copies, ["doc_id", "text_hash"], "full").withColumn("copy", F.coalesce("copy", F.lit(False))),
                       "touched")
     partly = touched.where("NOT copy").select("doc_id", "text_hash", "at")
     cut = rows.join(partly, ["doc_id", "text_hash"]).select("doc_id", "text", "at").mapInArrow(
