@@ -38,7 +38,7 @@ def browse_teams(games: DataFrame, teams: DataFrame, league=None, season=None, s
     """Teams with a game on either side.  Both sides are exploded to one key: no OR-join."""
     seen = scoped(games, league, season, season_type).select(
         *KEY, F.explode(F.array("home", "away")).alias("team_id")).distinct()
-    return seen.join(teams, "team_id").select(*KEY, "team_id", "name")
+    return seen.join(teams.select("league", "team_id", "name"), ["league", "team_id"]).select(*KEY, "team_id", "name")
 
 
 def browse_games(games: DataFrame, teams: DataFrame, complete: DataFrame, league=None, season=None,
@@ -46,9 +46,9 @@ def browse_games(games: DataFrame, teams: DataFrame, complete: DataFrame, league
     chosen = equals(scoped(games, league, season, season_type), status=status)
     if team_id is not None:
         chosen = chosen.where((F.col("home") == F.lit(team_id)) | (F.col("away") == F.lit(team_id)))
-    named = lambda side: teams.select(F.col("team_id").alias(side), F.col("name").alias(f"{side}_team"))
+    named = lambda side: teams.select("league", F.col("team_id").alias(side), F.col("name").alias(f"{side}_team"))
     return (
-        with_completeness(chosen, complete).join(named("home"), "home").join(named("away"), "away")
+        with_completeness(chosen, complete).join(named("home"), ["league", "home"]).join(named("away"), ["league", "away"])
         .select(*KEY, "game_id", "starts_at", "status", "week", "home_team", "away_team", "home_score", "away_score",
                 F.col("players_complete").alias("player_stats_complete"))
     )
@@ -73,7 +73,8 @@ def browse_players(lines: DataFrame, complete: DataFrame, teams: DataFrame, play
     per_game = rows.groupBy(*KEY, "player_id", "game_id").agg(F.collect_set("team_id").alias("ids"))
     out = per_game.groupBy(*KEY, "player_id").agg(
         F.count("*").alias("games"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("ids"))
-    names = out.select(*KEY, "player_id", F.explode("ids").alias("team_id")).join(teams, "team_id").groupBy(
+    names = out.select(*KEY, "player_id", F.explode("ids").alias("team_id")).join(
+        teams.select("league", "team_id", "name"), ["league", "team_id"]).groupBy(
         *KEY, "player_id").agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("teams"))
     return (
         out.join(names, [*KEY, "player_id"]).join(found.select("league", "player_id", "name"), ["league", "player_id"])
@@ -87,7 +88,7 @@ def browse_player_games(lines: DataFrame, complete: DataFrame, teams: DataFrame,
     rows = complete_lines(lines, complete, league, season, season_type, team_id=team_id, player_id=player_id,
                           game_id=game_id, category=category)
     return (
-        rows.join(teams.withColumnRenamed("name", "team"), "team_id")
+        rows.join(teams.select("league", "team_id", F.col("name").alias("team")), ["league", "team_id"])
         .join(players.select("league", "player_id", F.col("name").alias("player")), ["league", "player_id"])
         .select(*KEY, "player_id", "player", "game_id", "starts_at", "team", "category", "did_not_play", "starter",
                 F.col("stats_json").alias("stats"))
@@ -98,7 +99,7 @@ def browse_totals(totals: DataFrame, teams: DataFrame, players: DataFrame, leagu
                   season_type=REGULAR, team_id=None, player_id=None, category=None) -> DataFrame:
     rows = equals(scoped(totals, league, season, season_type), team_id=team_id, player_id=player_id, category=category)
     return (
-        rows.join(teams.withColumnRenamed("name", "team"), "team_id")
+        rows.join(teams.select("league", "team_id", F.col("name").alias("team")), ["league", "team_id"])
         .join(players.select("league", "player_id", F.col("name").alias("player")), ["league", "player_id"])
         .select(*KEY, "player_id", "player", "team_id", "team", "category", "metric", "total", "games_with_metric")
     )

@@ -51,13 +51,14 @@ def game_rules(games: DataFrame, reports: DataFrame) -> DataFrame:
         | (F.col("player_import_complete") != "true"))
     week = F.coalesce("week", F.lit(""))
     time = (
-        ~F.col("starts_at_utc").rlike(ZONED) | ~F.coalesce("home_score", F.lit("")).rlike(DIGITS)
+        ~F.col("starts_at_utc").rlike(ZONED) | F.regexp_replace("starts_at_utc", r"^(.{16})([Z+-])", "$1:00$2").try_cast("timestamp").isNull() | ~F.coalesce("home_score", F.lit("")).rlike(DIGITS)
         | ~F.coalesce("away_score", F.lit("")).rlike(DIGITS)
         | unversioned
         | ((week != "") & ~(week.rlike(DIGITS) & ~week.rlike(r"^0+\z"))))
     home, away = F.coalesce("home_team_id", F.lit("")), F.coalesce("away_team_id", F.lit(""))
     identity = (F.coalesce("game_id", F.lit("")) == "") | (home == "") | (away == "") | (home == away)
-    tied = (F.col("report_league") == "NBA") & (F.col("home_score") == F.col("away_score"))
+    tied = (F.col("report_league") == "NBA") & (
+        F.col("home_score").try_cast("decimal(38,0)") == F.col("away_score").try_cast("decimal(38,0)"))
     return row_rules(rows, {"V2": mixed, "V3": time, "V4": identity, "V5": tied}, F.coalesce("game_id", F.lit("")))
 
 

@@ -46,7 +46,7 @@ def player_season_totals(lines: DataFrame, complete: DataFrame) -> DataFrame:
     group = [*KEY, "player_id", "team_id", "category"]
     return (
         additive_stats(inside, group).groupBy(*group, "metric")
-        .agg(F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("total"),
+        .agg(F.try_sum(F.col("value").try_cast("decimal(38,10)")).cast("double").alias("total"),
              F.count("*").alias("games_with_metric"))
     )
 

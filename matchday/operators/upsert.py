@@ -58,26 +58,29 @@ def player_dim_upsert(observations: DataFrame) -> DataFrame:
 
 
 def accepted_boxscores(stored: DataFrame, new: DataFrame, games: DataFrame) -> DataFrame:
-    """Games whose new lines may replace the stored ones.
+    """Games whose new lines may replace the stored ones, and the newest observation that may.
+
+    Each observation is judged on its own.
 
     Both participants must have lines, nobody else may, and the stored manifest must not be newer.
     With only two admissible teams, "both present" is min <> max: no distinct count is shuffled.
     """
     sides = games.select(*GAME, "home", "away")
-    checked = new.join(sides, GAME).groupBy(*GAME).agg(
+    checked = new.join(sides, GAME).groupBy(*GAME, "observed_at").agg(
         F.bool_and(F.col("team_id").isin(F.col("home"), F.col("away"))).alias("participants"),
-        (F.min("team_id") != F.max("team_id")).alias("both"), F.max("observed_at").alias("new_at"))
+        (F.min("team_id") != F.max("team_id")).alias("both"))
+    newest = checked.where("participants and both").groupBy(*GAME).agg(F.max("observed_at").alias("new_at"))
     previous = stored.groupBy(*GAME).agg(F.max("observed_at").alias("old_at"))
     return (
-        checked.where("participants and both").join(previous, GAME, "left")
-        .where("old_at is null or old_at <= new_at").select(*GAME)
+        newest.join(previous, GAME, "left").where("old_at is null or old_at <= new_at")
+        .select(*GAME, F.col("new_at").alias("observed_at"))
     )
 
 
 def boxscore_replace(stored: DataFrame, new: DataFrame, games: DataFrame) -> DataFrame:
     """All lines of an accepted game are replaced together; a failed refresh keeps the old ones."""
     accepted = accepted_boxscores(stored, new, games)
-    return stored.join(accepted, GAME, "left_anti").unionByName(new.join(accepted, GAME, "left_semi"))
+    return stored.join(accepted, GAME, "left_anti").unionByName(new.join(accepted, [*GAME, "observed_at"], "left_semi"))
 
 
 def import_manifest(stored: DataFrame, responses: DataFrame) -> DataFrame:
@@ -86,9 +89,14 @@ def import_manifest(stored: DataFrame, responses: DataFrame) -> DataFrame:
     return newest_wins(stored, responses, ["league", "import_date"], ["observed_at", "response_id"])
 
 
+def import_date(games: DataFrame):
+    """The date a game was imported for, which the decoders emit; its UTC date where a table has none."""
+    return F.col("import_date") if "import_date" in games.columns else F.to_date("starts_at")
+
+
 def unknown_team_rejects(games: DataFrame, teams: DataFrame) -> DataFrame:
     """Games naming a team that the same league does not have; each rejects its import batch."""
-    sides = games.select("league", F.to_date("starts_at").alias("import_date"), "game_id",
+    sides = games.select("league", import_date(games).alias("import_date"), "game_id",
                          F.explode(F.array("home", "away")).alias("team_id"))
     return sides.join(teams.select("league", "team_id"), ["league", "team_id"], "left_anti").select(
         "league", "import_date", "game_id", "team_id")
@@ -97,8 +105,8 @@ def unknown_team_rejects(games: DataFrame, teams: DataFrame) -> DataFrame:
 def accepted_games(games: DataFrame, teams: DataFrame) -> DataFrame:
     """Games of the batches without an unknown team."""
     bad = unknown_team_rejects(games, teams).select("league", "import_date").distinct()
-    dated = games.withColumn("import_date", F.to_date("starts_at"))
-    return dated.join(bad, ["league", "import_date"], "left_anti").drop("import_date")
+    dated = games.withColumn("import_date", import_date(games))
+    return dated.join(bad, ["league", "import_date"], "left_anti").select(*games.columns)
 
 
 def constraint_violations(games: DataFrame, lines: DataFrame, imports: DataFrame, teams: DataFrame) -> DataFrame:

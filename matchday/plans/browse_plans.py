@@ -25,11 +25,11 @@ B_PLAYER_GAMES = "league, season, season_type, player_id, player, game_id, start
 
 
 def b_games(t, **f):
-    return op.browse_games(t["games"], t["teams"], complete(t), **{"league": None, "season": None, "season_type": None, **f})
+    return op.browse_games(t["games"], t["teams_by_league"], complete(t), **{"league": None, "season": None, "season_type": None, **f})
 
 
 def b_players(t, **f):
-    return op.browse_players(t["lines"], complete(t), t["teams"], t["players"],
+    return op.browse_players(t["lines"], complete(t), t["teams_by_league"], t["players"],
                              **{"league": None, "season": None, "season_type": None, **f})
 
 
@@ -52,7 +52,7 @@ def _(t):
 @query("browse_teams", """
 SELECT DISTINCT g.league, g.season, g.season_type, t.team_id, t.name FROM games g JOIN teams t ON t.team_id = g.home OR t.team_id = g.away""")
 def _(t):
-    return op.browse_teams(t["games"], t["teams"], season_type=None)
+    return op.browse_teams(t["games"], t["teams_by_league"], season_type=None)
 
 
 @query("browse_games", f"SELECT {B_GAMES} FROM b_games")
@@ -83,7 +83,7 @@ def _(t):
 
 @query("browse_player_games", f"SELECT {B_PLAYER_GAMES} FROM b_player_games")
 def _(t):
-    return op.browse_player_games(t["lines"], complete(t), t["teams"], t["players"], season_type=None)
+    return op.browse_player_games(t["lines"], complete(t), t["teams_by_league"], t["players"], season_type=None)
 
 
 @query("browse_totals", """
@@ -91,7 +91,7 @@ SELECT v.league, v.season, v.season_type, v.player_id, p.name AS player, v.team_
 FROM season_totals v JOIN players p ON p.league = v.league AND p.player_id = v.player_id JOIN teams t ON t.team_id = v.team_id""")
 def _(t):
     totals = player_stats.player_season_totals(t["lines"], complete(t))
-    return op.browse_totals(totals, t["teams"], t["players"], season_type=None)
+    return op.browse_totals(totals, t["teams_by_league"], t["players"], season_type=None)
 
 
 

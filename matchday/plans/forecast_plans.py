@@ -90,10 +90,9 @@ def _(t):
 
 @query("team_names", """
 SELECT g.league, g.game_id, coalesce(h.name, concat('Team ', g.home)) AS home_team, coalesce(a.name, concat('Team ', g.away)) AS away_team
-FROM games g LEFT JOIN league_teams h ON h.league = 'NFL' AND h.team_id = g.home LEFT JOIN league_teams a ON a.league = 'NFL' AND a.team_id = g.away""")
+FROM games g LEFT JOIN league_teams h ON h.league = g.league AND h.team_id = g.home LEFT JOIN league_teams a ON a.league = g.league AND a.team_id = g.away""")
 def _(t):
-    known = t["league_teams"].where("league = 'NFL'").select("team_id", "name")
-    return op.team_names(t["games"], known).select("league", "game_id", "home_team", "away_team")
+    return op.team_names(t["games"], t["league_teams"]).select("league", "game_id", "home_team", "away_team")
 
 
 # Refresh: stored history has old rows; NBA loads fail, NFL loads last ran 1998-05-10 except new seasons.
@@ -137,7 +136,7 @@ FROM decided d JOIN teams h ON h.team_id = d.home JOIN teams a ON a.team_id = d.
 def _(t):
     t.share("games")
     fitted, book, log = t.share("models", models(t)), ledger(t), loads(t)
-    out = per_clock(lambda now: op.today_predictions(t["games"], t["teams"], fitted, book, log.where(F.col("loaded_at") <= op.instant(now)), ZONE, now))
+    out = per_clock(lambda now: op.today_predictions(t["games"], t["teams_by_league"], fitted, book, log.where(F.col("loaded_at") <= op.instant(now)), ZONE, now))
     p = F.col("prediction")
     return out.select(
         "league", "game_id", "starts_at", "status", "home_team", "away_team", "model_id",
@@ -153,5 +152,5 @@ def _(t):
     t.share("games")
     fitted = t.share("models", models(t)).withColumn("trained_through", F.when(F.col("league") == "NFL", "1998-03-02").otherwise("1996-12-31"))
     book, log = ledger(t), loads(t)
-    out = per_clock(lambda now: op.today_predictions(t["games"], t["teams"], fitted, book, log.where(F.col("loaded_at") <= op.instant(now)), ZONE, now))
+    out = per_clock(lambda now: op.today_predictions(t["games"], t["teams_by_league"], fitted, book, log.where(F.col("loaded_at") <= op.instant(now)), ZONE, now))
     return out.groupBy("league", F.coalesce("unavailable", F.lit("available")).alias("reason")).agg(F.count("*").alias("games"))

@@ -76,6 +76,11 @@ class Tables:
         return self.raw("nation").select(
             F.col("n_nationkey").cast("string").alias("team_id"), F.col("n_name").alias("name"))
 
+    @cached_property
+    def teams_by_league(self) -> DataFrame:
+        """Every team in both leagues: ids are unique within a league only."""
+        return self["teams"].select(F.explode(F.array(F.lit("NBA"), F.lit("NFL"))).alias("league"), "team_id", "name")
+
     # --- games -----------------------------------------------------------------------------
     @cached_property
     def games(self) -> DataFrame:

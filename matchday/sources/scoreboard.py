@@ -57,7 +57,7 @@ def _verdict(league: Column):
         scored = status.isin(*SCORED_STATUSES)
         side = lambda name: F.get(F.filter(sides, lambda s: s["homeAway"] == name), F.lit(0))
         home, away = side("home"), side("away")
-        bad_score = lambda s: s["score"].isNotNull() & (F.coalesce(expr.integer(s["score"]), F.lit(-1)) < 0)
+        bad_score = lambda s: s["score"].isNotNull() & (F.coalesce(expr.integer(s["score"]), F.lit(-1)).between(0, 2**31 - 1) == F.lit(False))
         kept = F.when(league == "NFL", F.when(f["has_week"], f["week"]))
         identity = empty(f["id"]) | (f["n"] != 1) | (F.coalesce(f["season"], F.lit(0)) <= 0) | (F.coalesce(f["season_type"], F.lit(0)) <= 0)
         reason = (
@@ -70,7 +70,7 @@ def _verdict(league: Column):
             .when((status == "final") & F.exists(sides, lambda s: s["score"].isNull()), "final_score_missing")
             .when(home.isNull() | away.isNull(), "home_away")
             .when(home["team"]["id"] == away["team"]["id"], "same_team"))
-        points = lambda s: F.when(scored, expr.integer(s["score"])).cast("int")
+        points = lambda s: F.when(scored, expr.integer(s["score"])).try_cast("int")
         return F.struct(
             f["id"].alias("game_id"), f["season"].alias("season"), f["season_type"].alias("season_type"),
             f["starts_at"].alias("starts_at"), status.alias("status"), kept.alias("week"),
