@@ -67,7 +67,7 @@ def forecast_inputs(spark, games, now, status="scheduled", trained="2025-06-01",
                                  "away_probability double, generated_at timestamp_ntz, home_history_games bigint, away_history_games bigint")
     loads = spark.createDataFrame([("NBA", 2026, now - timedelta(minutes=loaded), True)] if loaded else [],
                                   "league string, season int, loaded_at timestamp_ntz, ok boolean")
-    teams = spark.createDataFrame([("h", "Home")], "team_id string, name string")
+    teams = spark.createDataFrame([("NBA", "h", "Home")], "league string, team_id string, name string")
     return games(rows), teams, models, book, loads
 
 
