@@ -46,20 +46,37 @@ def stored_keys(spark, path: str, reader: str = "csv") -> DataFrame | None:
     return found.select(*KEY).distinct()
 
 
-def write_keyed(df: DataFrame, path: str, order: list[str], *, overwrite: bool = False, kind: str = "csv") -> None:
+def remove_keys(spark, path: str, keys: list) -> None:
+    """Delete the partition folders of the given keys."""
+    jvm = spark._jvm
+    for key in keys:
+        folder = jvm.org.apache.hadoop.fs.Path("/".join([path, *(f"{k}={key[k]}" for k in KEY)]))
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def write_keyed(df: DataFrame, path: str, order: list[str], *, overwrite: bool = False, kind: str = "csv",
+                scopes: DataFrame | None = None) -> None:
     """Partitioned by key.  Existing keys are replaced only on request, and no other key is touched.
 
+    ``scopes`` names the keys an export stands for.  A stored key among them that has no rows now is removed after the
+    write; there are as many keys as seasons, so their list is small.
+
     Range partitioning on (key, order) spreads a large key over many tasks and files that are sorted
     one after the other; hash partitioning on the key would write it from a single task.
     """
     existing = stored_keys(df.sparkSession, path, kind)
+    stale = []
+    if existing is not None and scopes is not None and overwrite:
+        gone = existing.join(scopes.select(*KEY).distinct(), KEY, "left_semi").join(df.select(*KEY).distinct(), KEY, "left_anti")
+        stale = gone.collect()
     if existing is not None and not overwrite:
-        clash = df.select(*KEY).distinct().join(existing, KEY, "left_semi").limit(1).collect()
+        clash = (df if scopes is None else scopes).select(*KEY).distinct().join(existing, KEY, "left_semi").limit(1).collect()
         if clash:
             raise ValueError(f"export of {tuple(clash[0])} already exists; pass overwrite=True to replace it")
     ordered = df.repartitionByRange(*KEY, *order).sortWithinPartitions(*KEY, *order)
     writer = ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEY)
     (writer.options(**CSV).csv(path) if kind == "csv" else writer.format(kind).save(path))
+    remove_keys(df.sparkSession, path, stale)
 
 
 def require_ready(report: DataFrame, allow_incomplete: bool) -> None:
@@ -69,12 +86,12 @@ def require_ready(report: DataFrame, allow_incomplete: bool) -> None:
 
 def write_export(path: str, games: DataFrame, players: DataFrame, report: DataFrame, issues: DataFrame, *,
                  overwrite: bool = False, allow_incomplete: bool = False) -> None:
-    """Games, players, report and findings of every scope in ``report``."""
+    """Games, players, report and findings of every scope in ``report``; what a scope had before is replaced whole."""
     require_ready(report, allow_incomplete)
-    write_keyed(export_games(games), f"{path}/games", ["starts_at_utc", "game_id"], overwrite=overwrite)
-    write_keyed(export_players(players), f"{path}/players", ["game_id", "player_id", "category"], overwrite=overwrite)
+    write_keyed(export_games(games), f"{path}/games", ["starts_at_utc", "game_id"], overwrite=overwrite, scopes=report)
+    write_keyed(export_players(players), f"{path}/players", ["game_id", "player_id", "category"], overwrite=overwrite, scopes=report)
     write_keyed(report.withColumn("schema_version", F.lit(4)), f"{path}/report", [], overwrite=overwrite, kind="json")
-    write_keyed(issues, f"{path}/issues", ["code", "detail"], overwrite=overwrite, kind="json")
+    write_keyed(issues, f"{path}/issues", ["code", "detail"], overwrite=overwrite, scopes=report, kind="json")
 
 
 def run_features(split: DataFrame) -> DataFrame:

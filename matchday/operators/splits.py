@@ -137,27 +137,56 @@ def violations(plan: DataFrame) -> DataFrame:
 
 
 # --- seasons ---------------------------------------------------------------------------------
-def cross_season_pairs(games: DataFrame) -> DataFrame:
-    """Each regular season with the next stored one of its league; dates must not overlap."""
+def neighbours(games: DataFrame) -> DataFrame:
+    """Each regular season with the next stored one of its league."""
     seasons = games.where((F.col("season_type") == REGULAR) & (F.col("status") == "final")).groupBy("league", "season").agg(
         F.min("starts_at").alias("first"), F.max("starts_at").alias("last"))
     order = W.partitionBy("league").orderBy("season")
     return (
         seasons.withColumn("later", F.lead("season").over(order)).withColumn("later_first", F.lead("first").over(order))
-        .where(F.col("last") < F.col("later_first"))
+        .where("later is not null")
         .select("league", F.col("season").alias("earlier"), "later", F.col("last").alias("earlier_last"), "later_first")
     )
 
 
+def cross_season_pairs(games: DataFrame) -> DataFrame:
+    """Neighbouring regular seasons whose dates do not overlap."""
+    return neighbours(games).where(F.col("earlier_last") < F.col("later_first"))
+
+
+def cross_season_violations(games: DataFrame, examples: DataFrame) -> DataFrame:
+    """Neighbouring seasons that are no pair: their dates overlap, or the earlier one cannot be split."""
+    pair = ["league", "earlier", "later"]
+    overlapping = neighbours(games).where(F.col("earlier_last") >= F.col("later_first")).select(
+        *pair, F.lit("season_overlap").alias("reason"))
+    refused = violations(plan_earlier(examples)).where(F.col("season_type") == REGULAR).select(
+        "league", F.col("season").alias("earlier"), "reason")
+    return overlapping.unionByName(cross_season_pairs(games).select(*pair).join(refused, ["league", "earlier"]).select(*pair, "reason"))
+
+
+def before_holdout(games: DataFrame, holdouts: dict[str, int]) -> DataFrame:
+    inside = F.lit(False)
+    for league, season in sorted(holdouts.items()):
+        inside = inside | ((F.col("league") == league) & (F.col("season") < season))
+    return games.where(inside & (F.col("season_type") == REGULAR))
+
+
+def season_inventory_violations(games: DataFrame, holdouts: dict[str, int]) -> DataFrame:
+    """Leagues that the inventory leaves out: fewer than two development seasons, or none, before the holdout."""
+    found = before_holdout(games, holdouts).select("league", "season").distinct().groupBy("league").agg(
+        F.count("*").alias("development_seasons"))
+    asked = games.sparkSession.createDataFrame(sorted(holdouts.items()), "league string, holdout int")
+    return asked.join(found, "league", "left").select(
+        "league", "holdout", F.coalesce("development_seasons", F.lit(0)).alias("development_seasons")).where(
+        "development_seasons < 2")
+
+
 def season_inventory(games: DataFrame, holdouts: dict[str, int], fingerprints: bool = False) -> DataFrame:
     """Counts of development seasons strictly before each league's holdout.
 
     The filter is on partition columns only, so holdout partitions are never opened.
     """
-    inside = F.lit(False)
-    for league, season in sorted(holdouts.items()):
-        inside = inside | ((F.col("league") == league) & (F.col("season") < season))
-    development = games.where(inside & (F.col("season_type") == REGULAR))
+    development = before_holdout(games, holdouts)
     counts = example_counts(development)
     inventory = counts.withColumn("development_seasons", F.count("*").over(W.partitionBy("league"))).where(
         "development_seasons >= 2").drop("development_seasons")

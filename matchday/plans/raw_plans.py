@@ -87,13 +87,15 @@ SELECT r.league, r.import_date, r.response_id, r.observed_at,
 FROM sb_accepted r) WHERE k = 1""")
 def _(t):
     responses = scoreboard.manifest_responses(raw_scoreboards(t))
-    merged = upsert.import_manifest(responses.limit(0), responses)
+    noon = F.hour("observed_at") < 12
+    stored = upsert.newest(responses.where(noon), ["league", "import_date"], ["observed_at", "response_id"])
+    merged = upsert.import_manifest(stored, responses.where(~noon))
     return merged.withColumn("ids", F.array_join("ids", ","))
 
 
 # --- box scores ------------------------------------------------------------------------------
 view("bx_lines", """
-SELECT g.league, g.season, g.season_type, g.game_id, CAST(g.game_id AS BIGINT) AS n, x.l_partkey AS part, x.l_partkey // 10000 AS chunk,
+SELECT g.league, g.season, g.season_type, g.game_id, CAST(g.game_id AS BIGINT) AS n, x.l_partkey AS part,
        g.home, g.away, CASE WHEN x.l_partkey % 2 = 0 THEN g.home ELSE g.away END AS team_id, x.category, (x.discount = 0) AS dnp,
        CASE WHEN x.linenumber <> 7 THEN x.linenumber <= 3 END AS starter, x.linenumber AS line, x.quantity,
        x.linenumber = 6 AND x.category = 'general' AS benched
@@ -102,7 +104,7 @@ FROM (SELECT l_orderkey, l_partkey, CASE l_returnflag WHEN 'A' THEN 'general' WH
       FROM lineitem GROUP BY l_orderkey, l_partkey, l_returnflag) x
 JOIN games g ON g.game_id = CAST(x.l_orderkey AS STRING) WHERE g.status = 'final'""")
 view("bx_named", """
-SELECT *, concat(league, '-', game_id, '-', chunk) AS response_id, (dnp AND part % 3 = 0) OR (benched AND part % 3 <> 1) AS nameless FROM bx_lines""")
+SELECT *, concat(league, '-', game_id) AS response_id, (dnp AND part % 3 = 0) OR (benched AND part % 3 <> 1) AS nameless FROM bx_lines""")
 view("bx_judged", """
 SELECT *, CASE WHEN nameless AND (dnp OR (league = 'NBA' AND benched AND part % 47 <> 0 AND n % 41 <> 0)) THEN true ELSE false END AS excluded FROM bx_named""")
 view("bx_reasoned", """

@@ -118,11 +118,12 @@ def _(t):
     return op.violations(op.plan_earlier(t["examples"]))
 
 
-view("season_pairs", """
+view("season_neighbours", """
 SELECT league, season AS earlier, later, last_start AS earlier_last, later_first FROM (
 SELECT league, season, last_start, lead(season) OVER (PARTITION BY league ORDER BY season) AS later, lead(first_start) OVER (PARTITION BY league ORDER BY season) AS later_first
 FROM (SELECT league, season, min(starts_at) AS first_start, max(starts_at) AS last_start FROM games WHERE season_type = 2 AND status = 'final' GROUP BY league, season))
-WHERE last_start < later_first""")
+WHERE later IS NOT NULL""")
+view("season_pairs", "SELECT * FROM season_neighbours WHERE earlier_last < later_first")
 
 
 @query("cross_season_pairs", "SELECT * FROM season_pairs")
@@ -130,6 +131,25 @@ def _(t):
     return op.cross_season_pairs(t["games"])
 
 
+@query("cross_season_violations", """
+SELECT league, earlier, later, 'season_overlap' AS reason FROM season_neighbours WHERE earlier_last >= later_first
+UNION ALL SELECT p.league, p.earlier, p.later, b.reason FROM season_pairs p
+JOIN (SELECT league, season, min(reason) AS reason FROM bad_earlier WHERE season_type = 2 GROUP BY league, season) b
+  ON b.league = p.league AND b.season = p.earlier""")
+def _(t):
+    return op.cross_season_violations(t["games"], t["examples"])
+
+
+# The NFL's holdout is its first season, so that nothing lies before it.
+@query("season_inventory_violations", """
+SELECT h.league, h.holdout, count(DISTINCT g.season) AS development_seasons
+FROM (SELECT 'NBA' AS league, 2001 AS holdout UNION ALL SELECT 'NFL', 1990) h
+LEFT JOIN games g ON g.league = h.league AND g.season < h.holdout AND g.season_type = 2
+GROUP BY h.league, h.holdout HAVING count(DISTINCT g.season) < 2""")
+def _(t):
+    return op.season_inventory_violations(t["games"], {"NBA": 2001, "NFL": 1990})
+
+
 @query("season_inventory", f"""
 SELECT {K}, count(*) AS input_games, count(*) FILTER (WHERE fate = 'tie') AS excluded_ties,
        count(*) FILTER (WHERE fate = 'warmup') AS excluded_warmup, count(*) FILTER (WHERE fate = 'eligible') AS eligible_games

@@ -60,6 +60,22 @@ def _(t):
     return jobs.read_upserts(t.spark, f"{base}/out", jobs.LEDGER_KEY).select(*jobs.LEDGER_KEY, "generated_at", "p")
 
 
+QUARANTINE = "SELECT * FROM made WHERE starts_at > generated_at + INTERVAL 48 HOUR"
+
+
+@query("prediction_quarantine", QUARANTINE)
+def _(t):
+    return jobs.quarantined(made(t["events"]))
+
+
+@query("stream_prediction_quarantine", QUARANTINE)
+def _(t):
+    base = scratch_dir(t.spark)
+    source = made(event_stream(t))
+    run(jobs.start_quarantine, source, f"{base}/out", f"{base}/checkpoint")
+    return t.spark.read.schema(source.schema).parquet(f"{base}/out")
+
+
 @query("stream_quality", """
 SELECT league, reason, count(*) AS responses FROM (
 SELECT response_id, league, whole AS reason FROM sb_responses WHERE whole IS NOT NULL

@@ -1,4 +1,7 @@
-"""Raw box scores: one row per response, joined once to the stored game it claims to describe."""
+"""Raw box scores: one row per response, joined once to the stored game it claims to describe.
+
+Bodies are parsed where they are read; only the parsed parts meet the stored games.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +10,7 @@ from pyspark.sql import functions as F
 
 from matchday.functions import expr
 from matchday.functions.domain import DEFAULT_CATEGORY, REQUIRED_CATEGORIES, ZERO_PLACEHOLDERS
-from matchday.sources.scoreboard import CORRUPT, empty
+from matchday.sources.scoreboard import CORRUPT, accepted, bad_json, empty
 
 SCHEMA = """
 _corrupt_record string,
@@ -61,18 +64,20 @@ def judged(raw: DataFrame, games: DataFrame) -> DataFrame:
     for name, category in DEFAULT_CATEGORY.items():
         default = F.when(league == name, category).otherwise(default)
     stored = games.select(*GAME, "season", "season_type", "home", "away")
-    docs = raw.join(stored, GAME, "left").withColumn("doc", F.from_json("body", SCHEMA, CORRUPT))
+    parsed = raw.withColumn("doc", F.from_json("body", SCHEMA, CORRUPT)).select(
+        "response_id", *GAME, "observed_at", bad_json(F.col("doc"), F.col("body")).alias("bad_json"), "doc.header", "doc.boxscore")
+    docs = parsed.join(stored, GAME, "left")
 
     def categories(team):
         return F.transform(F.coalesce(team["statistics"], F.array()), lambda c: F.struct(
             F.when(empty(c["name"]), default).otherwise(c["name"]).alias("name"),
             F.coalesce(c["keys"], F.array()).alias("keys"), F.coalesce(c["athletes"], F.array()).alias("athletes")))
-    teams = F.transform(F.coalesce("doc.boxscore.players", F.array()), lambda t: F.struct(
+    teams = F.transform(F.coalesce("boxscore.players", F.array()), lambda t: F.struct(
         F.coalesce(t["team"]["id"], F.lit("")).alias("id"), categories(t).alias("cats")))
     lines = F.flatten(F.transform("teams", lambda t: F.flatten(F.transform(
         t["cats"], lambda c: F.transform(c["athletes"], _line(league, t["id"], c["name"], c["keys"]))))))
 
-    h = F.col("doc.header")
+    h = F.col("header")
     same = (
         (h["id"] == F.col("game_id")) & (h["league"]["abbreviation"] == league)
         & (h["season"]["year"] == F.col("season")) & (h["season"]["type"] == F.col("season_type")))
@@ -96,7 +101,7 @@ def judged(raw: DataFrame, games: DataFrame) -> DataFrame:
         (x["team_id"] == t["id"]) & ~x["did_not_play"] & (F.size(x["stats"]) > 0))))
     no = lambda c: ~F.coalesce(c, F.lit(False))
     whole = (
-        F.when(F.col("doc").isNull() | F.col("doc._corrupt_record").isNotNull(), "bad_json")
+        F.when(F.coalesce("bad_json", F.lit(True)), "bad_json")
         .when(no(same), "identity_mismatch").when(no(final), "not_final")
         .when(F.size("teams") != 2, "team_count").when(strange, "unexpected_team"))
     rules = F.array_compact(F.array(
@@ -114,8 +119,8 @@ def judged(raw: DataFrame, games: DataFrame) -> DataFrame:
 
 def boxscore_decode(raw: DataFrame, games: DataFrame) -> DataFrame:
     """One row per (game, team, category, athlete) of the accepted responses."""
-    good = judged(raw, games).where(F.size("reasons") == 0)
-    rows = good.select("response_id", *GAME, "season", "season_type", "observed_at", F.inline_outer("lines")).where(
+    rows = judged(raw, games).select(
+        "response_id", *GAME, "season", "season_type", "observed_at", F.inline_outer(accepted(F.col("lines")))).where(
         "category is not null and not excluded")
     stats = F.when(F.size("stats") > 0, F.to_json(F.map_from_arrays("keys", "stats"))).otherwise("{}")
     return rows.select("response_id", *GAME, "season", "season_type", "team_id", "player_id", "name", "category",
@@ -128,6 +133,6 @@ def boxscore_rejects(raw: DataFrame, games: DataFrame) -> DataFrame:
 
 def placeholder_dnp(raw: DataFrame, games: DataFrame) -> DataFrame:
     """Excluded entries without identity, per accepted response."""
-    good = judged(raw, games).where(F.size("reasons") == 0)
     n = F.size(F.filter("lines", lambda x: x["excluded"]))
-    return good.select("response_id", *GAME, n.alias("excluded")).where("excluded > 0")
+    return judged(raw, games).select("response_id", *GAME, F.explode_outer(accepted(F.array(n))).alias("excluded")).where(
+        "excluded > 0")

@@ -1,8 +1,7 @@
 """Landed JSON documents made from the adapter views, with faults set by rules on ids.
 
 Documents are bounded by construction: a scoreboard response covers ten consecutive ids, a team list
-twenty, and a box score the lines of one game within a range of ten thousand parts.  No group grows
-with the data.
+twenty, and a box score the lines of one game.  No group grows with the data.
 """
 
 from __future__ import annotations
@@ -74,13 +73,12 @@ def boxscores(items: DataFrame, games: DataFrame) -> DataFrame:
         F.when(benched, "COACH'S DECISION").otherwise("").alias("reason"), F.col("did_not_play").alias("didNotPlay"),
         "starter", F.when(hits(p, 47) & ~F.col("did_not_play"), F.slice(stats, 1, 2)).otherwise(stats).alias("stats"))
     keys = F.array(F.lit("minutes"), F.when(hits(g, 41), "minutes").otherwise("points"), F.lit("fieldGoalsMade-fieldGoalsAttempted"))
-    chunk = F.floor(p / 10000).alias("chunk")
-    by_category = items.groupBy(*KEY, "game_id", chunk, "home", "away", "team_id", "category").agg(
+    by_category = items.groupBy(*KEY, "game_id", "home", "away", "team_id", "category").agg(
         F.collect_list(athlete).alias("athletes"))
     category = F.struct(
         F.when((F.col("category") == "general") & (F.col("league") == "NBA"), "").otherwise(F.col("category")).alias("name"),
         keys.alias("keys"), "athletes")
-    per_team = by_category.groupBy(*KEY, "game_id", "chunk", "home", "away").agg(
+    per_team = by_category.groupBy(*KEY, "game_id", "home", "away").agg(
         F.filter(F.collect_list(F.when(F.col("team_id") == F.col("home"), category)), lambda c: c.isNotNull()).alias("h"),
         F.filter(F.collect_list(F.when(F.col("team_id") == F.col("away"), category)), lambda c: c.isNotNull()).alias("a"))
     nothing = F.filter("h", lambda c: F.lit(False))
@@ -104,7 +102,7 @@ def boxscores(items: DataFrame, games: DataFrame) -> DataFrame:
                  F.array(F.struct(F.struct(F.struct((~hits(g, 37)).alias("completed"), F.lit("post").alias("state")).alias("type")).alias("status"))).alias("competitions")).alias("header"),
         F.struct(F.when(hits(g, 53), F.array(home)).otherwise(F.array(home, away)).alias("players")).alias("boxscore")))
     return per_team.select(
-        F.concat_ws("-", "league", "game_id", F.col("chunk").cast("string")).alias("response_id"), "league", "game_id",
+        F.concat_ws("-", "league", "game_id").alias("response_id"), "league", "game_id",
         F.to_timestamp_ntz(F.lit("2026-01-01 00:00:00")).alias("observed_at"), body.alias("body"))
 
 

@@ -26,7 +26,7 @@ events array<struct<
     status: struct<type: struct<name: string, state: string, completed: boolean>>,
     competitors: array<struct<homeAway: string, team: struct<id: string>, score: string>>>>>>
 """
-CORRUPT = {"columnNameOfCorruptRecord": "_corrupt_record", "mode": "PERMISSIVE"}
+CORRUPT = {**expr.STRICT_JSON, "columnNameOfCorruptRecord": "_corrupt_record", "mode": "PERMISSIVE"}
 ID = ["response_id", "league", "import_date", "observed_at"]
 
 
@@ -34,6 +34,21 @@ def empty(text: Column) -> Column:
     return F.coalesce(text, F.lit("")) == ""
 
 
+def bad_json(doc: Column, body: Column) -> Column:
+    """True where a body is no JSON object, or text follows the object."""
+    ends = F.substring(F.rtrim(F.translate(body, "\n\r\t", "   ")), -1, 1) == "}"
+    return doc.isNull() | doc["_corrupt_record"].isNotNull() | ~ends
+
+
+def accepted(items: Column) -> Column:
+    """An array of accepted responses, null for rejected ones.
+
+    For outer generators.  A filter on the verdict would be pushed below it, and each of its reasons would parse the
+    body once more.
+    """
+    return F.when(F.size("reasons") == 0, items)
+
+
 def _facts(e: Column) -> Column:
     """Typed facts of one raw event."""
     c = F.get(e["competitions"], F.lit(0))
@@ -86,7 +101,7 @@ def judged(raw: DataFrame) -> DataFrame:
     events = F.coalesce("doc.events", F.array())
     ids = F.col("events.game_id")
     whole = (
-        F.when(F.col("doc").isNull() | F.col("doc._corrupt_record").isNotNull(), "bad_json")
+        F.when(bad_json(F.col("doc"), F.col("body")), "bad_json")
         .when(~F.coalesce(F.exists("doc.leagues", lambda x: x["abbreviation"] == league), F.lit(False)), "league_not_identified")
         .when(F.col("doc.events").isNull(), "events_missing")
         .when(F.size("doc.events") >= MAX_EVENTS, "too_many_events")
@@ -103,9 +118,8 @@ def judged(raw: DataFrame) -> DataFrame:
 
 def scoreboard_decode(raw: DataFrame) -> DataFrame:
     """Games of the accepted responses."""
-    good = judged(raw).where(F.size("reasons") == 0)
     return (
-        good.select(*ID, F.inline_outer("events")).where("game_id is not null and skip is null")
+        judged(raw).select(*ID, F.inline_outer(accepted(F.col("events")))).where("game_id is not null and skip is null")
         .select("league", "game_id", "season", "season_type", "starts_at", "status", "week", "home", "away",
                 "home_score", "away_score", "observed_at", "import_date", "response_id")
     )
@@ -124,7 +138,8 @@ def exhibition_skips(raw: DataFrame) -> DataFrame:
 def manifest_responses(raw: DataFrame) -> DataFrame:
     """One manifest row per accepted response; the id list is the response's own bounded array."""
     ids = F.transform(F.filter("events", lambda e: e["skip"].isNull()), lambda e: e["game_id"])
-    return judged(raw).where(F.size("reasons") == 0).select(*ID, F.sort_array(ids).alias("ids"))
+    row = F.array(F.struct(F.sort_array(ids).alias("ids")))
+    return judged(raw).select(*ID, F.inline_outer(accepted(row))).where("ids is not null")
 
 
 def games_in_range(daily: DataFrame, first: date, last: date) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchday.functions import expr
-from matchday.sources.scoreboard import CORRUPT
+from matchday.sources.scoreboard import CORRUPT, accepted, bad_json
 
 SCHEMA = """
 _corrupt_record string,
@@ -24,7 +24,7 @@ def judged(raw: DataFrame) -> DataFrame:
         t["team"]["id"].alias("team_id"), t["team"]["displayName"].alias("name"), t["team"]["abbreviation"].alias("abbreviation")))
     ids = F.col("teams.team_id")
     lack = lambda t: expr.blank(t["team_id"]) | expr.blank(t["name"]) | expr.blank(t["abbreviation"])
-    reasons = F.when(F.col("doc").isNull() | F.col("doc._corrupt_record").isNotNull(), F.array(F.lit("bad_json"))).otherwise(
+    reasons = F.when(bad_json(F.col("doc"), F.col("body")), F.array(F.lit("bad_json"))).otherwise(
         F.array_compact(F.array(
             F.when(F.size("teams") == 0, "no_teams"), F.when(F.exists("teams", lack), "missing_field"),
             F.when(F.size(F.array_distinct(ids)) < F.size(ids), "duplicate_team"))))
@@ -33,8 +33,7 @@ def judged(raw: DataFrame) -> DataFrame:
 
 
 def teams_decode(raw: DataFrame) -> DataFrame:
-    good = judged(raw).where(F.size("reasons") == 0)
-    return good.select("response_id", "league", F.inline_outer("teams")).where("team_id is not null")
+    return judged(raw).select("response_id", "league", F.inline_outer(accepted(F.col("teams")))).where("team_id is not null")
 
 
 def teams_rejects(raw: DataFrame) -> DataFrame:

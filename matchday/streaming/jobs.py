@@ -11,6 +11,7 @@ from matchday.operators.upsert import newest
 from matchday.sources import scoreboard
 
 LEDGER_KEY = ["model_id", "game_id", "starts_at"]
+AHEAD_HOURS = 48
 
 
 def stream_newest_wins(source: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -23,21 +24,25 @@ def stream_newest_wins(source: DataFrame, keys: list[str], order: list[str]) ->
         *[F.col(c) if c in keys else F.col(f"row.{c}").alias(c) for c in source.columns])
 
 
-def admissible(predictions: DataFrame) -> DataFrame:
-    """Made before the start and at most two days ahead: one absurd start must not move the watermark."""
-    ahead = F.col("starts_at") <= F.col("generated_at") + F.expr("INTERVAL 48 HOURS")
-    return predictions.where((F.col("generated_at") < F.col("starts_at")) & ahead)
+def horizon(hours: int):
+    return F.col("generated_at") + F.make_dt_interval(hours=F.lit(hours))
 
 
-def quarantined(predictions: DataFrame) -> DataFrame:
-    late = F.col("starts_at") > F.col("generated_at") + F.expr("INTERVAL 48 HOURS")
-    return predictions.where(late)
+def admissible(predictions: DataFrame, ahead_hours: int = AHEAD_HOURS) -> DataFrame:
+    """Made before the start and not too far ahead: one absurd start must not move the watermark."""
+    return predictions.where(
+        (F.col("generated_at") < F.col("starts_at")) & (F.col("starts_at") <= horizon(ahead_hours)))
 
 
-def prediction_ledger(predictions: DataFrame) -> DataFrame:
+def quarantined(predictions: DataFrame, ahead_hours: int = AHEAD_HOURS) -> DataFrame:
+    """What ``admissible`` leaves out for being too far ahead; ``start_quarantine`` stores it."""
+    return predictions.where(F.col("starts_at") > horizon(ahead_hours))
+
+
+def prediction_ledger(predictions: DataFrame, ahead_hours: int = AHEAD_HOURS) -> DataFrame:
     """Last prediction made before each (model, game, start): frozen after the start, and a moved
     start is a new entry.  Streaming input expires 72 hours behind the greatest start seen."""
-    rows = admissible(predictions)
+    rows = admissible(predictions, ahead_hours)
     if predictions.isStreaming:
         # Watermarks need a zoned timestamp; the session zone is UTC, so the instant is the same.
         rows = rows.withColumn("starts_at", F.col("starts_at").cast("timestamp")).withWatermark(
@@ -62,6 +67,14 @@ def read_upserts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return newest(rows, keys, ["batch_id"]).drop("batch_id")
 
 
+def start_quarantine(predictions: DataFrame, path: str, checkpoint: str, available_now: bool = False,
+                     ahead_hours: int = AHEAD_HOURS) -> StreamingQuery:
+    """Append the predictions that the ledger refuses for their horizon, from the ledger's own source."""
+    writer = quarantined(predictions, ahead_hours).writeStream.format("parquet").option("path", path).option(
+        "checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def start_quality(raw: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Counts of rejected responses by reason, and skipped exhibition events, per batch."""
     def write(batch: DataFrame, batch_id: int) -> None:
