@@ -132,9 +132,12 @@ def unchecked_dates(a: AuditInput) -> DataFrame:
                    "Supply a date range to check expected import dates.")
 
 
+def missing_date_counts(a: AuditInput) -> DataFrame:
+    return done.missing_import_dates(a.scopes, a.headers).groupBy(*KEY).agg(F.count("*").alias("n"))
+
+
 def missing_import_dates(a: AuditInput) -> DataFrame:
-    counts = done.missing_import_dates(a.scopes, a.headers).groupBy(*KEY).agg(F.count("*").alias("n"))
-    return finding(counts, "missing_import_dates", F.concat(
+    return finding(missing_date_counts(a), "missing_import_dates", F.concat(
         F.col("n").cast("string"), F.lit(" expected dates have no successful scoreboard import")))
 
 
@@ -165,8 +168,10 @@ def audit_report(a: AuditInput, issues: DataFrame | None = None) -> DataFrame:
     found = issues.groupBy(*KEY).agg(
         F.count_if(F.col("severity") == "issue").alias("issues"),
         F.count_if(F.col("severity") == "warning").alias("warnings"))
-    counts = ["stored_games", "final_games", "complete_player_games", "player_category_rows", "issues", "warnings"]
-    out = a.scopes.join(games, KEY, "left").join(rows, KEY, "left").join(found, KEY, "left")
+    dates = missing_date_counts(a).withColumnRenamed("n", "missing_import_dates")
+    counts = ["stored_games", "final_games", "complete_player_games", "player_category_rows", "issues", "warnings",
+              "missing_import_dates"]
+    out = a.scopes.join(games, KEY, "left").join(rows, KEY, "left").join(found, KEY, "left").join(dates, KEY, "left")
     return out.select(*KEY, *[F.coalesce(c, F.lit(0)).alias(c) for c in counts]).withColumn(
         "ready_for_export", F.col("issues") == 0)
 

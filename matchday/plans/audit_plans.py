@@ -99,7 +99,7 @@ REPORT = f"""
 SELECT s.league, s.season, s.season_type,
   coalesce(g.stored, 0) AS stored_games, coalesce(g.finals, 0) AS final_games, coalesce(g.complete, 0) AS complete_player_games,
   coalesce(l.n, 0) AS player_category_rows, coalesce(i.issues, 0) AS issues, coalesce(i.warnings, 0) AS warnings,
-  coalesce(i.issues, 0) = 0 AS ready_for_export
+  coalesce(m.missing, 0) AS missing_import_dates, coalesce(i.issues, 0) = 0 AS ready_for_export
 FROM scopes s
 LEFT JOIN (SELECT g.league, g.season, g.season_type, count(*) AS stored, count(*) FILTER (WHERE g.status = 'final') AS finals,
            count(*) FILTER (WHERE g.status = 'final' AND c.game_id IS NOT NULL) AS complete
@@ -109,7 +109,10 @@ LEFT JOIN (SELECT l.league, l.season, l.season_type, count(*) AS n FROM stored_l
   ON l.league = s.league AND l.season = s.season AND l.season_type = s.season_type
 LEFT JOIN (SELECT {K}, count(*) FILTER (WHERE severity = 'issue') AS issues, count(*) FILTER (WHERE severity = 'warning') AS warnings
            FROM audit_all GROUP BY {K}) i
-  ON i.league = s.league AND i.season = s.season AND i.season_type = s.season_type"""
+  ON i.league = s.league AND i.season = s.season AND i.season_type = s.season_type
+LEFT JOIN (SELECT {K}, count(*) AS missing FROM scope_days d
+           WHERE NOT EXISTS (SELECT 1 FROM headers h WHERE h.league = d.league AND h.import_date = d.import_date) GROUP BY {K}) m
+  ON m.league = s.league AND m.season = s.season AND m.season_type = s.season_type"""
 view("reports", REPORT)
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from matchday.functions.domain import FEATURES, KEY
-from matchday.operators import audit, completeness, sinks, splits
+from matchday.operators import audit, completeness, export_rules, sinks, splits
 from matchday.plans.audit_plans import audit_input
 from matchday.plans.completeness_plans import complete
 from matchday.plans.registry import query, view
@@ -55,6 +55,29 @@ def _(t):
     return exports.read_reports(t.spark, path)
 
 
+@query("export_report_rules", """
+SELECT league AS report_league, season AS report_season, season_type AS report_season_type, 'V1' AS rule, 'report' AS detail FROM reports
+WHERE NOT (ready_for_export AND issues = 0 AND missing_import_dates = 0)""")
+def _(t):
+    """V1 on the reports as written and read again."""
+    path = scratch_dir(t.spark)
+    report = audit.audit_report(audit_input(t)).withColumn("schema_version", F.lit(4))
+    sinks.write_keyed(report, f"{path}/report", [], kind="json")
+    return export_rules.report_rules(exports.read_reports(t.spark, path))
+
+
+@query("export_row_rules", """
+SELECT league AS report_league, season AS report_season, season_type AS report_season_type, 'V2' AS rule, game_id AS detail
+FROM exported_games WHERE player_import_complete <> 'true'
+UNION ALL SELECT league, season, season_type, 'V5', game_id FROM exported_games WHERE league = 'NBA' AND home_score = away_score""")
+def _(t):
+    """V2 to V5 on the games as written and read again."""
+    path = scratch_dir(t.spark)
+    report = audit.audit_report(audit_input(t)).withColumn("schema_version", F.lit(4))
+    sinks.write_keyed(sinks.export_games(flagged_games(t)), f"{path}/games", ["starts_at_utc", "game_id"])
+    return export_rules.game_rules(exports.with_report_key(exports.read_games(t.spark, path)), report)
+
+
 @query("export_overwrite", """
 SELECT game_id, league, season, season_type, starts_at_utc, home_team_id, away_team_id, home_score,
   CASE WHEN league = 'NFL' THEN '0' ELSE away_score END AS away_score, player_import_complete, week FROM exported_games""")

@@ -14,6 +14,13 @@ def event_stream(t):
     return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{t.sf_dir}/events*.parquet")
 
 
+def event_batches(t, base, files=3):
+    """The events as a stream of one micro-batch per file, in no order of time."""
+    t["events"].repartition(files).write.parquet(f"{base}/events")
+    schema = t.spark.read.parquet(f"{base}/events").schema
+    return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/events")
+
+
 def run(start, *args):
     jobs_query = start(*args, available_now=True)
     jobs_query.awaitTermination()
@@ -24,8 +31,8 @@ SELECT game_id, observed_at, seq, status, home_score FROM (
   SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY observed_at DESC, seq DESC) AS r FROM snapshots) WHERE r = 1""")
 def _(t):
     scored = F.col("event_type").isin("view", "purchase")
-    source = event_stream(t).select(*Tables.snapshot_columns(scored))
     base = scratch_dir(t.spark)
+    source = event_batches(t, base).select(*Tables.snapshot_columns(scored))
     run(jobs.start_upserts, jobs.stream_newest_wins(source, ["game_id"], ["observed_at", "seq"]), f"{base}/out", f"{base}/checkpoint")
     return jobs.read_upserts(t.spark, f"{base}/out", ["game_id"]).select("game_id", "observed_at", "seq", "status", "home_score")
 
@@ -71,7 +78,7 @@ def _(t):
 @query("stream_prediction_quarantine", QUARANTINE)
 def _(t):
     base = scratch_dir(t.spark)
-    source = made(event_stream(t))
+    source = made(event_batches(t, base))
     run(jobs.start_quarantine, source, f"{base}/out", f"{base}/checkpoint")
     return t.spark.read.schema(source.schema).parquet(f"{base}/out")
 

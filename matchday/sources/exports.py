@@ -24,6 +24,7 @@ def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
 
 def with_report_key(df: DataFrame) -> DataFrame:
+    """Rows of an export as the export rules take them: the partition's key, and the key fields as text."""
     return df.select("*", *[F.col(k).alias(r) for k, r in zip(KEY, REPORT)]).withColumn(
         "season", F.col("season").cast("string")).withColumn("season_type", F.col("season_type").cast("string"))
 
@@ -38,6 +39,6 @@ def read_players(spark: SparkSession, path: str) -> DataFrame:
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     schema = ("schema_version int, stored_games bigint, final_games bigint, complete_player_games bigint, "
-              "player_category_rows bigint, issues bigint, warnings bigint, ready_for_export boolean, "
+              "player_category_rows bigint, issues bigint, warnings bigint, missing_import_dates bigint, ready_for_export boolean, "
               "league string, season int, season_type int")
     return spark.read.schema(schema).option("mode", "FAILFAST").json(f"{path}/report")
