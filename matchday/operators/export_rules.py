@@ -62,22 +62,42 @@ def game_rules(games: DataFrame, reports: DataFrame) -> DataFrame:
     return row_rules(rows, {"V2": mixed, "V3": time, "V4": identity, "V5": tied}, F.coalesce("game_id", F.lit("")))
 
 
-def duplicate_games(games: DataFrame) -> DataFrame:
-    """V4: repeated ids, counted with map-side partial aggregation."""
-    again = games.groupBy(*GAME).agg(F.count("*").alias("n")).where("n > 1")
-    return again.select(*REPORT, F.lit("V4").alias("rule"), F.concat(F.lit("duplicate "), "game_id").alias("detail"))
-
-
-def count_rules(reports: DataFrame, games: DataFrame, players: DataFrame) -> DataFrame:
-    """V6: stored counts equal the report's, and there is a game."""
-    named = reports.select(*[F.col(k).alias(r) for k, r in zip(KEY, REPORT)], "final_games", "complete_player_games",
-                           "player_category_rows")
-    n_games = games.groupBy(*REPORT).agg(F.count("*").alias("n_games"))
-    n_rows = players.groupBy(*REPORT).agg(F.count("*").alias("n_rows"))
-    both = named.join(n_games, REPORT, "left").join(n_rows, REPORT, "left")
-    n, m = F.coalesce("n_games", F.lit(0)), F.coalesce("n_rows", F.lit(0))
-    bad = (n == 0) | (n != F.col("final_games")) | (n != F.col("complete_player_games")) | (m != F.col("player_category_rows"))
-    return row_rules(both, {"V6": bad}, F.lit("counts"))
+def key_rules(reports: DataFrame, games: DataFrame, players: DataFrame) -> DataFrame:
+    """V4 and V8 duplicates, V6 counts and V11 teams, from one aggregation over keys.
+
+    Reports, games and players become narrow rows of one set; grouping sets count them per player row key, per game and
+    per report, with map-side combining, so each table is read once whatever the number of rules.
+    """
+    zero, none = F.lit(0), F.lit(None).cast("string")
+    expected = ["final_games", "complete_player_games", "player_category_rows"]
+
+    def rows(df, report=0, game=0, player=0):
+        named = lambda c, on: (F.col(c) if on else none).alias(c)
+        return df.select(
+            *REPORT, named("game_id", game or player), *[named(c, player) for c in ("player_id", "category", "team_id")],
+            F.lit(report).alias("report"), F.lit(game).alias("game"), F.lit(player).alias("player"),
+            *[(F.col(c).cast("long") if report else F.lit(None).cast("long")).alias(c) for c in expected])
+
+    headers = reports.select(*[F.col(k).alias(r) for k, r in zip(KEY, REPORT)], *expected)
+    everything = rows(headers, report=1).unionByName(rows(games, game=1)).unionByName(rows(players, player=1))
+    line, game, scope = [*GAME, "player_id", "category"], GAME, REPORT
+    counted = everything.groupingSets([line, game, scope], *line).agg(
+        F.grouping_id().alias("level"), F.sum("report").alias("reports"), F.sum("game").alias("games"),
+        F.sum("player").alias("players"), F.min("team_id").alias("low"), F.max("team_id").alias("high"),
+        *[f(c).alias(f"{n}_{c}") for c in expected for n, f in (("min", F.min), ("max", F.max))])
+    is_line, is_game, is_scope = F.col("level") == 0, F.col("level") == 3, F.col("level") == 7
+    stored = dict(zip(expected, ("games", "games", "players")))
+    differs = reduce(lambda x, y: x | y, [
+        ~(F.col(f"min_{c}").eqNullSafe(F.col(n)) & F.col(f"max_{c}").eqNullSafe(F.col(n))) for c, n in stored.items()])
+    finding = lambda bad, rule, detail: F.when(bad, F.struct(F.lit(rule).alias("rule"), detail.alias("detail")))
+    text = F.concat_ws("/", "game_id", "player_id", "category")
+    one_sided = F.col("game_id").isNull() | F.col("low").isNull() | (F.col("low") == F.col("high"))
+    found = F.array_compact(F.array(
+        finding(is_game & (F.col("games") > 1), "V4", F.concat(F.lit("duplicate "), F.coalesce("game_id", F.lit("")))),
+        finding(is_scope & (F.col("reports") > 0) & ((F.col("games") == zero) | differs), "V6", F.lit("counts")),
+        finding(is_line & (F.col("players") > 1), "V8", F.concat(F.lit("duplicate "), text)),
+        finding(is_game & (F.col("games") > 0) & one_sided, "V11", F.coalesce("game_id", F.lit("")))))
+    return counted.select(*REPORT, F.inline(found))
 
 
 def player_rules(players: DataFrame, games: DataFrame) -> DataFrame:
@@ -97,32 +117,20 @@ def player_rules(players: DataFrame, games: DataFrame) -> DataFrame:
     return row_rules(rows, {"V7": stranger, "V8": identity, "V9": flags, "V10": stats}, detail)
 
 
-def duplicate_players(players: DataFrame) -> DataFrame:
-    """V8: repeated (game, player, category)."""
-    keys = [*GAME, "player_id", "category"]
-    again = players.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
-    detail = F.concat(F.lit("duplicate "), F.concat_ws("/", "game_id", "player_id", "category"))
-    return again.select(*REPORT, F.lit("V8").alias("rule"), detail.alias("detail"))
-
-
-def team_rules(games: DataFrame, players: DataFrame) -> DataFrame:
-    """Both teams of a game have player rows.  Two admissible teams: min and max suffice."""
-    sides = players.groupBy(*GAME).agg(F.min("team_id").alias("low"), F.max("team_id").alias("high"))
-    rows = games.select(*GAME).distinct().join(sides, GAME, "left")
-    return row_rules(rows, {"V11": F.col("low").isNull() | (F.col("low") == F.col("high"))}, F.col("game_id"))
-
-
 def export_violations(reports: DataFrame, games: DataFrame, players: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [
-        report_rules(reports), game_rules(games, reports), duplicate_games(games), count_rules(reports, games, players),
-        player_rules(players, games), duplicate_players(players), team_rules(games, players)])
+        report_rules(reports), game_rules(games, reports), player_rules(players, games), key_rules(reports, games, players)])
 
 
 def by_rule(rule: str, reports: DataFrame, games: DataFrame, players: DataFrame) -> DataFrame:
     """Findings of one rule, planned without the passes that cannot produce it."""
     passes = {
-        "V1": [report_rules(reports)], "V4": [game_rules(games, reports), duplicate_games(games)],
-        "V6": [count_rules(reports, games, players)], "V8": [player_rules(players, games), duplicate_players(players)],
-        "V11": [team_rules(games, players)]}
-    default = [game_rules(games, reports)] if rule in ("V2", "V3", "V5") else [player_rules(players, games)]
-    return reduce(DataFrame.unionByName, passes.get(rule, default)).where(F.col("rule") == rule)
+        "V1": lambda: [report_rules(reports)],
+        "V4": lambda: [game_rules(games, reports), key_rules(reports, games, players)],
+        "V6": lambda: [key_rules(reports, games, players)],
+        "V8": lambda: [player_rules(players, games), key_rules(reports, games, players)],
+        "V11": lambda: [key_rules(reports, games, players)]}
+    for name in ("V2", "V3", "V5"):
+        passes[name] = lambda: [game_rules(games, reports)]
+    planned = passes.get(rule, lambda: [player_rules(players, games)])()
+    return reduce(DataFrame.unionByName, planned).where(F.col("rule") == rule)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,14 +37,17 @@ def export_players(lines: DataFrame) -> DataFrame:
         text("did_not_play"), text("starter"), "stats_json", "participation_status")
 
 
-def stored_keys(spark, path: str, reader: str = "csv") -> DataFrame | None:
-    try:
-        found = spark.read.options(**CSV).format(reader).load(path)
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-    return found.select(*KEY).distinct()
+def stored_keys(spark, path: str) -> DataFrame | None:
+    """Keys that have a partition folder: the folder names are read, not the rows.  There are as many as seasons."""
+    jvm = spark._jvm
+    glob = jvm.org.apache.hadoop.fs.Path("/".join([path, *(f"{k}=*" for k in KEY)]))
+    found = glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob)
+    keys = []
+    for status in found or []:
+        values = status.getPath().toString().split("/")[-len(KEY):]
+        league, season, season_type = (unquote(v.split("=", 1)[1]) for v in values)
+        keys.append((league, int(season), int(season_type)))
+    return spark.createDataFrame(keys, "league string, season int, season_type int") if keys else None
 
 
 def remove_keys(spark, path: str, keys: list) -> None:
@@ -64,7 +68,7 @@ def write_keyed(df: DataFrame, path: str, order: list[str], *, overwrite: bool =
     Range partitioning on (key, order) spreads a large key over many tasks and files that are sorted
     one after the other; hash partitioning on the key would write it from a single task.
     """
-    existing = stored_keys(df.sparkSession, path, kind)
+    existing = stored_keys(df.sparkSession, path)
     stale = []
     if existing is not None and scopes is not None and overwrite:
         gone = existing.join(scopes.select(*KEY).distinct(), KEY, "left_semi").join(df.select(*KEY).distinct(), KEY, "left_anti")
@@ -105,8 +109,12 @@ def write_run(path: str, split: DataFrame, predictions: DataFrame) -> None:
 
 
 def dataset_fingerprint(df: DataFrame, by: list[str]) -> DataFrame:
-    """Identity of a set of rows that ignores their order; combines on the map side."""
+    """Identity of a set of rows that ignores their order; combines on the map side.
+
+    A row's digest is the MD5 of its values as text in column order by name, a null written as \\N and values kept apart
+    by a unit separator, so any engine with MD5 can recompute it.  The first 15 hex digits of the digests are added up.
+    """
     columns = sorted(c for c in df.columns if c not in by)
-    return df.groupBy(*by).agg(
-        F.count("*").alias("rows"),
-        F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).cast("string").alias("fingerprint"))
+    canonical = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns])
+    digest = F.conv(F.substring(F.md5(canonical), 1, 15), 16, 10).cast("decimal(28,0)")
+    return df.groupBy(*by).agg(F.count("*").alias("rows"), F.sum(digest).cast("string").alias("fingerprint"))

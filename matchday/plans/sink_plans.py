@@ -108,6 +108,13 @@ def _(t):
     return t.spark.read.parquet(f"{path}/features")
 
 
-@query("dataset_fingerprint")
+view("fingerprints", """
+SELECT league, season, season_type, count(*) AS rows, CAST(sum(CAST('0x' || substr(md5(concat_ws(chr(31),
+  away, coalesce(CAST(away_score AS VARCHAR), '\\N'), game_id, home, coalesce(CAST(home_score AS VARCHAR), '\\N'),
+  strftime(starts_at, '%Y-%m-%d %H:%M:%S'), status, CAST(week AS VARCHAR))), 1, 15) AS BIGINT)) AS VARCHAR) AS fingerprint
+FROM games GROUP BY league, season, season_type""")
+
+
+@query("dataset_fingerprint", "SELECT * FROM fingerprints")
 def _(t):
     return sinks.dataset_fingerprint(t["games"], KEY)

@@ -150,15 +150,18 @@ def _(t):
     return op.season_inventory_violations(t["games"], {"NBA": 2001, "NFL": 1990})
 
 
-@query("season_inventory", f"""
+view("inventory", f"""
 SELECT {K}, count(*) AS input_games, count(*) FILTER (WHERE fate = 'tie') AS excluded_ties,
        count(*) FILTER (WHERE fate = 'warmup') AS excluded_warmup, count(*) FILTER (WHERE fate = 'eligible') AS eligible_games
 FROM classified WHERE season_type = 2 AND ((league = 'NBA' AND season < 2001) OR (league = 'NFL' AND season < 2000)) GROUP BY {K}""")
+
+
+@query("season_inventory", "SELECT * FROM inventory")
 def _(t):
     return op.season_inventory(t["games"], {"NBA": 2001, "NFL": 2000})
 
 
-@query("season_inventory_fingerprints")
+@query("season_inventory_fingerprints", f"SELECT * FROM inventory JOIN fingerprints USING ({K})")
 def _(t):
     return op.season_inventory(t.share("games"), {"NBA": 2001, "NFL": 2000}, fingerprints=True)
 

@@ -45,14 +45,19 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder.
+    """A new folder below the cluster's shared checkpoint folder, deleted when the driver ends.
 
     A machine-local folder is used only where the cluster names none, which is the case in tests
     and other single-machine sessions.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        return f"{shared.rstrip('/')}/matchday-{uuid.uuid4().hex}"
+        path = f"{shared.rstrip('/')}/matchday-{uuid.uuid4().hex}"
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)  # when the driver ends: results are read from here until then
+        return path
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     path = tempfile.mkdtemp(prefix="spark-")
