@@ -85,6 +85,15 @@ def report_upsert(stored: DataFrame, batch: DataFrame, violations: DataFrame) ->
     return stored.join(batch.select("report_id"), "report_id", "left_anti").unionByName(batch)
 
 
+def replace_reports(stored: dict[str, DataFrame], batch: dict[str, DataFrame], violations: DataFrame) -> dict[str, DataFrame]:
+    """All tables of a publication (``reports`` among them): what a report of the batch had before is replaced whole, so a
+    candidate, bin or prediction it no longer has does not stay.  Any violation stops the whole batch."""
+    reports = report_upsert(stored["reports"], batch["reports"], violations)
+    ids = batch["reports"].select("report_id").distinct()
+    kept = {name: df.join(ids, "report_id", "left_anti") for name, df in stored.items() if name != "reports"}
+    return {"reports": reports, **{name: df.unionByName(batch[name]) for name, df in kept.items()}}
+
+
 def runs_list(reports: DataFrame) -> DataFrame:
     return reports.select("report_id", "title", "league", "kind", "generated_at").orderBy("report_id")
 

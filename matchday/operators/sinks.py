@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from matchday.functions.domain import FEATURES, KEY
 from matchday.operators.player_stats import participation
+from matchday.session import hadoop
 
 CSV = {"header": True, "quote": '"', "escape": '"', "nullValue": "", "emptyValue": ""}
 
@@ -39,11 +40,9 @@ def export_players(lines: DataFrame) -> DataFrame:
 
 def stored_keys(spark, path: str) -> DataFrame | None:
     """Keys that have a partition folder: the folder names are read, not the rows.  There are as many as seasons."""
-    jvm = spark._jvm
-    glob = jvm.org.apache.hadoop.fs.Path("/".join([path, *(f"{k}=*" for k in KEY)]))
-    found = glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob)
+    files, glob = hadoop(spark, "/".join([path, *(f"{k}=*" for k in KEY)]))
     keys = []
-    for status in found or []:
+    for status in files.globStatus(glob) or []:
         values = status.getPath().toString().split("/")[-len(KEY):]
         league, season, season_type = (unquote(v.split("=", 1)[1]) for v in values)
         keys.append((league, int(season), int(season_type)))
@@ -52,10 +51,9 @@ def stored_keys(spark, path: str) -> DataFrame | None:
 
 def remove_keys(spark, path: str, keys: list) -> None:
     """Delete the partition folders of the given keys."""
-    jvm = spark._jvm
     for key in keys:
-        folder = jvm.org.apache.hadoop.fs.Path("/".join([path, *(f"{k}={key[k]}" for k in KEY)]))
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        files, folder = hadoop(spark, "/".join([path, *(f"{k}={key[k]}" for k in KEY)]))
+        files.delete(folder, True)
 
 
 def write_keyed(df: DataFrame, path: str, order: list[str], *, overwrite: bool = False, kind: str = "csv",

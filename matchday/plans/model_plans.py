@@ -175,6 +175,27 @@ def _(t):
     return fit.model_artifact(models, split, KEY, F.concat_ws("-", "league", F.col("season").cast("string"), "candidate"))
 
 
+@query("validation_candidates")
+def _(t):
+    """Validation loss of every fitted model of the C grid."""
+    split = materialize(splits.split_60_20_20(t["examples"]), "split")
+    return fit.validation_losses(fit.fit_logistic(split, KEY, CANDIDATES), split, KEY)
+
+
+@query("validation_candidates_check", f"""
+SELECT s.league, s.season, s.season_type, k.candidate, 4 AS grid, true AS finite, true AS least, true AS smallest_of_ties
+FROM (SELECT DISTINCT {K} FROM s602020) s JOIN ({CANDIDATE_SQL}) k ON k.league = s.league""")
+def _(t):
+    """The selected C of every key and candidate, against the grid it was selected from."""
+    split = materialize(splits.split_60_20_20(t["examples"]), "split")
+    losses = materialize(fit.validation_losses(fit.fit_logistic(split, KEY, CANDIDATES), split, KEY), "losses")
+    chosen = fit.select_c(losses, KEY).select(*KEY, "candidate", F.col("C").alias("chosen"), F.col("log_loss").alias("best"))
+    return losses.join(chosen, [*KEY, "candidate"]).groupBy(*KEY, "candidate").agg(
+        F.count("*").cast("int").alias("grid"), F.bool_and(F.expr("log_loss > 0 AND log_loss < 100")).alias("finite"),
+        F.bool_and(F.expr("best <= log_loss")).alias("least"),
+        F.bool_and(F.expr("log_loss > best OR C >= chosen")).alias("smallest_of_ties"))
+
+
 @query("evaluate")
 def _(t):
     return fit.evaluate(t["examples"])[1]
@@ -185,11 +206,51 @@ def _(t):
     return fit.cross_season(t["games"])[1]
 
 
+@query("cross_season_summary", f"""
+WITH p AS (SELECT n.* FROM season_pairs n WHERE NOT EXISTS (
+  SELECT 1 FROM bad_earlier b WHERE b.league = n.league AND b.season = n.earlier AND b.season_type = 2)),
+c AS ({CANDIDATE_SQL} UNION ALL SELECT 'NBA', '{BASELINE}' UNION ALL SELECT 'NFL', '{BASELINE}'),
+r AS (SELECT league, season, avg(target) AS rate FROM (
+  SELECT *, CASE WHEN league = 'NFL' THEN week ELSE CAST(date - DATE '1970-01-01' AS INT) END AS slot FROM examples) e
+  JOIN (SELECT {K}, slot, split FROM ex_slots) d USING ({K}, slot) WHERE split = 'train' GROUP BY league, season)
+SELECT p.league, p.earlier, p.later, c.candidate, count(*) AS games, CAST(sum(e.target) AS BIGINT) AS home_wins,
+  CAST(sum(g.home_score) AS BIGINT) AS home_points, CAST(sum(g.away_score) AS BIGINT) AS away_points,
+  count(DISTINCT g.home) AS home_teams, count(DISTINCT g.away) AS away_teams,
+  CASE WHEN c.candidate = '{BASELINE}' THEN round(any_value(r.rate), 9) END AS constant
+FROM p JOIN examples e ON e.league = p.league AND e.season = p.later JOIN games g ON g.game_id = e.game_id
+JOIN c ON c.league = p.league JOIN r ON r.league = p.league AND r.season = p.earlier
+GROUP BY p.league, p.earlier, p.later, c.candidate""")
+def _(t):
+    """Each game of a later season is predicted once per candidate and by the baseline of the earlier one."""
+    out = fit.cross_season(t["games"])[1]
+    constant = F.when(F.col("candidate") == BASELINE, F.round(F.max("p"), 9))
+    return out.groupBy("league", "earlier", "later", "candidate").agg(
+        F.count("*").alias("games"), F.sum("target").cast("long").alias("home_wins"), F.sum("home_score").alias("home_points"),
+        F.sum("away_score").alias("away_points"), F.countDistinct("home_team_id").alias("home_teams"),
+        F.countDistinct("away_team_id").alias("away_teams"), constant.alias("constant"))
+
+
 @query("baseline_run")
 def _(t):
     return fit.baseline_run(t["examples"])[1]
 
 
+@query("baseline_run_metrics", f"""
+WITH rates AS (SELECT {K}, avg(target) AS p FROM s602020 WHERE split = 'train' GROUP BY {K}),
+m AS (SELECT {K}, split, {METRICS}, CAST(sum(target) AS BIGINT) AS home_wins
+  FROM s602020 JOIN rates USING ({K}) WHERE split <> 'train' GROUP BY {K}, split)
+SELECT *, '{BASELINE}' AS candidate FROM m
+UNION ALL SELECT {K}, split, games, NULL, NULL, NULL, home_wins, 'all' FROM m""")
+def _(t):
+    """Metrics of both models on both parts; fitted values, which SQL cannot recompute, are left out of the comparison."""
+    out = fit.baseline_run(t["examples"])[1]
+    by = [*KEY, "split", "candidate"]
+    wins = out.groupBy(*by).agg(F.sum("target").cast("long").alias("home_wins"))
+    found = round_metrics(op.metrics(out, by)).join(wins, by)
+    constant = F.col("candidate") == BASELINE
+    return found.select(*by, "games", "home_wins", *[F.when(constant, F.col(c)).alias(c) for c in ("log_loss", "brier_score", "accuracy")])
+
+
 # --- metrics ---------------------------------------------------------------------------------
 @query("metrics", f"SELECT {V}, {METRICS} FROM predictions GROUP BY {V}")
 def _(t):

@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from matchday.functions.domain import KEY
-from matchday.operators import metrics, publish
+from matchday.functions.domain import BASELINE, KEY
+from matchday.operators import fit, metrics, publish
 from matchday.plans.model_plans import GROUP, METRICS, round_metrics, rounded
 from matchday.plans.model_plans import predictions as scored
 from matchday.plans.registry import query, view
+from matchday.session import materialize
 
 STAMP = "2026-01-01T00:00:00Z"
 RUN = "concat(league, '-', CAST(season AS VARCHAR))"
@@ -141,6 +142,53 @@ def _(t):
     return publish.report_upsert(stored, batch, found)
 
 
+def replaced(t):
+    """Stored runs whose candidates have old names, and a batch that publishes the NFL's anew without one candidate."""
+    old = F.concat(F.lit("old-"), "candidate").alias("candidate")
+    bins = rounded(metrics.calibration_bins(predictions(t), GROUP), "mean_probability", "observed_home_win_rate", digits=6)
+    fresh = {
+        "reports": reports(t), "candidates": publish.public_candidates(run_metrics(t)),
+        "calibration": publish.public_calibration(bins.withColumn("report_id", run_id()).withColumnRenamed("variant", "candidate")),
+        "predictions": publish.public_predictions(*run_rows(t))}
+    stored = {n: df if n == "reports" else df.select(*[old if c == "candidate" else F.col(c) for c in df.columns]) for n, df in fresh.items()}
+    batch = {n: df.where("report_id LIKE 'NFL-%'") if n == "reports" else df.where("report_id LIKE 'NFL-%' AND candidate <> 'bold'")
+             for n, df in fresh.items()}
+    found = publish.report_violations(batch["reports"], batch["candidates"], batch["predictions"])
+    return publish.replace_reports(stored, batch, found)
+
+
+def replaced_sql(table):
+    return f"""SELECT * REPLACE (concat('old-', candidate) AS candidate) FROM {table} WHERE report_id NOT LIKE 'NFL-%'
+UNION ALL SELECT * FROM {table} WHERE report_id LIKE 'NFL-%' AND candidate <> 'bold'"""
+
+
+view("pub_calibration", f"""
+SELECT {RUN} AS report_id, variant AS candidate, lower, upper, games, mean_probability, observed_home_win_rate FROM full_bins""")
+for _name in ("candidates", "calibration", "predictions"):
+    query(f"report_replace_{_name}", replaced_sql(f"pub_{_name}"))(lambda t, n=_name: replaced(t)[n])
+
+
+@query("fitted_publication", f"""
+SELECT {RUN} AS report_id, candidate, count(*) AS games, CAST(sum(target) AS BIGINT) AS home_wins, 10 AS bins, 0 AS violations
+FROM s602020, (SELECT unnest(['all', '{BASELINE}']) AS candidate) WHERE split = 'test' GROUP BY ALL""")
+def _(t):
+    """Fit, score, metrics and publication in one run: the test part of each season's split."""
+    out = materialize(fit.baseline_run(t["examples"])[1].where("split = 'test'"), "fitted")
+    rows = out.select(run_id().alias("report_id"), F.col("candidate").alias("feature_set"), "game_id", "date",
+                      F.col("target").alias("home_win"), F.col("p").alias("home_probability"))
+    keyed = out.withColumn("report_id", run_id())
+    candidates = publish.public_candidates(metrics.metrics(keyed, ["report_id", "candidate"]))
+    bins = publish.public_calibration(metrics.calibration_bins(keyed, ["report_id", "candidate"])).groupBy("report_id", "candidate").agg(
+        F.count("*").cast("int").alias("bins"))
+    double = rows.limit(0).select(*[F.lit(None).alias(c) if c not in rows.columns else F.col(c) for c in ("report_id", *publish.PREDICTION_FIELDS)])
+    published = publish.public_predictions(rows, double)
+    heads = out.select(*KEY).distinct().select(run_id().alias("report_id"), F.lit(1).alias("schema_version"), "league", F.lit("run").alias("title"))
+    bad = publish.report_violations(heads, candidates, published).groupBy("report_id").agg(F.count("*").cast("int").alias("violations"))
+    wins = published.groupBy("report_id", "candidate").agg(F.sum("home_win").cast("long").alias("home_wins"))
+    return (candidates.select("report_id", "candidate", "games").join(wins, ["report_id", "candidate"])
+            .join(bins, ["report_id", "candidate"]).join(bad, "report_id", "left").withColumn("violations", F.coalesce("violations", F.lit(0))))
+
+
 @query("runs_list", "SELECT report_id, title, league, kind, generated_at FROM pub_reports ORDER BY report_id")
 def _(t):
     return publish.runs_list(reports(t))

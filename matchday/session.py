@@ -44,6 +44,12 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def hadoop(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it takes it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below the cluster's shared checkpoint folder, deleted when the driver ends.
 
@@ -53,8 +59,7 @@ def scratch_dir(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         path = f"{shared.rstrip('/')}/matchday-{uuid.uuid4().hex}"
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files, folder = hadoop(spark, path)
         files.mkdirs(folder)
         files.deleteOnExit(folder)  # when the driver ends: results are read from here until then
         return path

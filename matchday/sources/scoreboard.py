@@ -126,12 +126,20 @@ def scoreboard_decode(raw: DataFrame) -> DataFrame:
 
 
 def scoreboard_rejects(raw: DataFrame) -> DataFrame:
-    return judged(raw).select("response_id", "league", F.explode_outer("reasons").alias("reason")).where("reason is not null")
+    return rejects(judged(raw))
+
+
+def rejects(verdicts: DataFrame) -> DataFrame:
+    return verdicts.select("response_id", "league", F.explode_outer("reasons").alias("reason")).where("reason is not null")
 
 
 def exhibition_skips(raw: DataFrame) -> DataFrame:
     """Events left out as exhibitions, with the reason; identity checks come first."""
-    return judged(raw).select("response_id", "league", F.inline_outer("events")).where("skip is not null").select(
+    return skips(judged(raw))
+
+
+def skips(verdicts: DataFrame) -> DataFrame:
+    return verdicts.select("response_id", "league", F.inline_outer("events")).where("skip is not null").select(
         "response_id", "league", "game_id", F.col("skip").alias("reason"))
 
 

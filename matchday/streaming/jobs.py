@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from matchday.functions.domain import LEDGER_HOURS
 from matchday.operators.upsert import newest
+from matchday.session import hadoop
 from matchday.sources import scoreboard
 
 LEDGER_KEY = ["model_id", "game_id", "starts_at"]
@@ -53,12 +54,40 @@ def prediction_ledger(predictions: DataFrame, ahead_hours: int = AHEAD_HOURS) ->
     return kept.select("model_id", "game_id", F.col("starts_at").cast("timestamp_ntz").alias("starts_at"), "row.*")
 
 
-def start_upserts(stream: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Write each batch's changed rows to its own folder; a replayed batch overwrites itself."""
+def started(writer, available_now: bool) -> StreamingQuery:
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def compact(spark: SparkSession, path: str, batch_id: int, keys: list[str], order: list[str]) -> None:
+    """Fold the folders of all batches into this batch's, so that readers see one row per key plus the latest batches.
+
+    The folded state holds every key, so it is right beside the older folders too: a run that stops half way is repeated
+    with the batch and gives the same.
+    """
+    rows = spark.read.option("basePath", path).parquet(path).where(F.col("batch_id") <= batch_id)
+    newest(rows, keys, order).drop("batch_id").write.mode("overwrite").parquet(f"{path}/_state")
+    files, state = hadoop(spark, f"{path}/_state")
+    _, own = hadoop(spark, f"{path}/batch_id={batch_id}")
+    files.delete(own, True)
+    files.rename(state, own)
+    for folder in files.globStatus(hadoop(spark, f"{path}/batch_id=*")[1]):
+        if int(folder.getPath().getName().split("=")[1]) < batch_id:
+            files.delete(folder.getPath(), True)
+
+
+def start_upserts(stream: DataFrame, path: str, checkpoint: str, available_now: bool = False,
+                  keys: list[str] | None = None, compact_every: int = 20) -> StreamingQuery:
+    """Write each batch's changed rows to its own folder; a replayed batch overwrites itself.
+
+    With ``keys`` every ``compact_every``-th batch folds what is stored, so the sink holds at most that many batches
+    beside one row per key.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        if keys and batch_id % compact_every == compact_every - 1:
+            compact(batch.sparkSession, path, batch_id, keys, ["batch_id"])
     writer = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    return started(writer, available_now)
 
 
 def read_upserts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
@@ -67,19 +96,61 @@ def read_upserts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return newest(rows, keys, ["batch_id"]).drop("batch_id")
 
 
+def ledger_order(columns: list[str]) -> list[str]:
+    return ["generated_at", *[c for c in columns if c not in (*LEDGER_KEY, "generated_at", "batch_id")]]
+
+
+def start_ledger(predictions: DataFrame, path: str, checkpoint: str, available_now: bool = False,
+                 ahead_hours: int = AHEAD_HOURS, compact_every: int = 20) -> StreamingQuery:
+    """The ledger as a merge against its stored form, which needs no state store and loses no row.
+
+    Each batch is reduced to one row per key and added below ``path``/ledger.  A row that starts more than 72 hours before
+    the greatest start of the earlier batches is refused and stored below ``path``/late.  The starts seen are stored one
+    row a batch, so that a replayed batch is judged as it was the first time.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = admissible(batch, ahead_hours).persist()
+        files, known = hadoop(spark, f"{path}/seen")
+        seen = None
+        if files.exists(known):
+            stored = spark.read.option("basePath", f"{path}/seen").parquet(f"{path}/seen")
+            seen = stored.where(F.col("batch_id") < batch_id).agg(F.max("seen")).first()[0]
+        bound = F.lit(seen).cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(LEDGER_HOURS))
+        late = F.coalesce(F.col("starts_at") < bound, F.lit(False))
+        kept = newest(rows.where(~late), LEDGER_KEY, ledger_order(batch.columns))
+        kept.write.mode("overwrite").parquet(f"{path}/ledger/batch_id={batch_id}")
+        rows.where(late).write.mode("overwrite").parquet(f"{path}/late/batch_id={batch_id}")
+        rows.agg(F.max("starts_at").alias("seen")).write.mode("overwrite").parquet(f"{path}/seen/batch_id={batch_id}")
+        rows.unpersist()
+        if batch_id % compact_every == compact_every - 1:
+            compact(spark, f"{path}/ledger", batch_id, LEDGER_KEY, ledger_order(batch.columns))
+    return started(predictions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), available_now)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.option("basePath", f"{path}/ledger").parquet(f"{path}/ledger")
+    return newest(rows, LEDGER_KEY, ledger_order(rows.columns)).drop("batch_id")
+
+
+def read_late(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("basePath", f"{path}/late").parquet(f"{path}/late").drop("batch_id")
+
+
 def start_quarantine(predictions: DataFrame, path: str, checkpoint: str, available_now: bool = False,
                      ahead_hours: int = AHEAD_HOURS) -> StreamingQuery:
     """Append the predictions that the ledger refuses for their horizon, from the ledger's own source."""
     writer = quarantined(predictions, ahead_hours).writeStream.format("parquet").option("path", path).option(
         "checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    return started(writer, available_now)
 
 
 def start_quality(raw: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Counts of rejected responses by reason, and skipped exhibition events, per batch."""
+    """Counts of rejected responses by reason, and skipped exhibition events, per batch; a batch is parsed once."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        rejects = scoreboard.scoreboard_rejects(batch).groupBy("league", "reason").agg(F.count("*").alias("responses"))
+        verdicts = scoreboard.judged(batch).persist()
+        rejects = scoreboard.rejects(verdicts).groupBy("league", "reason").agg(F.count("*").alias("responses"))
         rejects.write.mode("overwrite").parquet(f"{path}/rejects/batch_id={batch_id}")
-        scoreboard.exhibition_skips(batch).write.mode("overwrite").parquet(f"{path}/skips/batch_id={batch_id}")
-    writer = raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+        scoreboard.skips(verdicts).write.mode("overwrite").parquet(f"{path}/skips/batch_id={batch_id}")
+        verdicts.unpersist()
+    return started(raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), available_now)

@@ -245,3 +245,26 @@ def test_ledger_drops_rows_behind_the_watermark(spark, tmp_path):
     finish(jobs.start_upserts(jobs.prediction_ledger(source), f"{tmp_path}/out", f"{tmp_path}/cp", available_now=True))
     got = {r.game_id: r.p for r in jobs.read_upserts(spark, f"{tmp_path}/out", jobs.LEDGER_KEY).collect()}
     assert got == {"a": 0.1, "b": 0.2, "c": 0.3, "d": 0.4}
+
+
+def test_merged_ledger_stores_what_it_refuses(spark, tmp_path):
+    parts = [made(spark, ("a", 24, 1, 0.1)), made(spark, ("b", 200, 190, 0.2)), made(spark, ("a", 24, 20, 0.9), ("b", 200, 195, 0.5))]
+    for df in parts:  # restarted for every part
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        source = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+        finish(jobs.start_ledger(source, f"{tmp_path}/out", f"{tmp_path}/cp", available_now=True, compact_every=2))
+    assert {r.game_id: r.p for r in jobs.read_ledger(spark, f"{tmp_path}/out").collect()} == {"a": 0.1, "b": 0.5}
+    assert [(r.game_id, r.p) for r in jobs.read_late(spark, f"{tmp_path}/out").collect()] == [("a", 0.9)]
+    assert sorted(p.name for p in (tmp_path / "out" / "ledger").glob("batch_id=*")) == ["batch_id=1", "batch_id=2"]
+
+
+def test_compaction_keeps_the_state_and_repeats(spark, tmp_path):
+    path, keys = f"{tmp_path}/out", ["league", "game_id"]
+    for i, rows in enumerate(([("a", 1, "x"), ("b", 1, "y")], [("a", 2, "z")], [("c", 1, "w")])):
+        snaps(spark, *rows).write.parquet(f"{path}/batch_id={i}")
+    before = sorted(map(str, jobs.read_upserts(spark, path, keys).collect()))
+    for _ in range(2):
+        jobs.compact(spark, path, 2, keys, ["batch_id"])
+        spark.catalog.refreshByPath(path)
+        assert sorted(map(str, jobs.read_upserts(spark, path, keys).collect())) == before
+    assert [p.name for p in (tmp_path / "out").glob("batch_id=*")] == ["batch_id=2"]
