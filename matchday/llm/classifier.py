@@ -1,7 +1,7 @@
 """Quality classifier: a factorisation machine over hashed words and structure statistics.
 
 score = sigmoid(w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j), where the pairwise term is computed in linear time as
-half of |sum_i v_i x_i|^2 - sum_i |v_i x_i|^2.  Inputs are hashed words (log frequency, unit length) and statistics of the
+half of |sum_i v_i x_i|^2 - sum_i |v_i x_i|^2.  Inputs are hashed words (log frequency a slot, unit length) and statistics of the
 text's structure, each cut into ten bins at quantiles of the training sample.  Language, source, ids and labels are never
 inputs.
 
@@ -59,8 +59,10 @@ def describe(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         1 - len(set(lines)) / max(1, len(lines)), len(lines) / many, odd / many, same / max(1, n - 1), letters / chars,
         int(seen[124]) / many])
     crc, mask = zlib.crc32, (1 << HASH_BITS) - 1
-    at = np.fromiter((crc(w) & mask for w in map(ENCODE, counts)), np.int64, len(counts))
-    weight = np.log1p(np.fromiter(counts.values(), np.float64, len(counts)))
+    slots = np.fromiter((crc(w) & mask for w in map(ENCODE, counts)), np.int64, len(counts))
+    total = np.bincount(slots, np.fromiter(counts.values(), np.float64, len(counts)), minlength=1 << HASH_BITS)
+    at = np.flatnonzero(total)  # at most 2 ** HASH_BITS inputs, however long the text
+    weight = np.log1p(total[at])
     norm = np.sqrt((weight * weight).sum())
     return stats, at, weight / norm if norm else weight
 
