@@ -3,8 +3,8 @@
 All models of a run (key x window x candidate x C) are fitted together.  One Newton pass is one
 distributed aggregation: every training row adds to the loss, gradient and curvature sums of the
 models it trains, map tasks combine those sums, and what comes back is one fixed-size row per model.
-The number of passes does not grow with the number of models, and no group of rows is ever gathered
-in one task.
+The number of passes does not grow with the number of models up to MODELS_PER_PASS, and no group of
+rows is ever gathered in one task.
 """
 
 from __future__ import annotations
@@ -222,12 +222,16 @@ def evaluate(examples: DataFrame, candidates: dict[str, tuple] | None = None) ->
     return fit_and_predict(split, [*KEY, "window"], candidates)
 
 
-def cross_season(games: DataFrame, candidates: dict[str, tuple] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Tune on an earlier season, test on the next one; history restarts with each season."""
+def cross_season(games: DataFrame, candidates: dict[str, tuple] | None = None,
+                 chosen: list[tuple[str, int, int]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Tune on an earlier season, test on a later one; history restarts with each season.
+
+    ``chosen`` names (league, earlier, later) seasons; without it every season is paired with its next one.
+    """
     from matchday.operators import features, splits
 
     rows = materialize(features.examples(games), "examples")
-    pairs = splits.cross_season_pairs(games)
+    pairs = splits.cross_season_pairs(games, chosen)
     pair = [*KEY, "earlier", "later"]
     earlier = splits.earlier_split(rows).join(
         pairs.select("league", F.col("earlier").alias("season"), "earlier", "later"), ["league", "season"])

@@ -149,9 +149,20 @@ def neighbours(games: DataFrame) -> DataFrame:
     )
 
 
-def cross_season_pairs(games: DataFrame) -> DataFrame:
-    """Neighbouring regular seasons whose dates do not overlap."""
-    return neighbours(games).where(F.col("earlier_last") < F.col("later_first"))
+def chosen_seasons(games: DataFrame, chosen: list[tuple[str, int, int]]) -> DataFrame:
+    """The given (league, earlier, later) seasons with the dates that decide whether they are a pair."""
+    dates = games.where((F.col("season_type") == REGULAR) & (F.col("status") == "final")).groupBy("league", "season").agg(
+        F.min("starts_at").alias("first"), F.max("starts_at").alias("last"))
+    asked = games.sparkSession.createDataFrame(chosen, "league string, earlier int, later int")
+    return (asked.join(dates.select("league", F.col("season").alias("earlier"), F.col("last").alias("earlier_last")), ["league", "earlier"])
+            .join(dates.select("league", F.col("season").alias("later"), F.col("first").alias("later_first")), ["league", "later"])
+            .select("league", "earlier", "later", "earlier_last", "later_first"))
+
+
+def cross_season_pairs(games: DataFrame, chosen: list[tuple[str, int, int]] | None = None) -> DataFrame:
+    """Regular seasons whose dates do not overlap: the given ones, or all neighbours of a league."""
+    found = neighbours(games) if chosen is None else chosen_seasons(games, chosen)
+    return found.where(F.col("earlier_last") < F.col("later_first"))
 
 
 def cross_season_violations(games: DataFrame, examples: DataFrame) -> DataFrame:

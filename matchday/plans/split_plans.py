@@ -131,6 +131,21 @@ def _(t):
     return op.cross_season_pairs(t["games"])
 
 
+CHOSEN = [("NBA", 1995, 2001), ("NBA", 1999, 1995), ("NFL", 1996, 2000), ("NFL", 1998, 2050)]
+
+
+@query("cross_season_chosen_pairs", f"""
+WITH s AS (SELECT league, season, min(starts_at) AS first_start, max(starts_at) AS last_start FROM games
+  WHERE season_type = 2 AND status = 'final' GROUP BY league, season)
+SELECT e.league, e.season AS earlier, l.season AS later, e.last_start AS earlier_last, l.first_start AS later_first
+FROM (VALUES {', '.join(map(str, CHOSEN))}) c(league, earlier, later)
+JOIN s e ON e.league = c.league AND e.season = c.earlier JOIN s l ON l.league = c.league AND l.season = c.later
+WHERE e.last_start < l.first_start""")
+def _(t):
+    """Pairs a user names: one that runs backwards and one without a later season are none."""
+    return op.cross_season_pairs(t["games"], CHOSEN)
+
+
 @query("cross_season_violations", """
 SELECT league, earlier, later, 'season_overlap' AS reason FROM season_neighbours WHERE earlier_last >= later_first
 UNION ALL SELECT p.league, p.earlier, p.later, b.reason FROM season_pairs p
