@@ -2,23 +2,28 @@
 
 1. Vectors without a usable direction (null, zero, null or non-finite components) are set aside; equal vectors become one
    class with a count, so a group of copies of any size is one row.
-2. Pivots are reference vectors drawn from a bounded sample (at most MAX_PIVOTS of each dimension).  A vector is described
-   by its NEAREST nearest pivots; the pivots are the only thing sent to every task.
-3. Inverted lists are kept per pair of shared pivots, so being retrieved means sharing at least two pivots.  A list holds
+2. Pivots are reference vectors drawn from a bounded sample and thinned until no two are close, so that a dense cluster
+   has one pivot and its members do not pick independent ones.  A vector is described by its NEAREST nearest pivots; the
+   pivots are the only thing sent to every task.
+3. A pivot that stands for several sampled vectors is a hub.  A vector within COVER of a hub belongs to its nearest hub, and
+   every vector that can be a partner of such a vector is in that hub's list too (the angles add up), so pairs with a
+   vector at a hub are found without loss.  A pair is taken up only in the list of its smaller hub.
+4. Vectors at no hub are compared by shared pivots.  Inverted lists are kept per pair of shared pivots, so being retrieved means sharing at least two pivots.  A list holds
    its vectors; a list with more than BLOCK members is divided into blocks and each pair of blocks is a task of its own.
-4. Within a list the shared-pivot counts of all members come from one product of their pivot indicators.  A pair is
+5. Within a list the shared-pivot counts of all members come from one product of their pivot indicators.  A pair is
    taken up only in the list of its two smallest shared pivots, then verified by its cosine in double precision.
-5. A list returns each member's number of verified partners and a spanning forest of its links, never the pairs.
+6. A list returns each member's number of verified partners and a spanning forest of its links, never the pairs.
 
-Vectors of a dimension the sample lacks form one list of that dimension and are compared exactly, in blocks.
+Vectors at no hub whose dimension has too few pivots form one list of that dimension and are compared exactly, in blocks.
 
 Defined cases: unusable vectors have no links and are components of their own; a null vec_id has no links, component or
 kept; copies link with each other; rows repeating a vec_id count as vectors but share its component; an empty table gives
-an empty result; further columns are ignored.  No vector is dropped: recall depends on NEAREST and is measured in tests.
+an empty result; further columns are ignored.  No vector is dropped: recall off the hubs depends on NEAREST and is measured in tests.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from itertools import combinations
 
@@ -34,6 +39,9 @@ from matchday.llm.simhash import runs
 
 THRESHOLD = 0.95
 NEAREST, MIN_PIVOTS, MAX_PIVOTS, BLOCK, SEED = 9, 64, 4096, 2048, 11
+THIN = (0.8, 0.9)  # no two pivots are closer; the second if the first leaves too few pivots to rank
+COVER, HUB = 0.93, 3  # cosine to a hub of the vectors that belong to it, and its members in the sample at least
+EXACT = 0xFFFFF  # list of the vectors without ranked pivots
 ENTRY = "list bigint, part long, cls bigint, n long, vec array<float>, near array<int>"
 
 
@@ -47,15 +55,34 @@ def classes(vectors: DataFrame) -> DataFrame:
         F.xxhash64(v).alias("h1"), F.xxhash64(F.lit(SEED), v).alias("h2"))
 
 
-def draw_pivots(distinct: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """Unit vectors by dimension: a bounded sample, by hash order; its size follows the root of the row count."""
+def thinned(sample: np.ndarray, most: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pivots of a sample of unit vectors, no two closer than `limit`, and which of them are hubs."""
+    free, chosen = np.ones(len(sample), bool), []
+    for i in range(len(sample)):
+        if free[i] and len(chosen) < most:
+            chosen.append(i)
+            free &= sample @ sample[i] < limit
+    own = sample @ sample[chosen].T
+    members = np.bincount(own.argmax(axis=1)[own.max(axis=1) >= COVER], minlength=len(chosen))
+    return sample[chosen], np.flatnonzero(members >= HUB)
+
+
+def draw_pivots(distinct: DataFrame, n: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Pivots and hubs by dimension, from a bounded sample by hash order; their number follows the root of the row count."""
     want = int(min(MAX_PIVOTS, max(MIN_PIVOTS, 1.5 * n ** 0.5)))
-    rows = distinct.select("vec").orderBy(F.xxhash64(F.lit(SEED), "h1")).limit(want).collect()
+    rows = distinct.select("vec").orderBy(F.xxhash64(F.lit(SEED), "h1")).limit(min(MAX_PIVOTS, 4 * want)).collect()
     by_size = defaultdict(list)
     for (vec,) in rows:
         by_size[len(vec)].append(vec)
-    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
-    return {d: unit(np.array(x, np.float64)) for d, x in by_size.items() if len(x) > NEAREST}
+    out = {}
+    for d, x in by_size.items():
+        sample = np.array(x, np.float64)
+        sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+        for limit in THIN:
+            out[d] = thinned(sample, want, limit)
+            if len(out[d][0]) > NEAREST:
+                break
+    return out
 
 
 def matrix(column, rows: int) -> np.ndarray:
@@ -65,35 +92,71 @@ def matrix(column, rows: int) -> np.ndarray:
     return flat.reshape(rows, -1) if len(flat) else np.zeros((rows, 0))
 
 
-def index_entries(pivots: dict[int, np.ndarray]):
-    """Rows of the inverted lists of each vector's pairs of near pivots."""
+def index_entries(pivots: dict[int, tuple[np.ndarray, np.ndarray]], threshold: float):
+    """Rows of the lists of each vector: of the hubs in reach, and of its pairs of near pivots if it is at no hub."""
     pairs = np.array(list(combinations(range(NEAREST), 2)))
+    # a vector at a hub and its partner: their angles to the hub differ by no more than the angle between them
+    reach = math.cos(min(math.pi, math.acos(COVER) + math.acos(max(-1.0, min(1.0, threshold))))) - 1e-6
+
+    def entries(batch, rows, lists, near):
+        take = batch.take(pa.array(rows))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(lists, pa.int64()), pa.array(np.zeros(len(rows), np.int64)), take.column(0), take.column(1),
+             take.column(2).cast(pa.list_(pa.float32())),
+             pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * near.shape[1], near.astype(np.int32).ravel())],
+            ["list", "part", "cls", "n", "vec", "near"])
 
     def per_batch(batches):
         for batch in batches:
             sizes = pc.list_value_length(batch.column(2)).to_numpy()
             for size in np.unique(sizes).tolist():
-                at = np.flatnonzero(sizes == size)
-                base = size << 40
-                if size in pivots:
+                at, base = np.flatnonzero(sizes == size), size << 40
+                marks, hubs = pivots.get(size, (np.zeros((0, size)), np.zeros(0, np.int64)))
+                if len(marks):
                     values = matrix(batch.column(2).take(pa.array(at)), len(at)).astype(np.float64)
-                    near = np.sort(np.argpartition(-(values @ pivots[size].T), NEAREST, axis=1)[:, :NEAREST], axis=1)
+                    cosines = values @ marks.T / np.linalg.norm(values, axis=1)[:, None]
+                if len(hubs):
+                    best = cosines[:, hubs].argmax(axis=1)
+                    home = np.where(cosines[np.arange(len(at)), hubs[best]] >= COVER, hubs[best], -1)
+                    row, hub = np.nonzero(cosines[:, hubs] >= reach)
+                    yield entries(batch, at[row], base + (hubs[hub] << 20) + hubs[hub], home[row][:, None])
+                    at, cosines = at[home < 0], cosines[home < 0]
+                if not len(at):
+                    continue
+                if len(marks) > NEAREST:
+                    near = np.sort(np.argpartition(-cosines, NEAREST, axis=1)[:, :NEAREST], axis=1)
                     lists = base + (near[:, pairs[:, 0]] << 20) + near[:, pairs[:, 1]]
                 else:
-                    near, lists = np.zeros((len(at), 0), int), np.full((len(at), 1), base)
-                rows = np.repeat(at, lists.shape[1])
-                take = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(lists.ravel(), pa.int64()), pa.array(np.zeros(len(rows), np.int64)), take.column(0),
-                     take.column(1), take.column(2).cast(pa.list_(pa.float32())),
-                     pa.ListArray.from_arrays(
-                         np.arange(len(rows) + 1, dtype=np.int32) * near.shape[1],
-                         np.repeat(near, lists.shape[1], axis=0).astype(np.int32).ravel())],
-                    ["list", "part", "cls", "n", "vec", "near"])
+                    near, lists = np.zeros((len(at), 0), int), np.full((len(at), 1), base + EXACT)
+                yield entries(batch, np.repeat(at, lists.shape[1]), lists.ravel(), np.repeat(near, lists.shape[1], axis=0))
 
     return per_batch
 
 
+def spanning(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the graph between two blocks; each member's row is looked at once."""
+    same = left is right
+    rows = (hit, hit if same else np.ascontiguousarray(hit.T))
+    names = (left, right)
+    fresh = [np.ones(len(left), bool), np.ones(len(right), bool)]
+    if same:
+        fresh[1] = fresh[0]
+    links = []
+    for start in np.flatnonzero(hit.any(axis=1)).tolist():
+        if not fresh[0][start]:
+            continue
+        fresh[0][start] = False
+        stack = [(0, start)]
+        while stack:
+            side, i = stack.pop()
+            new = np.flatnonzero(rows[side][i] & fresh[1 - side])
+            fresh[1 - side][new] = False
+            own, others = int(names[side][i]), names[1 - side][new].tolist()
+            links.extend((own, j) for j in others)
+            stack.extend((0 if same else 1 - side, j) for j in new.tolist())
+    return links
+
+
 def compare(lists: int, cls, n, vecs, near, left: np.ndarray, right: np.ndarray, threshold: float):
     """Partner counts and forest links between two blocks of one list (or within one, if both are the same)."""
     same = left is right
@@ -101,8 +164,11 @@ def compare(lists: int, cls, n, vecs, near, left: np.ndarray, right: np.ndarray,
     hit = (unit[left] @ unit[right].T) >= threshold
     if same:
         np.fill_diagonal(hit, False)
-    if near.shape[1]:
-        p, q = (lists >> 20) & 0xFFFFF, lists & 0xFFFFF
+    p, q = (lists >> 20) & 0xFFFFF, lists & 0xFFFFF
+    if near.shape[1] == 1:
+        home = np.where(near[:, 0] < 0, EXACT, near[:, 0])
+        hit &= np.minimum(home[left][:, None], home[right][None, :]) == p  # else the pair belongs to another hub, or to none
+    elif near.shape[1]:
         before = np.where((near < q) & (near != p), near, -1)
         names, coded = np.unique(before, return_inverse=True)
         marks = np.zeros((len(vecs), len(names)), np.float32)
@@ -115,22 +181,7 @@ def compare(lists: int, cls, n, vecs, near, left: np.ndarray, right: np.ndarray,
     if not same:
         for i, x in zip(right.tolist(), (hit.T @ n[left]).tolist()):
             counts[i] += x
-    parent = list(range(len(vecs)))
-
-    def find(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    links = []
-    for i, row in zip(left.tolist(), hit):
-        for j in right[np.flatnonzero(row)].tolist():
-            a, b = find(i), find(j)
-            if a != b:
-                parent[a] = b
-                links.append((i, j))
-    return [(cls[i], x) for i, x in counts.items() if x], [(cls[i], cls[j]) for i, j in links]
+    return [(cls[i], x) for i, x in counts.items() if x], [(cls[i], cls[j]) for i, j in spanning(hit, left, right)]
 
 
 def list_links(threshold: float):
@@ -171,7 +222,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     distinct = written(rows.where("usable").groupBy("h1", "h2").agg(
         F.min("vec_id").alias("cls"), F.count("*").alias("n"), F.first("vec").alias("vec")), "vectors")
     pivots = draw_pivots(distinct, distinct.count())
-    entries = distinct.select("cls", "n", "vec").mapInArrow(index_entries(pivots), ENTRY)
+    entries = distinct.select("cls", "n", "vec").mapInArrow(index_entries(pivots, threshold), ENTRY)
     # lists with more than BLOCK members: each pair of blocks is compared apart; a member goes to the tasks of its block
     long_lists = (entries.groupBy("list")
                   .agg(F.count("*").alias("m")).where(F.col("m") > BLOCK)

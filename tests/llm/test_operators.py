@@ -227,6 +227,24 @@ def test_pivots(spark):
     assert out[905]["component_id"] == 904 and not out[905]["kept"] and out[365]["component_id"] == min(5, out[5]["component_id"])
 
 
+def test_pivots_in_a_large_cluster(spark):
+    r = np.random.default_rng(5)
+    n, hot = 20000, 6600
+    values = r.normal(size=(n, 64))
+    values /= np.linalg.norm(values, axis=1)[:, None]
+    noise = r.uniform(0.1, 0.2, size=(hot, 1)) * values[:hot]
+    values[:hot] = values[-1] + noise
+    values[hot:hot + 500] = values[hot + 500:hot + 1000] + 0.2 * values[:500]
+    values = values.astype(np.float32)
+    out = pivots.near_duplicates(spark.createDataFrame(
+        [(i, v) for i, v in enumerate(values.tolist())], "vec_id long, embedding array<float>")).toPandas()
+    near = out.sort_values("vec_id")["n_links"].to_numpy()
+    unit = values.astype(np.float64) / np.linalg.norm(values.astype(np.float64), axis=1)[:, None]
+    true = np.concatenate([(unit[i:i + 2000] @ unit.T >= 0.95).sum(axis=1) - 1 for i in range(0, n, 2000)])
+    assert true[:hot].mean() > 5000 and (near <= true).all()
+    assert near[:hot].sum() >= 0.99 * true[:hot].sum() and near[hot:].sum() >= 0.9 * true[hot:].sum() > 0
+
+
 PAGE = ("<html><head><title>t</title><style>p{}</style></head><body><nav><a href=/>Home</a></nav><div class='cookie-notice'>We use cookies</div>"
         "<article><header><h1>Title &amp; more</h1></header><p>First <b>bold</b> part of {n}<br>goes\n on &lt;here&gt; &am</p><aside>Ad</aside>{}"
         "<div class=comments><p>Nice!</p></div></article><form>Subscribe<input></form><footer>&copy; x</footer><script>var a='</p>'</script>")
