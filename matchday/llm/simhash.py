@@ -181,9 +181,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(named, "fp")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component, with all columns of `docs`: the smallest doc_id, then the smallest text hash."""
-    found = near_duplicates(docs)
+def keep_one(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """One row of each component, with all columns of `docs`: the smallest doc_id, then the smallest text hash.
+
+    `found` has doc_id, text_hash and root per row; without it, components are those of the fingerprints.
+    """
+    found = near_duplicates(docs) if found is None else found
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
     chosen = written(found.groupBy("root").agg(F.min(order).alias("o")).select(
         F.col("o.doc_id").alias("id"), F.col("o.text_hash").alias("hash")), "chosen")
