@@ -162,6 +162,16 @@ def test_secrets(docs, empty):
     assert "x7Kp" not in texts[14] and "Zr8" not in texts[15] and texts[12] == TEXTS[12] and texts[0] is None
 
 
+@pytest.mark.parametrize("text, value", [
+    ("password: vq!zk@wl#rx$tb", "vq!zk@wl#rx$tb"), ("DB_PASSWORD=Zr8!kQ2vLm", "Zr8!kQ2vLm"), ("db.pin = 83015529460177", "83015529460177"),
+    ("aws_secret_access_key = wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY")])
+def test_guess_cost_decides_after_separators(text, value):
+    start = text.index(value)
+    assert secret_scan.spans(f"{text} end") == [(start, 3, start + len(value))]
+    assert secret_scan.redact(text) == text[:start] + "<SECRET>"
+    assert not secret_scan.spans("the password is somethingordinary") and not secret_scan.spans("my_password: password123")
+
+
 def test_licenses(docs, empty):
     by = {r["doc_id"]: r for r in as_dicts(license_scan.scan(docs))}
     assert (by[14]["base_labels"], by[14]["n_base"], by[14]["first_word"]) == ("mit", 1, 3)
