@@ -1,8 +1,8 @@
 """License scans by ordered signature rules.
 
 A text is reduced to its lower-cased words joined by one space, and every rule is matched on that.  Rules are ordered by
-priority: full notices before names, names before abbreviations.  A rule is tried only if its keyword, the rarest word it
-cannot do without, occurs in the text: one automaton finds all keywords in one pass.  Detections are then resolved by
+priority: full notices before names, names before abbreviations.  A rule is tried only if its keyword, a word or start of
+a word that each of its matches contains, occurs in the text: one automaton finds all keywords in one pass.  Detections are then resolved by
 interval containment: a detection inside one of a rule of the same or a higher priority is suppressed, and of equal
 intervals the earliest rule stays.
 
@@ -97,8 +97,8 @@ def rules() -> list[Rule]:
                 out.append(Rule(3, f"{label}-{v.replace(' ', '.')}", key, rf"{form} {v}\b", score + 0.05))
     out.append(Rule(2, "cc0", "cc0", r"\bcc0(?: 1 0)?\b", 0.9))
     out.append(Rule(3, "public-domain", "domain", r"(?:in(?:to)?|to) the public domain", 0.6))
-    out.append(Rule(3, "mit", "furnished", r"permission is hereby granted free of charge to any person obtaining a copy", 1.0))
-    out.append(Rule(3, "bsd", "redistributions", r"redistribution and use in source and binary forms", 1.0))
+    out.append(Rule(3, "mit", "hereby", r"permission is hereby granted free of charge to any person obtaining a copy", 1.0))
+    out.append(Rule(3, "bsd", "redistribution", r"redistribution and use in source and binary forms", 1.0))
     out.append(Rule(3, "isc", "purpose", r"permission to use copy modify and or distribute this software for any purpose", 1.0))
     out.append(Rule(6, "proprietary", "reserved", r"all rights reserved", 0.3))
     return sorted(out, key=lambda r: r.priority)  # stable: within a priority the order above
@@ -116,7 +116,7 @@ class Scanner:
             self.by_keyword.setdefault(r.keyword, []).append(i)
         self.automaton = ahocorasick.Automaton()
         for key in self.by_keyword:
-            self.automaton.add_word(f" {key} ", key)
+            self.automaton.add_word(f" {key}", key)  # the start of a word: "gplv3" has the keyword gpl
         self.automaton.make_automaton()
 
     def detections(self, text: str) -> list[tuple[int, int, Rule]]:

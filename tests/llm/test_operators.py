@@ -180,6 +180,43 @@ def test_licenses(docs, empty):
     assert license_scan.scan(empty).count() == 0 and len(license_scan.rules()) > 200
 
 
+def example(pattern, seed):
+    """A random text that the pattern matches."""
+    r = random.Random(seed)
+
+    def made(parsed):
+        return "".join(one(str(op), value) for op, value in parsed)
+
+    def one(op, value):
+        if op == "LITERAL":
+            return chr(value)
+        if op == "IN":
+            kind, first = value[0]
+            return chr(first) if str(kind) == "LITERAL" else chr(first[0]) if str(kind) == "RANGE" else "w"
+        if op in ("MAX_REPEAT", "MIN_REPEAT"):
+            return "".join(made(value[2]) for _ in range(r.randint(value[0], min(int(value[1]), value[0] + 2))))
+        if op == "SUBPATTERN":
+            return made(value[3])
+        if op == "BRANCH":
+            return made(r.choice(value[1]))
+        assert op == "AT", op
+        return ""
+
+    return made(re._parser.parse(pattern))
+
+
+def test_every_license_rule_passes_its_gate():
+    scanner = license_scan.Scanner()
+    for rule in license_scan.rules():
+        for seed in range(8):
+            text = f" {example(rule.pattern, seed)} "
+            keys = {key for _, key in scanner.automaton.iter(text)}
+            assert rule.keyword in keys, (rule, text)
+    for text, label in ((" gplv3 ", "gpl-3"), (" mpl2 0 ", "mpl-2.0"), (" redistribution and use in source and binary forms ", "bsd"),
+                        (" permission is hereby granted free of charge to any person obtaining a copy ", "mit")):
+        assert [r.label for _, _, r in scanner.detections(text)] == [label]
+
+
 def test_contained_detections_are_suppressed():
     scanner = license_scan.Scanner()
     found = scanner.detections(" licensed under the gnu lesser general public license version 3 ")
