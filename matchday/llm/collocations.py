@@ -32,11 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchday.llm.bitmaps import bitmap, cells_for, tester
 from matchday.llm.common import LOWER, UPPER, pick, table, written
 
 MIN_COUNT, LONGEST, TOP, PERCENT = 100, 5, 2000, 100
 FLUSH, HEAVY = 1 << 22, 2000
-MIN_CELLS, MAX_CELLS, CELLS_EACH, CHUNK = 1 << 20, 1 << 27, 64, 1 << 15
+MIN_CELLS, MAX_CELLS, CELLS_EACH = 1 << 20, 1 << 27, 64
 ENDS = ".,;:!?\n\x0b\x0c\r"
 LETTERS = bytes.maketrans((UPPER + ENDS + "\t").encode(), (LOWER + "\n" * len(ENDS) + " ").encode())
 GAP, END = 0, 1  # local numbers of the empty word and of the end of a piece
@@ -89,9 +90,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(per_batch, "lang string, word binary, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def bitmap(phrases: DataFrame) -> tuple[bytes, int]:
-    """Bits of the hashes of one- or two-word phrases (columns lang, phrase), and their number: MAX_CELLS bits at most."""
-    cells = min(MAX_CELLS, max(MIN_CELLS, 1 << (CELLS_EACH * phrases.count()).bit_length()))
+def marked(phrases: DataFrame):
+    """A broadcast bitmap of the hashes of one- or two-word phrases (columns lang, phrase): MAX_CELLS bits at most."""
+    cells = cells_for(phrases.count(), CELLS_EACH, MIN_CELLS, MAX_CELLS)
 
     def mark(batches):
         for batch in batches:
@@ -99,36 +100,10 @@ def bitmap(phrases: DataFrame) -> tuple[bytes, int]:
                  zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             one = np.array([x[0] for x in h], np.uint64)
             both = pair_hash(one, np.array([x[-1] for x in h], np.uint64))
-            at = np.where([len(x) == 1 for x in h], one, both) & np.uint64(cells - 1)
-            yield pa.RecordBatch.from_arrays([pa.array((at // CHUNK).astype(np.int64)), pa.array((at % CHUNK).astype(np.int32))],
-                                             ["chunk", "at"])
+            at = np.where(np.array([len(x) == 1 for x in h], bool), one, both) & np.uint64(cells - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64))], ["at"])
 
-    def pack(batches):
-        chunks: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                chunks.setdefault(chunk, np.zeros(CHUNK, bool))[at] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(chunks), pa.int64()),
-                                          pa.array([np.packbits(b).tobytes() for b in chunks.values()], pa.binary())], ["chunk", "bits"])
-
-    found = (phrases.mapInArrow(mark, "chunk bigint, at int").distinct().repartition(max(1, cells // CHUNK // 256), "chunk")
-             .mapInArrow(pack, "chunk bigint, bits binary").toArrow())
-    bits = np.zeros((cells // CHUNK, CHUNK // 8), np.uint8)
-    for chunk, own in zip(found["chunk"].to_pylist(), found["bits"]):
-        bits[chunk] = np.frombuffer(own.as_buffer(), np.uint8)
-    return bits.tobytes(), cells
-
-
-def tester(shared):
-    """A test of hashes against a broadcast bitmap."""
-    raw, cells = shared.value
-    bits = np.frombuffer(raw, np.uint8)
-
-    def passes(h: np.ndarray) -> np.ndarray:
-        at = (h & np.uint64(cells - 1)).astype(np.int64)
-        return bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1
-
-    return passes
+    return phrases.sparkSession.sparkContext.broadcast((bitmap(phrases.mapInArrow(mark, "at bigint"), cells), cells))
 
 
 def heavy(phrases: DataFrame, sizes: DataFrame) -> dict[tuple[str, bytes], int]:
@@ -160,7 +135,7 @@ def short_stripes(docs: DataFrame, bits, cuts: dict) -> DataFrame:
     """Stripes of one-word prefixes."""
 
     def per_batch(batches):
-        frequent = tester(bits)
+        frequent = tester(*bits.value)
         for lang, words, numbers in encoded(batches):
             hashes = np.fromiter((word_hash(lang, w) for w in words), np.uint64, len(words))
             good = frequent(hashes)
@@ -177,7 +152,7 @@ def long_stripes(docs: DataFrame, bits, cuts: dict) -> DataFrame:
     """Stripes of prefixes of two words and more."""
 
     def per_batch(batches):
-        frequent = tester(bits)
+        frequent = tester(*bits.value)
         for lang, words, numbers in encoded(batches):
             hashes = np.fromiter((word_hash(lang, w) for w in words), np.uint64, len(words))
             linked = frequent(pair_hash(hashes[numbers[:-1]], hashes[numbers[1:]])) & (numbers[:-1] > END) & (numbers[1:] > END)
@@ -248,15 +223,13 @@ def best_cuts(phrases: DataFrame, totals: DataFrame, sizes: DataFrame) -> DataFr
 
 def mine(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, percent: int = PERCENT) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of the best phrases of each language."""
-    spark = docs.sparkSession
     texts = pick(docs, "lang", "text").selectExpr("coalesce(lang, 'und') AS lang", "CAST(coalesce(text, '') AS BINARY) AS text")
     words = written(word_counts(texts), "words")
     sizes = written(words.groupBy("lang").agg(F.sum("n").alias("total")), "sizes")
     frequent = words.where(F.col("n") >= min_count).select("lang", F.col("word").alias("phrase"), F.col("n").alias("a"))
-    bits = spark.sparkContext.broadcast(bitmap(frequent.select("lang", "phrase")))  # at most MAX_CELLS bits
-    short = written(merged(short_stripes(texts, bits, heavy(frequent, sizes)), min_count), "short")
+    short = written(merged(short_stripes(texts, marked(frequent.select("lang", "phrase")), heavy(frequent, sizes)), min_count), "short")
     pairs = entries(short)
-    bits = spark.sparkContext.broadcast(bitmap(pairs.selectExpr("lang", "CAST(phrase AS BINARY) AS phrase")))
+    bits = marked(pairs.selectExpr("lang", "CAST(phrase AS BINARY) AS phrase"))
     stripes = short.unionByName(written(merged(long_stripes(texts, bits, heavy(pairs, sizes)), min_count), "long"))
 
     phrases = written(entries(stripes), "phrases")
