@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from matchday.operators import keyed_store
 from matchday.plans.registry import SQL, query, view
 from matchday.plans.raw_plans import raw_scoreboards
 from matchday.session import scratch_dir
@@ -61,7 +62,8 @@ def _(t):
     """The form with a state store, over the events as one batch."""
     base = scratch_dir(t.spark)
     source = t.spark.readStream.schema(t.raw("events").schema).option("maxFilesPerTrigger", 64).parquet(f"{t.sf_dir}/events*.parquet")
-    run(jobs.start_upserts, jobs.prediction_ledger(made(source)), f"{base}/out", f"{base}/checkpoint", keys=jobs.LEDGER_KEY)
+    run(jobs.start_upserts, jobs.prediction_ledger(made(source)), f"{base}/out", f"{base}/checkpoint", keys=jobs.LEDGER_KEY,
+        compact_every=1)
     return jobs.read_upserts(t.spark, f"{base}/out", jobs.LEDGER_KEY).select(*jobs.LEDGER_KEY, "generated_at", "p")
 
 
@@ -127,10 +129,9 @@ SELECT response_id, league, whole AS reason FROM sb_responses WHERE whole IS NOT
 UNION ALL SELECT DISTINCT e.response_id, e.league, e.reason FROM sb_judged e JOIN sb_responses r ON r.response_id = e.response_id
 WHERE r.whole IS NULL AND e.reason IS NOT NULL) GROUP BY league, reason""")
 def _(t):
-    out = quality(t)
-    return t.spark.read.parquet(f"{out}/rejects").groupBy("league", "reason").agg(F.sum("responses").alias("responses"))
+    return jobs.read_quality(t.spark, quality(t))
 
 
 @query("stream_quality_skips", SQL["exhibition_filter"])
 def _(t):
-    return t.spark.read.parquet(f"{quality(t)}/skips").drop("batch_id")
+    return keyed_store.read_output(t.spark, quality(t), "skips")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from matchday.functions.domain import LEDGER_HOURS
+from matchday.operators import commits, keyed_store
 from matchday.operators.upsert import newest
-from matchday.session import hadoop
 from matchday.sources import scoreboard
 
 LEDGER_KEY = ["model_id", "game_id", "starts_at"]
@@ -58,42 +60,27 @@ def started(writer, available_now: bool) -> StreamingQuery:
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def compact(spark: SparkSession, path: str, batch_id: int, keys: list[str], order: list[str]) -> None:
-    """Fold the folders of all batches into this batch's, so that readers see one row per key plus the latest batches.
-
-    The folded state holds every key, so it is right beside the older folders too: a run that stops half way is repeated
-    with the batch and gives the same.
-    """
-    rows = spark.read.option("basePath", path).parquet(path).where(F.col("batch_id") <= batch_id)
-    newest(rows, keys, order).drop("batch_id").write.mode("overwrite").parquet(f"{path}/_state")
-    files, state = hadoop(spark, f"{path}/_state")
-    _, own = hadoop(spark, f"{path}/batch_id={batch_id}")
-    files.delete(own, True)
-    files.rename(state, own)
-    for folder in files.globStatus(hadoop(spark, f"{path}/batch_id=*")[1]):
-        if int(folder.getPath().getName().split("=")[1]) < batch_id:
-            files.delete(folder.getPath(), True)
+def writer_id(spark: SparkSession, checkpoint: str) -> str:
+    """The stream's own id, which Spark keeps in its checkpoint: a new checkpoint numbers its batches from zero again."""
+    return json.loads(commits.read_text(spark, f"{checkpoint}/metadata"))["id"]
 
 
 def start_upserts(stream: DataFrame, path: str, checkpoint: str, available_now: bool = False,
-                  keys: list[str] | None = None, compact_every: int = 20) -> StreamingQuery:
-    """Write each batch's changed rows to its own folder; a replayed batch overwrites itself.
+                  keys: list[str] | None = None, compact_every: int = 20, buckets: int = keyed_store.BUCKETS) -> StreamingQuery:
+    """Add each batch's changed rows to a keyed store; a replayed batch that was committed is not written again.
 
-    With ``keys`` every ``compact_every``-th batch folds what is stored, so the sink holds at most that many batches
-    beside one row per key.
+    With ``keys`` every ``compact_every``-th batch is merged into the buckets that it and its predecessors touch.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        if keys and batch_id % compact_every == compact_every - 1:
-            compact(batch.sparkSession, path, batch_id, keys, ["batch_id"])
+        keyed_store.add(path, batch, batch=(writer_id(batch.sparkSession, checkpoint), batch_id), keys=keys,
+                        merge_every=compact_every, buckets=buckets)
     writer = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     return started(writer, available_now)
 
 
 def read_upserts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """Current state of an upsert sink: per key the row of the latest batch."""
-    rows = spark.read.option("basePath", path).parquet(path)
-    return newest(rows, keys, ["batch_id"]).drop("batch_id")
+    return newest(keyed_store.read(spark, path), keys, ["batch_id"]).drop("batch_id")
 
 
 def ledger_order(columns: list[str]) -> list[str]:
@@ -101,40 +88,35 @@ def ledger_order(columns: list[str]) -> list[str]:
 
 
 def start_ledger(predictions: DataFrame, path: str, checkpoint: str, available_now: bool = False,
-                 ahead_hours: int = AHEAD_HOURS, compact_every: int = 20) -> StreamingQuery:
+                 ahead_hours: int = AHEAD_HOURS, compact_every: int = 20, buckets: int = keyed_store.BUCKETS) -> StreamingQuery:
     """The ledger as a merge against its stored form, which needs no state store and loses no row.
 
-    Each batch is reduced to one row per key and added below ``path``/ledger.  A row that starts more than 72 hours before
-    the greatest start of the earlier batches is refused and stored below ``path``/late.  The starts seen are stored one
-    row a batch, so that a replayed batch is judged as it was the first time.
+    Each batch is reduced to one row per key.  A row that starts more than 72 hours before the greatest start of the earlier
+    batches is refused and stored as late.  Rows, late rows and the greatest start are one commit, so that a replayed batch
+    is either there whole or judged as it was the first time.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = admissible(batch, ahead_hours).persist()
-        files, known = hadoop(spark, f"{path}/seen")
-        seen = None
-        if files.exists(known):
-            stored = spark.read.option("basePath", f"{path}/seen").parquet(f"{path}/seen")
-            seen = stored.where(F.col("batch_id") < batch_id).agg(F.max("seen")).first()[0]
+        seen = commits.latest(spark, path)[1].get("notes", {}).get("seen")
         bound = F.lit(seen).cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(LEDGER_HOURS))
         late = F.coalesce(F.col("starts_at") < bound, F.lit(False))
-        kept = newest(rows.where(~late), LEDGER_KEY, ledger_order(batch.columns))
-        kept.write.mode("overwrite").parquet(f"{path}/ledger/batch_id={batch_id}")
-        rows.where(late).write.mode("overwrite").parquet(f"{path}/late/batch_id={batch_id}")
-        rows.agg(F.max("starts_at").alias("seen")).write.mode("overwrite").parquet(f"{path}/seen/batch_id={batch_id}")
+        greatest = rows.agg(F.max("starts_at").cast("string")).first()[0]
+        keyed_store.add(
+            path, newest(rows.where(~late), LEDGER_KEY, ledger_order(batch.columns)), keys=LEDGER_KEY,
+            batch=(writer_id(spark, checkpoint), batch_id), order=ledger_order(batch.columns), merge_every=compact_every,
+            buckets=buckets, outputs={"late": rows.where(late)}, notes={"seen": max(filter(None, (seen, greatest)), default=None)})
         rows.unpersist()
-        if batch_id % compact_every == compact_every - 1:
-            compact(spark, f"{path}/ledger", batch_id, LEDGER_KEY, ledger_order(batch.columns))
     return started(predictions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), available_now)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.option("basePath", f"{path}/ledger").parquet(f"{path}/ledger")
+    rows = keyed_store.read(spark, path)
     return newest(rows, LEDGER_KEY, ledger_order(rows.columns)).drop("batch_id")
 
 
 def read_late(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("basePath", f"{path}/late").parquet(f"{path}/late").drop("batch_id")
+    return keyed_store.read_output(spark, path, "late")
 
 
 def start_quarantine(predictions: DataFrame, path: str, checkpoint: str, available_now: bool = False,
@@ -150,7 +132,12 @@ def start_quality(raw: DataFrame, path: str, checkpoint: str, available_now: boo
     def write(batch: DataFrame, batch_id: int) -> None:
         verdicts = scoreboard.judged(batch).persist()
         rejects = scoreboard.rejects(verdicts).groupBy("league", "reason").agg(F.count("*").alias("responses"))
-        rejects.write.mode("overwrite").parquet(f"{path}/rejects/batch_id={batch_id}")
-        scoreboard.skips(verdicts).write.mode("overwrite").parquet(f"{path}/skips/batch_id={batch_id}")
+        keyed_store.add(path, rejects, batch=(writer_id(batch.sparkSession, checkpoint), batch_id),
+                        outputs={"skips": scoreboard.skips(verdicts)})
         verdicts.unpersist()
     return started(raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), available_now)
+
+
+def read_quality(spark: SparkSession, path: str) -> DataFrame:
+    """Rejected responses by league and reason, over all batches."""
+    return keyed_store.read(spark, path).groupBy("league", "reason").agg(F.sum("responses").alias("responses"))

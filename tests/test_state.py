@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import GAMES, season_rows
 from matchday.functions.domain import FEATURES
-from matchday.operators import browse, export_rules, forecast, publish, sinks, upsert
+from matchday.operators import browse, commits, export_rules, forecast, keyed_store, publish, sinks, upsert
 from matchday.sources import exports
 from matchday.streaming import jobs
 
@@ -255,16 +255,87 @@ def test_merged_ledger_stores_what_it_refuses(spark, tmp_path):
         finish(jobs.start_ledger(source, f"{tmp_path}/out", f"{tmp_path}/cp", available_now=True, compact_every=2))
     assert {r.game_id: r.p for r in jobs.read_ledger(spark, f"{tmp_path}/out").collect()} == {"a": 0.1, "b": 0.5}
     assert [(r.game_id, r.p) for r in jobs.read_late(spark, f"{tmp_path}/out").collect()] == [("a", 0.9)]
-    assert sorted(p.name for p in (tmp_path / "out" / "ledger").glob("batch_id=*")) == ["batch_id=1", "batch_id=2"]
-
-
-def test_compaction_keeps_the_state_and_repeats(spark, tmp_path):
-    path, keys = f"{tmp_path}/out", ["league", "game_id"]
-    for i, rows in enumerate(([("a", 1, "x"), ("b", 1, "y")], [("a", 2, "z")], [("c", 1, "w")])):
-        snaps(spark, *rows).write.parquet(f"{path}/batch_id={i}")
-    before = sorted(map(str, jobs.read_upserts(spark, path, keys).collect()))
-    for _ in range(2):
-        jobs.compact(spark, path, 2, keys, ["batch_id"])
-        spark.catalog.refreshByPath(path)
-        assert sorted(map(str, jobs.read_upserts(spark, path, keys).collect())) == before
-    assert [p.name for p in (tmp_path / "out").glob("batch_id=*")] == ["batch_id=2"]
+    record = commits.latest(spark, f"{tmp_path}/out")[1]
+    assert record["since"] == 2 and set(record["buckets"]) == {-1, 1}  # folded once, into the touched buckets
+
+
+KEYS = ["league", "game_id"]
+
+
+def upserts(spark, tmp_path, *parts, fresh="cp", every=2):
+    """The parts one after the other, with a restart for each."""
+    for rows in parts:
+        snaps(spark, *rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        run_upserts(spark, tmp_path, fresh, every)
+
+
+def run_upserts(spark, tmp_path, fresh="cp", every=2):
+    source = spark.readStream.schema(snaps(spark, ("a", 0, "x")).schema).parquet(f"{tmp_path}/in")
+    finish(jobs.start_upserts(jobs.stream_newest_wins(source, KEYS, ["observed_at"]), f"{tmp_path}/out", f"{tmp_path}/{fresh}",
+                              available_now=True, keys=KEYS, compact_every=every, buckets=8))
+
+
+def stored(spark, tmp_path):
+    return sorted(map(str, jobs.read_upserts(spark, f"{tmp_path}/out", KEYS).collect()))
+
+
+PARTS = [[("a", 1, "x"), ("b", 1, "y")], [("a", 2, "z"), ("c", 1, "w")], [("d", 1, "v")], [("b", 5, "u")]]
+
+
+def test_a_replayed_folding_batch_loses_nothing(spark, tmp_path):
+    """The driver ends after the sink's commit and before Spark's: the batch is written again, state and all."""
+    upserts(spark, tmp_path, *PARTS[:2])
+    before = stored(spark, tmp_path)
+    assert len(before) == 3 and commits.latest(spark, f"{tmp_path}/out")[1]["since"] == 2
+    for name in ("1", ".1.crc"):
+        (tmp_path / "cp" / "commits" / name).unlink()
+    run_upserts(spark, tmp_path)
+    assert stored(spark, tmp_path) == before
+    upserts(spark, tmp_path, *PARTS[2:])
+    whole = snaps(spark, *[r for p in PARTS for r in p])
+    want = upsert.newest(whole, KEYS, ["observed_at"])
+    assert stored(spark, tmp_path) == sorted(map(str, want.select(*jobs.read_upserts(spark, f"{tmp_path}/out", KEYS).columns).collect()))
+
+
+def test_a_fold_that_ends_before_its_commit_is_repeated(spark, tmp_path, monkeypatch):
+    upserts(spark, tmp_path, PARTS[0])
+    before = stored(spark, tmp_path)
+    with monkeypatch.context() as m:
+        def lost(*_):
+            raise OSError("driver lost")
+        m.setattr(commits, "publish", lost)
+        with pytest.raises(Exception):
+            upserts(spark, tmp_path, PARTS[1])
+    assert stored(spark, tmp_path) == before  # what the attempt wrote is not seen
+    run_upserts(spark, tmp_path)
+    after = jobs.read_upserts(spark, f"{tmp_path}/out", KEYS).collect()
+    assert {r.game_id: r.status for r in after} == {"a": "z", "b": "y", "c": "w"}
+
+
+def test_a_new_checkpoint_does_not_pass_for_a_replay(spark, tmp_path):
+    upserts(spark, tmp_path, PARTS[0])
+    upserts(spark, tmp_path, PARTS[3], fresh="cp2")  # its batches are numbered from zero again
+    assert {r.game_id: r.status for r in jobs.read_upserts(spark, f"{tmp_path}/out", KEYS).collect()} == {"a": "x", "b": "u"}
+
+
+def test_a_merge_rewrites_the_touched_buckets_only(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    rows = spark.range(200).selectExpr("concat('k', id) AS k", "id AS v")
+    keyed_store.add(path, rows, keys=["k"], merge_every=1, buckets=16)
+    names = lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "t" / "state").glob("seq=*/bucket=*/*.parquet")}
+    first = names()
+    assert len(first) == 16
+    keyed_store.add(path, spark.createDataFrame([("k7", 1000)], "k string, v long"), keys=["k"], merge_every=1, buckets=16)
+    second = names()
+    assert len([f for f in first if f in second and first[f] == second[f]]) == 16 and len(second) == 17  # the old one stays for readers
+    got = {r.k: r.v for r in upsert.newest(keyed_store.read(spark, path), ["k"], ["batch_id"]).collect()}
+    assert got == {**{f"k{i}": i for i in range(200)}, "k7": 1000}
+    keyed_store.add(path, spark.createDataFrame([("k7", 1001)], "k string, v long"), keys=["k"], merge_every=1, buckets=16)
+    assert len(names()) == 17 and keyed_store.read(spark, path).where("k = 'k7'").first().v == 1001
+
+
+def test_two_writers_cannot_make_the_same_commit(spark, tmp_path):
+    commits.publish(spark, str(tmp_path), 0, {"a": 1})
+    with pytest.raises(Exception):
+        commits.publish(spark, str(tmp_path), 0, {"a": 2})
+    assert commits.latest(spark, str(tmp_path)) == (0, {"a": 1})
