@@ -22,7 +22,7 @@ SELECT *, CASE WHEN n % 151 = 0 THEN 'invalid_event' WHEN skip IS NOT NULL THEN
 FROM sb_events""")
 view("sb_responses", """
 SELECT league, bucket, response_id, CAST(min(starts_at) AS DATE) AS import_date,
-       CASE WHEN bucket % 11 = 0 THEN 'bad_json' WHEN bucket % 13 = 0 THEN 'league_not_identified' WHEN bucket % 17 = 0 THEN 'events_missing'
+       CASE WHEN bucket % 11 = 0 OR bucket % 19 = 0 OR (bucket % 17 <> 0 AND (bucket % 23 = 0 OR bucket % 29 = 0)) THEN 'bad_json' WHEN bucket % 13 = 0 THEN 'league_not_identified' WHEN bucket % 17 = 0 THEN 'events_missing'
             WHEN bool_or(n % 137 = 0) THEN 'duplicate_event' END AS whole, bool_or(reason IS NOT NULL) AS bad
 FROM sb_judged GROUP BY league, bucket, response_id""")
 view("sb_accepted", """
@@ -52,7 +52,7 @@ def _(t):
 @query("exhibition_filter", """
 SELECT e.response_id, e.league, e.game_id, e.skip AS reason FROM sb_judged e JOIN sb_responses r ON r.response_id = e.response_id,
   (SELECT unnest([1, 2]) AS copy) c
-WHERE e.skip IS NOT NULL AND e.n % 151 <> 0 AND r.bucket % 11 <> 0 AND r.bucket % 17 <> 0 AND (copy = 1 OR e.n % 137 = 0)""")
+WHERE e.skip IS NOT NULL AND e.n % 151 <> 0 AND r.whole IS DISTINCT FROM 'bad_json' AND r.bucket % 17 <> 0 AND (copy = 1 OR e.n % 137 = 0)""")
 def _(t):
     return scoreboard.exhibition_skips(raw_scoreboards(t))
 
@@ -112,7 +112,7 @@ SELECT *, CASE WHEN excluded THEN NULL WHEN nameless OR part % 143 = 0 THEN 'mis
 FROM bx_judged""")
 view("bx_responses", """
 SELECT response_id, league, game_id, max(n) AS n,
-  CASE WHEN max(n) % 31 = 0 THEN 'identity_mismatch' WHEN max(n) % 37 = 0 THEN 'not_final' WHEN max(n) % 53 = 0 THEN 'team_count' WHEN max(n) % 59 = 0 THEN 'unexpected_team' END AS whole,
+  CASE WHEN max(n) % 43 = 0 OR max(n) % 61 = 0 THEN 'bad_json' WHEN max(n) % 31 = 0 THEN 'identity_mismatch' WHEN max(n) % 37 = 0 THEN 'not_final' WHEN max(n) % 53 = 0 THEN 'team_count' WHEN max(n) % 59 = 0 THEN 'unexpected_team' END AS whole,
   max(n) % 41 = 0 AS bad_keys, league = 'NFL' AND max(n) % 29 = 0 AS lacking,
   count(*) - count(DISTINCT concat(part, '/', category)) + coalesce(greatest(count(*) FILTER (WHERE nameless AND NOT excluded AND category = 'general') - 1, 0), 0) > 0 AS repeated,
   count(*) FILTER (WHERE nameless AND NOT excluded AND team_id = home) > 0 AND count(*) FILTER (WHERE nameless AND NOT excluded AND team_id = away) > 0 AS mixed,
@@ -172,13 +172,15 @@ def _(t):
 
 # --- team lists ------------------------------------------------------------------------------
 view("tl_teams", """
-SELECT CASE WHEN c_custkey % 2 = 0 THEN 'NBA' ELSE 'NFL' END AS league,
+SELECT c_custkey // 20 AS bucket, CASE WHEN c_custkey % 2 = 0 THEN 'NBA' ELSE 'NFL' END AS league,
        concat(CASE WHEN c_custkey % 2 = 0 THEN 'NBA' ELSE 'NFL' END, '-', c_custkey // 20) AS response_id,
        CAST(CASE WHEN c_custkey % 103 = 0 THEN c_custkey - 1 ELSE c_custkey END AS VARCHAR) AS team_id,
        CASE WHEN c_custkey % 101 = 0 THEN ' ' ELSE c_name END AS name, substr(c_mktsegment, 1, 3) AS abbreviation FROM customer""")
 view("tl_rejects", """
-SELECT DISTINCT response_id, league, 'missing_field' AS reason FROM tl_teams WHERE trim(name) = ''
-UNION ALL SELECT DISTINCT response_id, league, 'duplicate_team' FROM (SELECT response_id, league, team_id FROM tl_teams GROUP BY ALL HAVING count(*) > 1)""")
+SELECT DISTINCT response_id, league, 'bad_json' AS reason FROM tl_teams WHERE bucket % 7 = 3
+UNION ALL SELECT DISTINCT response_id, league, 'missing_field' FROM tl_teams WHERE trim(name) = '' AND bucket % 7 <> 3
+UNION ALL SELECT DISTINCT response_id, league, 'duplicate_team' FROM (
+  SELECT response_id, league, team_id FROM tl_teams WHERE bucket % 7 <> 3 GROUP BY ALL HAVING count(*) > 1)""")
 
 
 def raw_team_lists(t):

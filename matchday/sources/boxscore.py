@@ -1,6 +1,7 @@
-"""Raw box scores: one row per response, joined once to the stored game it claims to describe.
+"""Raw box scores: one row per response, held against the stored game that it claims to describe.
 
-Bodies are parsed where they are read; only the parsed parts meet the stored games.
+Bodies are parsed and judged where they are read.  What meets the stored games is flat: either one narrow row per response
+(its claims and the rules it breaks by itself) or its lines, each with the claims; no document is shuffled.
 """
 
 from __future__ import annotations
@@ -10,10 +11,9 @@ from pyspark.sql import functions as F
 
 from matchday.functions import expr
 from matchday.functions.domain import DEFAULT_CATEGORY, REQUIRED_CATEGORIES, ZERO_PLACEHOLDERS
-from matchday.sources.scoreboard import CORRUPT, accepted, bad_json, empty
+from matchday.sources.scoreboard import empty, with_document
 
 SCHEMA = """
-_corrupt_record string,
 header struct<id: string, league: struct<abbreviation: string>, season: struct<year: int, type: int>,
   competitions: array<struct<status: struct<type: struct<completed: boolean, state: string>>>>>,
 boxscore struct<players: array<struct<
@@ -57,34 +57,35 @@ def _line(league: Column, team: Column, category: Column, keys: Column):
     return line
 
 
-def judged(raw: DataFrame, games: DataFrame) -> DataFrame:
-    """Responses with flat lines and the reasons that reject the whole game."""
+CLAIMS = ["says_season", "says_type", "team_ids", "early", "late", "rules"]
+
+
+def claimed(raw: DataFrame) -> DataFrame:
+    """Responses with flat lines, what they claim, and the rules that they break by themselves.
+
+    Rules are ordered: ``early`` comes before what the stored game decides, ``late`` and ``rules`` after it.
+    """
     league = F.col("league")
     default = F.lit("")
     for name, category in DEFAULT_CATEGORY.items():
         default = F.when(league == name, category).otherwise(default)
-    stored = games.select(*GAME, "season", "season_type", "home", "away")
-    parsed = raw.withColumn("doc", F.from_json("body", SCHEMA, CORRUPT)).select(
-        "response_id", *GAME, "observed_at", bad_json(F.col("doc"), F.col("body")).alias("bad_json"), "doc.header", "doc.boxscore")
-    docs = parsed.join(stored, GAME, "left")
+    docs = with_document(raw, SCHEMA)
 
     def categories(team):
         return F.transform(F.coalesce(team["statistics"], F.array()), lambda c: F.struct(
             F.when(empty(c["name"]), default).otherwise(c["name"]).alias("name"),
             F.coalesce(c["keys"], F.array()).alias("keys"), F.coalesce(c["athletes"], F.array()).alias("athletes")))
-    teams = F.transform(F.coalesce("boxscore.players", F.array()), lambda t: F.struct(
+    teams = F.transform(F.coalesce("doc.boxscore.players", F.array()), lambda t: F.struct(
         F.coalesce(t["team"]["id"], F.lit("")).alias("id"), categories(t).alias("cats")))
     lines = F.flatten(F.transform("teams", lambda t: F.flatten(F.transform(
         t["cats"], lambda c: F.transform(c["athletes"], _line(league, t["id"], c["name"], c["keys"]))))))
 
-    h = F.col("header")
-    same = (
-        (h["id"] == F.col("game_id")) & (h["league"]["abbreviation"] == league)
-        & (h["season"]["year"] == F.col("season")) & (h["season"]["type"] == F.col("season_type")))
+    h = F.col("doc.header")
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    named = (h["id"] == F.col("game_id")) & (h["league"]["abbreviation"] == league)
     only = F.get(h["competitions"], F.lit(0))["status"]["type"]
     final = (F.size(h["competitions"]) == 1) & only["completed"] & (only["state"] == "post")
     ids = F.col("teams.id")
-    strange = (F.size(F.array_distinct(ids)) < F.size(ids)) | F.exists(ids, lambda t: ~t.isin(F.col("home"), F.col("away")))
     bad_keys = lambda c: F.exists(c["keys"], expr.blank) | (F.size(F.array_distinct(c["keys"])) < F.size(c["keys"]))
     no_category = lambda c: (c["name"] == "") | (F.size(c["keys"]) == 0)
     names = lambda t: F.transform(t["cats"], lambda c: c["name"])
@@ -99,11 +100,9 @@ def judged(raw: DataFrame, games: DataFrame) -> DataFrame:
     both = distinct(lambda x: F.concat_ws("/", x["player_id"], x["team_id"])) > distinct(lambda x: x["player_id"])
     idle = F.exists("teams", lambda t: ~F.exists("kept", lambda x: (
         (x["team_id"] == t["id"]) & ~x["did_not_play"] & (F.size(x["stats"]) > 0))))
-    no = lambda c: ~F.coalesce(c, F.lit(False))
-    whole = (
-        F.when(F.coalesce("bad_json", F.lit(True)), "bad_json")
-        .when(no(same), "identity_mismatch").when(no(final), "not_final")
-        .when(F.size("teams") != 2, "team_count").when(strange, "unexpected_team"))
+    early = F.when(F.col("doc").isNull(), "bad_json").when(no(named), "identity_mismatch")
+    late = F.when(no(final), "not_final").when(F.size("teams") != 2, "team_count").when(
+        F.size(F.array_distinct(ids)) < F.size(ids), "unexpected_team")
     rules = F.array_compact(F.array(
         F.when(F.exists("teams", lambda t: F.exists(t["cats"], no_category) | repeated(t)), "category"),
         F.when(F.exists("teams", lambda t: F.exists(t["cats"], bad_keys)), "statistic_key"),
@@ -112,27 +111,45 @@ def judged(raw: DataFrame, games: DataFrame) -> DataFrame:
     line_reasons = F.array_distinct(F.filter(F.col("lines.reason"), lambda r: r.isNotNull()))
     return (
         docs.withColumn("teams", teams).withColumn("lines", lines).withColumn("kept", kept)
-        .withColumn("reasons", F.when(whole.isNotNull(), F.array(whole)).otherwise(F.concat(rules, line_reasons)))
-        .select("response_id", *GAME, "season", "season_type", "observed_at", "lines", "reasons")
+        .select("response_id", *GAME, "observed_at", h["season"]["year"].alias("says_season"), h["season"]["type"].alias("says_type"),
+                F.slice(ids, 1, 3).alias("team_ids"), early.alias("early"), late.alias("late"), F.concat(rules, line_reasons).alias("rules"),
+                "lines")
     )
 
 
+def against_games(rows: DataFrame, games: DataFrame) -> DataFrame:
+    """Adds the stored season and the reasons that reject a response (empty = accepted) to rows with its claims."""
+    stored = games.select(*GAME, "season", "season_type", "home", "away")
+    same = F.coalesce((F.col("says_season") == F.col("season")) & (F.col("says_type") == F.col("season_type")), F.lit(False))
+    strange = F.exists("team_ids", lambda t: ~t.isin(F.col("home"), F.col("away")))
+    whole = F.coalesce("early", F.when(~same, "identity_mismatch"), "late", F.when(strange, "unexpected_team"))
+    reasons = F.when(whole.isNotNull(), F.array(whole)).otherwise(F.col("rules"))
+    return rows.join(stored, GAME, "left").withColumn("reasons", reasons).drop("home", "away", *CLAIMS)
+
+
+def sound(items: Column) -> Column:
+    """An array of responses that break no rule by themselves, null for others."""
+    return F.when(F.col("early").isNull() & F.col("late").isNull() & (F.size("rules") == 0), items)
+
+
 def boxscore_decode(raw: DataFrame, games: DataFrame) -> DataFrame:
     """One row per (game, team, category, athlete) of the accepted responses."""
-    rows = judged(raw, games).select(
-        "response_id", *GAME, "season", "season_type", "observed_at", F.inline_outer(accepted(F.col("lines")))).where(
+    flat = claimed(raw).select("response_id", *GAME, "observed_at", *CLAIMS, F.inline_outer(sound(F.col("lines")))).where(
         "category is not null and not excluded")
+    rows = against_games(flat, games).where(F.size("reasons") == 0)
     stats = F.when(F.size("stats") > 0, F.to_json(F.map_from_arrays("keys", "stats"))).otherwise("{}")
     return rows.select("response_id", *GAME, "season", "season_type", "team_id", "player_id", "name", "category",
                        "position", "jersey", "did_not_play", "starter", stats.alias("stats_json"), "observed_at")
 
 
 def boxscore_rejects(raw: DataFrame, games: DataFrame) -> DataFrame:
-    return judged(raw, games).select("response_id", *GAME, F.explode_outer("reasons").alias("reason")).where("reason is not null")
+    narrow = claimed(raw).drop("lines", "observed_at")
+    return against_games(narrow, games).select("response_id", *GAME, F.explode_outer("reasons").alias("reason")).where("reason is not null")
 
 
 def placeholder_dnp(raw: DataFrame, games: DataFrame) -> DataFrame:
     """Excluded entries without identity, per accepted response."""
     n = F.size(F.filter("lines", lambda x: x["excluded"]))
-    return judged(raw, games).select("response_id", *GAME, F.explode_outer(accepted(F.array(n))).alias("excluded")).where(
-        "excluded > 0")
+    # an outer generator: a filter on a plain column would go below the parse and repeat it
+    narrow = claimed(raw).select("response_id", *GAME, *CLAIMS, F.explode_outer(sound(F.array(n))).alias("excluded"))
+    return against_games(narrow, games).where((F.size("reasons") == 0) & (F.col("excluded") > 0)).select("response_id", *GAME, "excluded")

@@ -12,12 +12,11 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchday.functions import expr
+from matchday.functions import documents, expr
 from matchday.functions.domain import (
     EXHIBITION_COMPETITION, EXHIBITION_SEASON_TYPE, MAX_EVENTS, SCORED_STATUSES)
 
 SCHEMA = """
-_corrupt_record string,
 leagues array<struct<abbreviation: string>>,
 events array<struct<
   id: string, season: struct<year: int, type: int>, week: struct<number: int>,
@@ -26,7 +25,6 @@ events array<struct<
     status: struct<type: struct<name: string, state: string, completed: boolean>>,
     competitors: array<struct<homeAway: string, team: struct<id: string>, score: string>>>>>>
 """
-CORRUPT = {**expr.STRICT_JSON, "columnNameOfCorruptRecord": "_corrupt_record", "mode": "PERMISSIVE"}
 ID = ["response_id", "league", "import_date", "observed_at"]
 
 
@@ -34,10 +32,11 @@ def empty(text: Column) -> Column:
     return F.coalesce(text, F.lit("")) == ""
 
 
-def bad_json(doc: Column, body: Column) -> Column:
-    """True where a body is no JSON object, or text follows the object."""
-    ends = F.substring(F.rtrim(F.translate(body, "\n\r\t", "   ")), -1, 1) == "}"
-    return doc.isNull() | doc["_corrupt_record"].isNotNull() | ~ends
+def with_document(raw: DataFrame, schema: str) -> DataFrame:
+    """Adds `doc`, null where the body is not one whole object with leaves of the declared types.  Parsed once."""
+    wrapped = raw.withColumn("wrapped", documents.parsed(F.col("body"), schema))
+    good = documents.valid(F.col("wrapped"), F.col("body"), schema)
+    return wrapped.withColumn("doc", F.when(good, documents.content(F.col("wrapped"), schema))).drop("wrapped", "body")
 
 
 def accepted(items: Column) -> Column:
@@ -101,13 +100,13 @@ def judged(raw: DataFrame) -> DataFrame:
     events = F.coalesce("doc.events", F.array())
     ids = F.col("events.game_id")
     whole = (
-        F.when(bad_json(F.col("doc"), F.col("body")), "bad_json")
+        F.when(F.col("doc").isNull(), "bad_json")
         .when(~F.coalesce(F.exists("doc.leagues", lambda x: x["abbreviation"] == league), F.lit(False)), "league_not_identified")
         .when(F.col("doc.events").isNull(), "events_missing")
         .when(F.size("doc.events") >= MAX_EVENTS, "too_many_events")
         .when(F.size(F.array_distinct(ids)) < F.size(ids), "duplicate_event"))
     return (
-        raw.withColumn("doc", F.from_json("body", SCHEMA, CORRUPT))
+        with_document(raw, SCHEMA)
         .withColumn("facts", F.transform(events, _facts))
         .withColumn("events", F.transform("facts", _verdict(league)))
         .withColumn("reasons", F.when(whole.isNotNull(), F.array(whole)).otherwise(

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchday.functions import expr
-from matchday.sources.scoreboard import CORRUPT, accepted, bad_json
+from matchday.sources.scoreboard import accepted, with_document
 
 SCHEMA = """
-_corrupt_record string,
 sports array<struct<leagues: array<struct<abbreviation: string, teams: array<struct<
   team: struct<id: string, displayName: string, abbreviation: string>>>>>>>
 """
@@ -24,11 +23,11 @@ def judged(raw: DataFrame) -> DataFrame:
         t["team"]["id"].alias("team_id"), t["team"]["displayName"].alias("name"), t["team"]["abbreviation"].alias("abbreviation")))
     ids = F.col("teams.team_id")
     lack = lambda t: expr.blank(t["team_id"]) | expr.blank(t["name"]) | expr.blank(t["abbreviation"])
-    reasons = F.when(bad_json(F.col("doc"), F.col("body")), F.array(F.lit("bad_json"))).otherwise(
+    reasons = F.when(F.col("doc").isNull(), F.array(F.lit("bad_json"))).otherwise(
         F.array_compact(F.array(
             F.when(F.size("teams") == 0, "no_teams"), F.when(F.exists("teams", lack), "missing_field"),
             F.when(F.size(F.array_distinct(ids)) < F.size(ids), "duplicate_team"))))
-    return raw.withColumn("doc", F.from_json("body", SCHEMA, CORRUPT)).withColumn("teams", teams).withColumn(
+    return with_document(raw, SCHEMA).withColumn("teams", teams).withColumn(
         "reasons", reasons).select("response_id", "league", "teams", "reasons")
 
 

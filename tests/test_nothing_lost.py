@@ -1,5 +1,6 @@
 """Refused rows are listed, replaced scopes leave nothing behind, and documents are parsed once and strictly."""
 
+from pyspark.sql import functions as F  # noqa: I001
 from datetime import datetime, timedelta
 
 from conftest import as_dicts, season_rows
@@ -25,16 +26,22 @@ def test_each_document_is_parsed_once(spark, tmp_path):
         assert plan(df).count("from_json") == 1
 
 
-def test_bodies_stay_out_of_the_shuffle(spark, tmp_path):
+def test_documents_stay_out_of_the_shuffle(spark, tmp_path):
+    """What is sorted or dealt holds flat columns: no body, no document, no nested lines."""
     spark.createDataFrame([], RAW).write.parquet(str(tmp_path / "raw"))
+    raw, stored = spark.read.parquet(str(tmp_path / "raw")), spark.createDataFrame([], STORED)
     size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        text = plan(boxscore.boxscore_decode(spark.read.parquet(str(tmp_path / "raw")), spark.createDataFrame([], STORED)))
+        for df in (boxscore.boxscore_decode(raw, stored), boxscore.boxscore_rejects(raw, stored)):
+            nodes = df._jdf.queryExecution().executedPlan().toString().splitlines()
+            text = df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+            dealt = [part.split("Input [", 1)[1].split("]: ", 1)[1].splitlines()[0] for part in text.split("\n\n")
+                     if part.lstrip().startswith("(") and " Exchange" in part.splitlines()[0] and "Input [" in part]
+            assert len(dealt) == 2 and nodes
+            assert not any(name + "#" in x for x in dealt for name in ("body", "wrapped", "doc", "lines", "teams", "kept"))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
-    assert "body#" not in text[:text.index("Exchange hashpartitioning")]
-    assert text.index("Exchange hashpartitioning") < text.index("from_json")
 
 
 def test_text_after_a_document_and_single_quotes_reject_it(spark):
@@ -45,6 +52,29 @@ def test_text_after_a_document_and_single_quotes_reject_it(spark):
     assert bad == {k: "bad_json" for k in ("trailing", "quotes", "empty", "null")}
 
 
+def test_leaves_of_another_type_reject_a_document(spark):
+    from matchday.functions import documents
+    schema = "id string, week struct<number: int>, ok boolean, stats array<string>"
+    fine = ['{"id":"a"}', '{"id":null}', '{"week":{"number":3}} ', '{"stats":["1",null]}', '{"id":"a","id":"b"}', '{"other":[1,{"x":2}]}', "{}"]
+    wrong = ['{"id":1}', '{"id":{}}', '{"week":{"number":"3"}}', '{"week":{"number":3.0}}', '{"week":5}', '{"ok":"true"}', '{"stats":["1",2]}',
+             '{"id":NaN}', '{"id":"a"}{"x":1}', '{"id":"a"},"digest":"0"}', '{"id":"a"}]', "[]", "null", "", "5", '{"id":"a"', None]
+    df = spark.createDataFrame([(b,) for b in fine + wrong], "body string").withColumn("w", documents.parsed(F.col("body"), schema))
+    got = [r.body for r in df.where(documents.valid(F.col("w"), F.col("body"), schema)).select("body").collect()]
+    assert got == fine
+    ids = [r.id for r in df.limit(5).select(documents.content(F.col("w"), schema).alias("c")).select("c.id").collect()]
+    assert ids == ["a", None, None, None, "b"]
+
+
+def test_numeric_scores_reject_a_response(spark):
+    event = ('{"leagues":[{"abbreviation":"NBA"}],"events":[{"id":"g","season":{"year":2026,"type":2},"competitions":[{"type":{"abbreviation":"STD"},'
+             '"date":"2026-01-01T00:00:00Z","status":{"type":{"name":"STATUS_FINAL","state":"post","completed":true}},"competitors":['
+             '{"homeAway":"home","team":{"id":"1"},"score":SCORE},{"homeAway":"away","team":{"id":"2"},"score":"3"}]}]}]}')
+    bodies = {"text": '"4"', "number": "4"}
+    raw = spark.createDataFrame([(k, "NBA", "g", datetime(2026, 1, 1).date(), datetime(2026, 1, 1), event.replace("SCORE", v)) for k, v in bodies.items()], RAW)
+    assert {r["response_id"]: r["reason"] for r in as_dicts(scoreboard.scoreboard_rejects(raw))} == {"number": "bad_json"}
+    assert [r["response_id"] for r in as_dicts(scoreboard.scoreboard_decode(raw))] == ["text"]
+
+
 def test_refused_season_pairs_and_leagues_are_listed(games):
     later = [[*r[:1], 2027, *r[2:3], "h" + r[3], r[4] + timedelta(days=10), *r[5:]] for r in season_rows()]
     apart = [[*r[:1], 2028, *r[2:3], "i" + r[3], r[4] + timedelta(days=400), *r[5:]] for r in season_rows()]
