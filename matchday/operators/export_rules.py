@@ -41,10 +41,12 @@ def game_rules(games: DataFrame, reports: DataFrame) -> DataFrame:
     """V2-V5 on single rows.  A file without a week column is looked up by its report's version:
     optional in version 3, a fault in version 4.  An empty week is fine in both."""
     rows, unversioned = games, F.lit(False)
-    if "week" not in games.columns:
+    if "week" not in games.columns or "week_present" in games.columns:
         versions = reports.select(*[F.col(k).alias(r) for k, r in zip(KEY, REPORT)], "schema_version")
-        rows = games.join(versions, REPORT, "left").withColumn("week", F.lit(None).cast("string"))
-        unversioned = F.coalesce(F.col("schema_version") == 4, F.lit(False))
+        rows = games.join(versions, REPORT, "left")
+        if "week" not in games.columns:
+            rows = rows.withColumns({"week": F.lit(None).cast("string"), "week_present": F.lit(False)})
+        unversioned = F.coalesce((F.col("schema_version") == 4) & ~F.col("week_present"), F.lit(False))
     mixed = (
         (F.col("league") != F.col("report_league")) | (F.col("season") != F.col("report_season").cast("string"))
         | (F.col("season_type") != F.col("report_season_type").cast("string"))

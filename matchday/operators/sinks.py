@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchday.functions.domain import FEATURES, KEY
+from matchday.operators import commits
 from matchday.operators.player_stats import participation
 from matchday.session import hadoop
 
@@ -86,14 +87,56 @@ def require_ready(report: DataFrame, allow_incomplete: bool) -> None:
         raise ValueError("quality checks failed; inspect the report or pass allow_incomplete=True")
 
 
+EXPORT = {"games": ["starts_at_utc", "game_id"], "players": ["game_id", "player_id", "category"], "report": [], "issues": ["code", "detail"]}
+
+
+def scope_name(key) -> str:
+    return "/".join(f"{k}={key[k]}" for k in KEY)
+
+
 def write_export(path: str, games: DataFrame, players: DataFrame, report: DataFrame, issues: DataFrame, *,
-                 overwrite: bool = False, allow_incomplete: bool = False) -> None:
-    """Games, players, report and findings of every scope in ``report``; what a scope had before is replaced whole."""
+                 overwrite: bool = False, allow_incomplete: bool = False) -> int:
+    """Games, players, report and findings of every scope in ``report``, as one unit; the number of its commit.
+
+    Scopes that are stored already are refused before anything is written, unless they are to be replaced.  The four tables
+    are written to a version of their own, which no reader sees until one commit names it for its scopes; what fails on the
+    way leaves the stored export whole.  A scope is replaced with all that it had.  There are as many scopes as seasons.
+    """
+    spark = report.sparkSession
     require_ready(report, allow_incomplete)
-    write_keyed(export_games(games), f"{path}/games", ["starts_at_utc", "game_id"], overwrite=overwrite, scopes=report)
-    write_keyed(export_players(players), f"{path}/players", ["game_id", "player_id", "category"], overwrite=overwrite, scopes=report)
-    write_keyed(report.withColumn("schema_version", F.lit(4)), f"{path}/report", [], overwrite=overwrite, kind="json")
-    write_keyed(issues, f"{path}/issues", ["code", "detail"], overwrite=overwrite, scopes=report, kind="json")
+    last, before = commits.latest(spark, path)
+    stored = before.get("scopes", {})
+    scopes = [scope_name(r) for r in report.select(*KEY).distinct().collect()]
+    clash = sorted(set(scopes) & set(stored))
+    if clash and not overwrite:
+        raise ValueError(f"export of {clash[0]} already exists; pass overwrite=True to replace it")
+    number = last + 1
+    version = f"{path}/versions/{number:020d}"
+    commits.remove(spark, version)  # left by an attempt that ended early
+    mine = report.select(*KEY).distinct()
+    tables = {"games": export_games(games), "players": export_players(players),
+              "report": report.withColumn("schema_version", F.lit(4)), "issues": issues}
+    for name, df in tables.items():
+        write_keyed(df.join(mine, KEY, "left_semi"), f"{version}/{name}", EXPORT[name], kind="csv" if name in ("games", "players") else "json")
+    now = {**stored, **{s: number for s in scopes}}
+    commits.publish(spark, path, number, {"scopes": now})
+    named = {*now.values(), *stored.values()}  # readers may still be at the commit before
+    for folder in commits.folders(spark, f"{path}/versions/*"):
+        if int(folder.rsplit("/", 1)[1]) not in named:
+            commits.remove(spark, folder)
+    return number
+
+
+def export_folders(spark, path: str, name: str) -> list[str]:
+    """Folders of one table of an export, one per scope that has rows in it, as the last commit names them."""
+    _, record = commits.latest(spark, path)
+    found = []
+    for version in sorted(set(record.get("scopes", {}).values())):
+        base = f"{path}/versions/{version:020d}/{name}"
+        there = stored_keys(spark, base)
+        if there is not None:
+            found += [f"{base}/{scope_name(r)}" for r in there.collect() if record["scopes"].get(scope_name(r)) == version]
+    return found
 
 
 def run_features(split: DataFrame) -> DataFrame:

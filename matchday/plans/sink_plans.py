@@ -1,5 +1,8 @@
 """Registered sink queries (K1-K6, S10): frames as written and read back."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchday.functions.domain import FEATURES, KEY
@@ -75,7 +78,7 @@ def _(t):
     path = scratch_dir(t.spark)
     report = audit.audit_report(audit_input(t)).withColumn("schema_version", F.lit(4))
     sinks.write_keyed(sinks.export_games(flagged_games(t)), f"{path}/games", ["starts_at_utc", "game_id"])
-    return export_rules.game_rules(exports.with_report_key(exports.read_games(t.spark, path)), report)
+    return export_rules.game_rules(exports.with_report_key(exports.read_games(t.spark, path, with_presence=True)), report)
 
 
 @query("export_overwrite", """
@@ -100,6 +103,52 @@ def _(t):
     return exports.read_games(t.spark, path)
 
 
+@query("export_unit", """
+SELECT league, season, season_type, 'games' AS part, count(*) AS rows FROM exported_games GROUP BY ALL
+UNION ALL SELECT league, season, season_type, 'players', count(*) FROM exported_players GROUP BY ALL
+UNION ALL SELECT league, season, season_type, 'report', count(*) FROM reports GROUP BY ALL
+UNION ALL SELECT league, season, season_type, 'issues', count(*) FROM audit_all GROUP BY ALL""")
+def _(t):
+    """All four tables of an export that was written twice, the second time with the NFL scopes only."""
+    path = scratch_dir(t.spark)
+    a = audit_input(t)
+    report, issues = audit.audit_report(a), audit.audit_issues(a)
+    sinks.write_export(path, flagged_games(t), full_lines(t), report, issues, allow_incomplete=True)
+    nfl = "league = 'NFL'"
+    sinks.write_export(path, flagged_games(t), full_lines(t), report.where(nfl), issues.where(nfl), overwrite=True, allow_incomplete=True)
+    tables = {"games": exports.read_games(t.spark, path), "players": exports.read_players(t.spark, path),
+              "report": exports.read_reports(t.spark, path), "issues": exports.read_issues(t.spark, path)}
+    counts = [df.groupBy(*KEY).agg(F.count("*").alias("rows")).withColumn("part", F.lit(name)) for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+@query("export_versions", """
+SELECT game_id, league, season, season_type, starts_at_utc, home_team_id, away_team_id, home_score, away_score, player_import_complete,
+  CASE WHEN league = 'NFL' THEN week END AS week, league = 'NFL' AS week_present FROM exported_games""")
+def _(t):
+    """Files of two versions side by side: without a week column, and with columns of another order and one more."""
+    path = scratch_dir(t.spark)
+    rows = sinks.export_games(flagged_games(t))
+    sinks.write_keyed(rows.where("league <> 'NFL'").drop("week"), f"{path}/games", ["starts_at_utc", "game_id"])
+    more = rows.where("league = 'NFL'").select(*reversed(rows.columns)).withColumn("venue", F.lit("x"))
+    sinks.write_keyed(more, f"{path}/games", ["starts_at_utc", "game_id"])
+    return exports.read_games(t.spark, path, with_presence=True)
+
+
+@query("export_version_rules", """
+SELECT league AS report_league, season AS report_season, season_type AS report_season_type, 'V3' AS rule, game_id AS detail
+FROM exported_games WHERE league = 'NBA'""")
+def _(t):
+    """V3 where a file of version 4 lacks its week column; version 3 may."""
+    path = scratch_dir(t.spark)
+    rows = sinks.export_games(flagged_games(t))
+    sinks.write_keyed(rows.drop("week"), f"{path}/games", ["starts_at_utc", "game_id"])
+    version = F.when(F.col("league") == "NBA", 4).otherwise(3).alias("schema_version")
+    report = rows.select(*KEY).distinct().select(*KEY, version)
+    games = exports.with_report_key(exports.read_games(t.spark, path, with_presence=True))
+    return export_rules.game_rules(games, report).where("rule = 'V3'")
+
+
 @query("run_outputs", "SELECT league, season, season_type, split, game_id, date, target AS home_win, " + ", ".join(FEATURES) + " FROM s602020")
 def _(t):
     path = scratch_dir(t.spark)

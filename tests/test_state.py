@@ -143,14 +143,74 @@ def test_export_round_trip_and_overwrite(spark, flagged, tmp_path):
     assert mine["g00"].starts_at_utc == "2025-09-01T18:00:00Z" and mine["g01"].starts_at_utc == "2025-09-02T18:00:00.25Z"
 
 
-def test_ragged_and_renamed_files_fail(spark, tmp_path):
-    header = ",".join(exports.GAME_COLUMNS)
-    for name, text in {"ragged": f"{header}\n1,2,3,4,5,6,true,7,extra\n", "renamed": f"{header.replace('week', 'wk')}\n1,2,3,4,5,6,true,7\n"}.items():
-        folder = tmp_path / name / "games" / "league=NBA" / "season=2026" / "season_type=2"
-        folder.mkdir(parents=True)
-        (folder / "part.csv").write_text(text)
-        with pytest.raises(Exception):
-            exports.read_games(spark, str(tmp_path / name)).collect()
+HEADER = ",".join(exports.GAME_COLUMNS)
+
+
+def game_file(tmp_path, name, text, season=2026):
+    folder = tmp_path / name / "games" / "league=NBA" / f"season={season}" / "season_type=2"
+    folder.mkdir(parents=True, exist_ok=True)
+    (folder / f"part-{len(list(folder.iterdir()))}.csv").write_text(text)
+    return str(tmp_path / name)
+
+
+FAULTY = {"ragged": f"{HEADER}\n1,2,3,4,5,6,true,7,extra\n", "short": f"{HEADER}\n1,2,3,4,5,6,true\n",
+          "renamed": HEADER.replace("home_score", "hs") + "\n1,2,3,4,5,6,true,7\n", "repeated": f"{HEADER},week\n1,2,3,4,5,6,true,7,8\n",
+          "extra and ragged": f"{HEADER},venue\n1,2,3,4,5,6,true,7\n", "empty": ""}
+
+
+@pytest.mark.parametrize("name", FAULTY)
+def test_faulty_files_fail(spark, tmp_path, name):
+    with pytest.raises(Exception):
+        exports.read_games(spark, game_file(tmp_path, name, FAULTY[name])).collect()
+
+
+def test_files_are_read_by_their_own_header(spark, tmp_path):
+    path = game_file(tmp_path, "x", f"{HEADER}\n1,2,3,4,5,6,true,7\n")
+    game_file(tmp_path, "x", "venue,away_score," + HEADER.replace("away_score,", "").replace(",week", "") + "\nv,6,2,2,3,4,5,true\n", 2025)
+    rows = {r.game_id: r for r in exports.read_games(spark, path, with_presence=True).collect()}
+    assert (rows["1"].week, rows["1"].week_present, rows["1"].season) == ("7", True, 2026)
+    assert (rows["2"].week, rows["2"].week_present, rows["2"].away_score, rows["2"].season) == (None, False, "6", 2025)
+    game_file(tmp_path, "x", HEADER.replace("home_team_id,away_team_id", "away_team_id,home_team_id") + "\n3,2,3,4,5,6,true,7\n")
+    with pytest.raises(Exception):  # two files of one key must agree
+        exports.read_games(spark, path).collect()
+
+
+def unit(spark, flagged, rows, ready=True):
+    games = flagged(rows)
+    key = sorted({(r[0], r[1], r[2]) for r in rows})
+    players = spark.createDataFrame([(*k, "g00", "p", "P", "a", "general", "G", "7", False, True, "{}", None, None) for k in key],
+                                    "league string, season int, season_type int, game_id string, player_id string, name string, team_id string, category string, "
+                                    "position string, jersey string, did_not_play boolean, starter boolean, stats_json string, additive_stats map<string,double>, x string")
+    report = spark.createDataFrame([(*k, ready, len(rows), 0) for k in key], "league string, season int, season_type int, ready_for_export boolean, stored_games long, issues long")
+    issues = spark.createDataFrame([(*key[0], "c", "warning", "g", "d")], "league string, season int, season_type int, code string, severity string, game_id string, detail string")
+    return games, players, report, issues
+
+
+def test_an_export_switches_as_one_unit(spark, flagged, tmp_path, monkeypatch):
+    path = str(tmp_path / "x")
+    both = [list(r) for r in season_rows(4)] + [[*r[:1], 2027, *r[2:]] for r in season_rows(3)]
+    sinks.write_export(path, *unit(spark, flagged, both))
+    read = lambda: [len(f(spark, path).collect()) for f in (exports.read_games, exports.read_players, exports.read_reports, exports.read_issues)]
+    assert read() == [7, 2, 2, 1]
+    less = [list(r) for r in season_rows(2)]
+    with pytest.raises(ValueError):
+        sinks.write_export(path, *unit(spark, flagged, less))
+    written = []
+
+    def failing(df, to, *rest, **more):
+        written.append(to)
+        if to.endswith("report"):
+            raise OSError("disk")
+        return whole(df, to, *rest, **more)
+    whole = sinks.write_keyed
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "write_keyed", failing)
+        with pytest.raises(OSError):
+            sinks.write_export(path, *unit(spark, flagged, less), overwrite=True)
+    assert len(written) == 3 and read() == [7, 2, 2, 1]  # the old export is whole
+    sinks.write_export(path, *unit(spark, flagged, less), overwrite=True)
+    assert read() == [5, 2, 2, 1]
+    assert {r.season: r.stored_games for r in exports.read_reports(spark, path).collect()} == {2026: 2, 2027: 7}
 
 
 def test_unready_export_is_refused(spark):
