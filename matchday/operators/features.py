@@ -135,7 +135,10 @@ def newest_observation(history: DataFrame) -> DataFrame:
     if "observed_at" not in history.columns:
         return history
     from matchday.operators.upsert import newest
-    return newest(history, ["league", "game_id"], ["observed_at"])
+    # of equally late observations the later entry (``seq``) counts; the rest of the row makes the order total
+    keys = ["league", "game_id", "observed_at"]
+    return newest(history, keys[:2], ["observed_at", *sorted(c for c in history.columns if c not in keys and c == "seq"),
+                                      *sorted(c for c in history.columns if c not in (*keys, "seq"))])
 
 
 def asof_features(targets: DataFrame, history: DataFrame) -> DataFrame:

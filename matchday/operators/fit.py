@@ -25,10 +25,6 @@ TOLERANCE = 1e-10
 MODELS_PER_PASS = 5000
 
 
-class NotConverged(RuntimeError):
-    pass
-
-
 def constant_baseline(split: DataFrame, by: list[str]) -> DataFrame:
     return split.where("split = 'train'").groupBy(*by).agg(F.avg("target").alias("rate"))
 
@@ -74,9 +70,15 @@ def _pass(train: DataFrame, by: list[str], spark: SparkSession, stats: dict, mod
 def fit_logistic(split: DataFrame, by: list[str], candidates: dict[str, tuple], grid=C_GRID,
                  max_iterations: int = MAX_ITERATIONS, stats: DataFrame | None = None) -> DataFrame:
     """L2 logistic regressions, intercept unpenalised: minimise C * sum(loss) + |w|^2 / 2 on
-    standardised features.  ``candidates`` maps a league to its feature-set names."""
+    standardised features.  ``candidates`` maps a league to its feature-set names.
+
+    A model fails alone: one that does not converge, or whose equations have no single finite solution, is left out, with the
+    other C of its group and candidate, since C could not be chosen fairly among the rest.  ``fit_violations`` lists them.
+    The training rows are written once, clustered by group, and every pass reads them there.
+    """
     spark = split.sparkSession
     train = split.where("split = 'train'").select(*by, "target", *FEATURES)
+    train = materialize(train.repartitionByRange(*by).sortWithinPartitions(*by), "train")
     # One short row per (key, window): bounded by seasons times windows, not by games.
     stats_rows = (standardize(split, by) if stats is None else stats).collect()
     info = {
@@ -91,7 +93,8 @@ def fit_logistic(split: DataFrame, by: list[str], candidates: dict[str, tuple],
             used = np.array([0] + [1 + FEATURES.index(f) for f in FEATURE_SETS[name]])
             for c in grid:
                 models.append({"group": group, "candidate": name, "C": c, "used": used, "iterations": 0,
-                               "trial": np.zeros(WIDTH + 1), "base": None, "value": np.inf, "done": False})
+                               "trial": np.zeros(WIDTH + 1), "base": None, "value": np.inf, "done": s["rate"] in (0, 1),
+                               "failed": "one_class" if s["rate"] in (0, 1) else None})
     for _ in range(max_iterations):
         active = [(i, m) for i, m in enumerate(models) if not m["done"]]
         if not active:
@@ -100,7 +103,10 @@ def fit_logistic(split: DataFrame, by: list[str], candidates: dict[str, tuple],
         for start in range(0, len(active), MODELS_PER_PASS):
             results.update(_pass(train, by, spark, info, active[start:start + MODELS_PER_PASS]))
         for i, m in active:
-            row, u = results[i], m["used"]
+            row, u = results.get(i), m["used"]
+            if row is None or not np.isfinite(row["loss"] if row["loss"] is not None else np.nan):
+                m["failed"], m["done"] = "not_finite", True
+                continue
             m["iterations"] += 1
             w = m["trial"][u]
             penalty = np.ones(len(u))
@@ -112,20 +118,23 @@ def fit_logistic(split: DataFrame, by: list[str], candidates: dict[str, tuple],
                 continue
             gradient = m["C"] * np.array([row[f"g{j}"] for j in u]) + penalty * w
             curvature = m["C"] * np.array([[row[f"h{max(j, k)}_{min(j, k)}"] for k in u] for j in u]) + np.diag(penalty)
+            if np.linalg.cond(curvature) > 1 / np.finfo(float).eps:
+                m["failed"], m["done"] = "singular", True
+                continue
             step = np.linalg.solve(curvature, gradient)
             m["base"], m["value"] = m["trial"], value
             m["trial"] = m["trial"].copy()
             m["trial"][u] -= step
             m["done"] = bool(np.max(np.abs(step)) < TOLERANCE)
-    failed = sum(not m["done"] for m in models)
-    if failed:
-        raise NotConverged(f"{failed} of {len(models)} models did not converge in {max_iterations} passes")
+    failed = {(m["group"], m["candidate"]) for m in models if m["failed"] or not m["done"]}
     types = {f.name: f.dataType.simpleString() for f in split.schema.fields}
     schema = ", ".join([*[f"`{c}` {types[c]}" for c in by],
                         "candidate string, C double, features array<string>, mean array<double>, scale array<double>, "
                         "coefficients array<double>, intercept double, iterations int, n_train bigint, rate double"])
     rows = []
     for m in models:
+        if (m["group"], m["candidate"]) in failed:
+            continue
         s, u = info[m["group"]], m["used"][1:] - 1
         rows.append((*m["group"], m["candidate"], m["C"], [FEATURES[j] for j in u], [s["mean"][j] for j in u],
                      [s["scale"][j] for j in u], [float(v) for v in m["trial"][m["used"]][1:]],
@@ -133,6 +142,16 @@ def fit_logistic(split: DataFrame, by: list[str], candidates: dict[str, tuple],
     return spark.createDataFrame(rows, schema)
 
 
+def fit_violations(models: DataFrame, split: DataFrame, by: list[str], candidates: dict[str, tuple]) -> DataFrame:
+    """Groups with training rows and candidates that have no model, because a fit failed."""
+    spark = split.sparkSession
+    names = spark.createDataFrame([(league, name) for league, own in candidates.items() for name in own], "league string, candidate string")
+    groups = split.where("split = 'train'").groupBy(*by).agg(F.count("*").alias("n_train"))
+    asked = groups.join(names, "league")
+    have = models.select(*by, "candidate").distinct()
+    return asked.join(have, [*by, "candidate"], "left_anti").select(*by, "candidate", "n_train", F.lit("no_fit").alias("reason"))
+
+
 def stationarity(models: DataFrame, split: DataFrame, by: list[str]) -> DataFrame:
     """Greatest absolute gradient component of the objective at each model's weights; zero at the optimum."""
     rows = split.where("split = 'train'").select(*by, "target", *FEATURES)
@@ -239,8 +258,8 @@ def cross_season(games: DataFrame, candidates: dict[str, tuple] | None = None,
         pairs.select("league", F.col("later").alias("season"), "earlier", "later"), ["league", "season"])
     columns = ["league", "season_type", "earlier", "later", "split", "game_id", "date", "week", "target", *FEATURES]
     # Only pairs whose earlier season could be split are tested.
-    usable = earlier.select("league", "earlier", "later").distinct()
-    split = materialize(earlier.select(*columns).unionByName(
+    usable = earlier.select("league", "earlier", "later").intersect(later.select("league", "earlier", "later"))
+    split = materialize(earlier.join(usable, ["league", "earlier", "later"], "left_semi").select(*columns).unionByName(
         later.join(usable, ["league", "earlier", "later"], "left_semi").select(*columns)), "split")
     models, predictions = fit_and_predict(split, [c for c in pair if c != "season"], candidates)
     facts = games.select("league", F.col("season").alias("later"), "game_id", F.col("home").alias("home_team_id"),

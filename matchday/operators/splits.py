@@ -150,29 +150,43 @@ def neighbours(games: DataFrame) -> DataFrame:
 
 
 def chosen_seasons(games: DataFrame, chosen: list[tuple[str, int, int]]) -> DataFrame:
-    """The given (league, earlier, later) seasons with the dates that decide whether they are a pair."""
+    """The given (league, earlier, later) seasons with the dates that decide whether they are a pair; null where none is stored."""
     dates = games.where((F.col("season_type") == REGULAR) & (F.col("status") == "final")).groupBy("league", "season").agg(
         F.min("starts_at").alias("first"), F.max("starts_at").alias("last"))
-    asked = games.sparkSession.createDataFrame(chosen, "league string, earlier int, later int")
-    return (asked.join(dates.select("league", F.col("season").alias("earlier"), F.col("last").alias("earlier_last")), ["league", "earlier"])
-            .join(dates.select("league", F.col("season").alias("later"), F.col("first").alias("later_first")), ["league", "later"])
+    asked = games.sparkSession.createDataFrame(chosen, "league string, earlier int, later int").distinct()
+    return (asked.join(dates.select("league", F.col("season").alias("earlier"), F.col("last").alias("earlier_last")), ["league", "earlier"], "left")
+            .join(dates.select("league", F.col("season").alias("later"), F.col("first").alias("later_first")), ["league", "later"], "left")
             .select("league", "earlier", "later", "earlier_last", "later_first"))
 
 
-def cross_season_pairs(games: DataFrame, chosen: list[tuple[str, int, int]] | None = None) -> DataFrame:
-    """Regular seasons whose dates do not overlap: the given ones, or all neighbours of a league."""
+def judged_pairs(games: DataFrame, chosen: list[tuple[str, int, int]] | None) -> DataFrame:
+    """The given seasons, or all neighbours of a league, with the first reason why they are no pair."""
     found = neighbours(games) if chosen is None else chosen_seasons(games, chosen)
-    return found.where(F.col("earlier_last") < F.col("later_first"))
+    reason = (F.when(F.col("earlier") >= F.col("later"), "season_order")
+              .when(F.col("earlier_last").isNull() | F.col("later_first").isNull(), "season_missing")
+              .when(F.col("earlier_last") >= F.col("later_first"), "season_overlap"))
+    return found.withColumn("reason", reason)
+
+
+def cross_season_pairs(games: DataFrame, chosen: list[tuple[str, int, int]] | None = None) -> DataFrame:
+    """Regular seasons, the earlier one first, whose dates do not overlap."""
+    return judged_pairs(games, chosen).where("reason IS NULL").drop("reason")
 
 
-def cross_season_violations(games: DataFrame, examples: DataFrame) -> DataFrame:
-    """Neighbouring seasons that are no pair: their dates overlap, or the earlier one cannot be split."""
+def cross_season_violations(games: DataFrame, examples: DataFrame, chosen: list[tuple[str, int, int]] | None = None) -> DataFrame:
+    """Every given (or neighbouring) pair that is not run, with the first reason: the seasons' order, a season that is not
+    stored, dates that overlap, an earlier season that cannot be split, a later one without eligible games."""
     pair = ["league", "earlier", "later"]
-    overlapping = neighbours(games).where(F.col("earlier_last") >= F.col("later_first")).select(
-        *pair, F.lit("season_overlap").alias("reason"))
-    refused = violations(plan_earlier(examples)).where(F.col("season_type") == REGULAR).select(
-        "league", F.col("season").alias("earlier"), "reason")
-    return overlapping.unionByName(cross_season_pairs(games).select(*pair).join(refused, ["league", "earlier"]).select(*pair, "reason"))
+    judged = judged_pairs(games, chosen).select(*pair, "reason")
+    regular = examples.where(F.col("season_type") == REGULAR)
+    known = regular.select("league", "season").distinct()
+    refused = violations(plan_earlier(regular)).select("league", F.col("season").alias("earlier"), F.col("reason").alias("split_reason"))
+    dated = (judged.join(refused, ["league", "earlier"], "left")
+             .join(known.select("league", F.col("season").alias("earlier"), F.lit(True).alias("has_earlier")), ["league", "earlier"], "left")
+             .join(known.select("league", F.col("season").alias("later"), F.lit(True).alias("has_later")), ["league", "later"], "left"))
+    whole = F.coalesce("reason", "split_reason", F.when(F.col("has_earlier").isNull(), "too_few_groups"),
+                       F.when(F.col("has_later").isNull(), "no_later_games"))
+    return dated.select(*pair, whole.alias("reason")).where("reason IS NOT NULL")
 
 
 def before_holdout(games: DataFrame, holdouts: dict[str, int]) -> DataFrame:

@@ -57,24 +57,42 @@ def player_dim_upsert(observations: DataFrame) -> DataFrame:
         F.max("observed_at").alias("observed_at"))
 
 
-def accepted_boxscores(stored: DataFrame, new: DataFrame, games: DataFrame) -> DataFrame:
-    """Games whose new lines may replace the stored ones, and the newest observation that may.
-
-    Each observation is judged on its own.
+def judged_boxscores(stored: DataFrame, new: DataFrame, games: DataFrame) -> DataFrame:
+    """Each observation of a game's new lines with the first reason why they may not replace the stored ones.
 
-    Both participants must have lines, nobody else may, and the stored manifest must not be newer.
-    With only two admissible teams, "both present" is min <> max: no distinct count is shuffled.
+    The game must be stored as final, and with the season and type that the lines give; no line may lack its player, name
+    or category (of the columns that there are); both participants must have lines and nobody else may; and the stored lines
+    must not be newer.  With only two admissible teams, "both present" is min <> max: no distinct count is shuffled.
     """
-    sides = games.select(*GAME, "home", "away")
-    checked = new.join(sides, GAME).groupBy(*GAME, "observed_at").agg(
-        F.bool_and(F.col("team_id").isin(F.col("home"), F.col("away"))).alias("participants"),
+    sides = games.select(*GAME, "home", "away", F.col("status").alias("stored_status"), F.col("season").alias("stored_season"),
+                         F.col("season_type").alias("stored_type"))
+    blank = [expr.blank(F.col(c)) for c in ("player_id", "name", "category") if c in new.columns]
+    same = [F.coalesce(F.col(c) == F.col(s), F.lit(False)) for c, s in (("season", "stored_season"), ("season_type", "stored_type"))
+            if c in new.columns]
+    checked = new.join(sides, GAME, "left").groupBy(*GAME, "observed_at").agg(
+        F.max("stored_status").alias("stored_status"),
+        F.bool_and(reduce(lambda a, b: a & b, same, F.lit(True))).alias("same"),
+        F.bool_or(reduce(lambda a, b: a | b, blank, F.lit(False))).alias("invalid"),
+        F.bool_and(F.coalesce(F.col("team_id").isin(F.col("home"), F.col("away")), F.lit(False))).alias("participants"),
         (F.min("team_id") != F.max("team_id")).alias("both"))
-    newest = checked.where("participants and both").groupBy(*GAME).agg(F.max("observed_at").alias("new_at"))
     previous = stored.groupBy(*GAME).agg(F.max("observed_at").alias("old_at"))
-    return (
-        newest.join(previous, GAME, "left").where("old_at is null or old_at <= new_at")
-        .select(*GAME, F.col("new_at").alias("observed_at"))
-    )
+    reason = (
+        F.when(F.col("stored_status").isNull(), "unknown_game").when(F.col("stored_status") != "final", "not_final")
+        .when(~F.col("same"), "identity_changed").when(F.col("invalid"), "invalid_line")
+        .when(~F.col("participants"), "foreign_team").when(~F.coalesce("both", F.lit(False)), "one_team")
+        .when(F.col("old_at") > F.col("observed_at"), "older"))
+    return checked.join(previous, GAME, "left").select(*GAME, "observed_at", reason.alias("reason"))
+
+
+def accepted_boxscores(stored: DataFrame, new: DataFrame, games: DataFrame) -> DataFrame:
+    """Games whose new lines may replace the stored ones, and the newest observation that may."""
+    fine = judged_boxscores(stored, new, games).where("reason IS NULL")
+    return fine.groupBy(*GAME).agg(F.max("observed_at").alias("observed_at"))
+
+
+def boxscore_refusals(stored: DataFrame, new: DataFrame, games: DataFrame) -> DataFrame:
+    """Observations whose lines are left out, with the reason."""
+    return judged_boxscores(stored, new, games).where("reason IS NOT NULL")
 
 
 def boxscore_replace(stored: DataFrame, new: DataFrame, games: DataFrame) -> DataFrame:

@@ -98,6 +98,17 @@ def _(t):
 CANDIDATE_SQL = " UNION ALL ".join(f"SELECT '{l}' AS league, '{c}' AS candidate" for l, names in CANDIDATES.items() for c in names)
 
 
+@query("fit_violations", f"""
+SELECT s.league, s.season, s.season_type, k.candidate, s.n_train, 'no_fit' AS reason
+FROM (SELECT {K}, count(*) AS n_train FROM s602020 WHERE split = 'train' AND season % 3 = 0 GROUP BY {K}) s JOIN ({CANDIDATE_SQL}) k ON k.league = s.league""")
+def _(t):
+    """Seasons whose training targets were made all wins have no finite intercept; the others are fitted."""
+    one = (F.col("split") == "train") & (F.col("season") % 3 == 0)
+    split = splits.split_60_20_20(t["examples"]).withColumn("target", F.when(one, 1).otherwise(F.col("target")))
+    split = materialize(split, "split")
+    return fit.fit_violations(fit.fit_logistic(split, KEY, CANDIDATES), split, KEY, CANDIDATES)
+
+
 @query("fit_logistic_gradient", f"""
 SELECT s.league, s.season, s.season_type, k.candidate, c."C", s.n_train, 0.0::DOUBLE AS gradient
 FROM (SELECT {K}, count(*) AS n_train FROM s602020 WHERE split = 'train' GROUP BY {K}) s JOIN ({CANDIDATE_SQL}) k ON k.league = s.league,

@@ -53,6 +53,28 @@ def _(t):
     return op.player_season_totals(t["lines"], complete(t))
 
 
+# Lines with two keys of one metric: the dashed pair comes first, and counts where it gives numbers.
+view("twice_lines", """
+SELECT *, CAST(game_id AS BIGINT) % 5 AS m, json_extract_string(stats_json, '$."fieldGoalsMade-fieldGoalsAttempted"') AS dashed FROM lines WHERE NOT did_not_play""")
+view("twice_entries", f"""
+SELECT game_id, league, season, season_type, player_id, team_id, category, 'fieldGoalAttempts' AS metric, 9.0 AS value FROM twice_lines WHERE m < 3
+UNION ALL SELECT game_id, league, season, season_type, player_id, team_id, category, 'fieldGoalsMade', 7.0 FROM twice_lines
+WHERE m < 3 AND NOT EXISTS (SELECT 1 FROM additive a WHERE a.metric = 'fieldGoalsMade' AND a.league = twice_lines.league AND a.game_id = twice_lines.game_id
+  AND a.player_id = twice_lines.player_id AND a.category = twice_lines.category)
+UNION ALL SELECT game_id, league, season, season_type, player_id, team_id, category, metric, value FROM additive""")
+
+
+@query("player_season_totals_repeated", """
+SELECT a.player_id, a.team_id, a.league, a.season, a.season_type, a.category, a.metric,
+       CAST(sum(CAST(a.value AS DECIMAL(18,4))) AS DOUBLE) AS total, count(DISTINCT a.game_id) AS games_with_metric
+FROM twice_entries a JOIN complete c ON c.game_id = a.game_id GROUP BY ALL""")
+def _(t):
+    """Lines that give one metric under two keys: one value a line, and one game."""
+    more = F.expr("CASE WHEN CAST(game_id AS BIGINT) % 5 < 3 AND stats_json LIKE '{%' THEN concat('{\"fieldGoalsMade/fieldGoalAttempts\":\"7/9\"', "
+                  "CASE WHEN stats_json = '{}' THEN '' ELSE ',' END, substr(stats_json, 2)) ELSE stats_json END")
+    return op.player_season_totals(t["lines"].withColumn("stats_json", more), complete(t))
+
+
 @query("player_season_teams", """
 SELECT DISTINCT l.league, l.season, l.season_type, l.player_id, l.team_id FROM lines l JOIN complete c ON c.game_id = l.game_id""")
 def _(t):

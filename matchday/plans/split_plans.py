@@ -146,15 +146,34 @@ def _(t):
     return op.cross_season_pairs(t["games"], CHOSEN)
 
 
-@query("cross_season_violations", """
-SELECT league, earlier, later, 'season_overlap' AS reason FROM season_neighbours WHERE earlier_last >= later_first
-UNION ALL SELECT p.league, p.earlier, p.later, b.reason FROM season_pairs p
-JOIN (SELECT league, season, min(reason) AS reason FROM bad_earlier WHERE season_type = 2 GROUP BY league, season) b
-  ON b.league = p.league AND b.season = p.earlier""")
+view("bad_regular", """
+SELECT league, season, min(reason) AS reason FROM bad_earlier WHERE season_type = 2 GROUP BY league, season""")
+REFUSED = """
+SELECT p.league, p.earlier, p.later, coalesce(p.reason, b.reason,
+  CASE WHEN NOT EXISTS (SELECT 1 FROM examples e WHERE e.league = p.league AND e.season = p.earlier AND e.season_type = 2) THEN 'too_few_groups'
+       WHEN NOT EXISTS (SELECT 1 FROM examples e WHERE e.league = p.league AND e.season = p.later AND e.season_type = 2) THEN 'no_later_games' END) AS why
+FROM ({pairs}) p LEFT JOIN bad_regular b ON b.league = p.league AND b.season = p.earlier"""
+
+
+@query("cross_season_violations", "SELECT league, earlier, later, why AS reason FROM (" + REFUSED.format(pairs="""
+SELECT *, CASE WHEN earlier_last >= later_first THEN 'season_overlap' END AS reason FROM season_neighbours""") + ") WHERE why IS NOT NULL")
 def _(t):
     return op.cross_season_violations(t["games"], t["examples"])
 
 
+@query("cross_season_chosen_violations", f"""
+WITH s AS (SELECT league, season, min(starts_at) AS first_start, max(starts_at) AS last_start FROM games
+  WHERE season_type = 2 AND status = 'final' GROUP BY league, season)
+SELECT league, earlier, later, why AS reason FROM (""" + REFUSED.format(pairs=f"""
+SELECT c.*, CASE WHEN c.earlier >= c.later THEN 'season_order' WHEN e.season IS NULL OR l.season IS NULL THEN 'season_missing'
+  WHEN e.last_start >= l.first_start THEN 'season_overlap' END AS reason
+FROM (VALUES {', '.join(map(str, CHOSEN))}) c(league, earlier, later)
+LEFT JOIN s e ON e.league = c.league AND e.season = c.earlier LEFT JOIN s l ON l.league = c.league AND l.season = c.later""") + ") WHERE why IS NOT NULL")
+def _(t):
+    """What becomes of the pairs of a user that are not run: together with the chosen pairs, all that were asked for."""
+    return op.cross_season_violations(t["games"], t["examples"], CHOSEN)
+
+
 # The NFL's holdout is its first season, so that nothing lies before it.
 @query("season_inventory_violations", """
 SELECT h.league, h.holdout, count(DISTINCT g.season) AS development_seasons

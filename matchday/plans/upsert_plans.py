@@ -37,16 +37,27 @@ def _(t):
     return op.player_dim_upsert(t["player_observations"])
 
 
-@query("boxscore_replace", """
+JUDGED = """
 WITH checked AS (
-  SELECT n.league, n.game_id, bool_and(n.team_id IN (g.home, g.away)) AS fits, count(DISTINCT n.team_id) AS teams, max(n.observed_at) AS new_at
-  FROM new_lines n JOIN games g ON g.league = n.league AND g.game_id = n.game_id GROUP BY n.league, n.game_id),
-accepted AS (SELECT * FROM checked c WHERE fits AND teams = 2 AND NOT EXISTS (
-  SELECT 1 FROM old_lines o WHERE o.league = c.league AND o.game_id = c.game_id AND o.observed_at > c.new_at))
+  SELECT n.league, n.game_id, n.observed_at, max(g.status) AS status, bool_and(coalesce(n.season = g.season AND n.season_type = g.season_type, false)) AS same,
+         bool_or(trim(n.name) = '') AS invalid, bool_and(coalesce(n.team_id IN (g.home, g.away), false)) AS fits, count(DISTINCT n.team_id) AS teams
+  FROM new_lines n LEFT JOIN games_then g ON g.league = n.league AND g.game_id = n.game_id GROUP BY n.league, n.game_id, n.observed_at),
+judged AS (SELECT league, game_id, observed_at, CASE WHEN status IS NULL THEN 'unknown_game' WHEN status <> 'final' THEN 'not_final' WHEN NOT same THEN 'identity_changed'
+  WHEN invalid THEN 'invalid_line' WHEN NOT fits THEN 'foreign_team' WHEN teams <> 2 THEN 'one_team'
+  WHEN EXISTS (SELECT 1 FROM old_lines o WHERE o.league = c.league AND o.game_id = c.game_id AND o.observed_at > c.observed_at) THEN 'older' END AS reason FROM checked c)"""
+
+
+@query("boxscore_replace", JUDGED + """,
+accepted AS (SELECT * FROM judged WHERE reason IS NULL)
 SELECT * FROM old_lines o WHERE NOT EXISTS (SELECT 1 FROM accepted a WHERE a.league = o.league AND a.game_id = o.game_id)
-UNION ALL SELECT * FROM new_lines n WHERE EXISTS (SELECT 1 FROM accepted a WHERE a.league = n.league AND a.game_id = n.game_id)""")
+UNION ALL BY NAME SELECT * FROM new_lines n WHERE EXISTS (SELECT 1 FROM accepted a WHERE a.league = n.league AND a.game_id = n.game_id)""")
+def _(t):
+    return op.boxscore_replace(t["old_lines"], t["new_lines"].select(t["old_lines"].columns), t["games_then"])
+
+
+@query("boxscore_refusals", JUDGED + " SELECT * FROM judged WHERE reason IS NOT NULL")
 def _(t):
-    return op.boxscore_replace(t["old_lines"], t["new_lines"], t["games"])
+    return op.boxscore_refusals(t["old_lines"], t["new_lines"], t["games_then"])
 
 
 @query("unknown_team_rejects", """

@@ -72,17 +72,25 @@ SELECT CASE WHEN l_partkey % 2 = 0 THEN 'NFL' ELSE 'NBA' END AS league, CAST(l_p
 FROM {lineitem}""",
 
     "old_lines": """
-SELECT l.league, l.game_id, l.player_id, l.team_id, l.category, l.stats_json, g.starts_at AS observed_at
+SELECT l.league, l.game_id, l.player_id, l.team_id, 'Old name' AS name, l.season, l.season_type, l.category, l.stats_json, g.starts_at AS observed_at
 FROM {lines} l JOIN {games} g ON g.league = l.league AND g.game_id = l.game_id""",
 
     "new_lines": """
 SELECT l.league, l.game_id, l.player_id, CASE WHEN CAST(l.game_id AS BIGINT) % 5 = 0 THEN concat('z', l.team_id) ELSE l.team_id END AS team_id,
+       CASE WHEN CAST(l.game_id AS BIGINT) % 17 = 0 THEN ' ' ELSE concat('Player ', l.player_id) END AS name,
+       l.season + CASE WHEN CAST(l.game_id AS BIGINT) % 19 = 0 THEN 1 ELSE 0 END AS season, l.season_type,
        l.category, concat(l.stats_json, ' ') AS stats_json,
        CASE WHEN CAST(l.game_id AS BIGINT) % 3 = 0 THEN g.starts_at - INTERVAL 1 DAY WHEN CAST(l.game_id AS BIGINT) % 3 = 1 THEN g.starts_at
             ELSE g.starts_at + INTERVAL 1 DAY END AS observed_at
 FROM {lines} l JOIN {games} g ON g.league = l.league AND g.game_id = l.game_id
 WHERE l.category <> 'passing'""",
 
+    # the stored games as they were when the lines came: some were not final yet
+    "games_then": """
+SELECT g.league, g.season, g.season_type, g.game_id, g.starts_at, g.home, g.away,
+       CASE WHEN CAST(g.game_id AS BIGINT) % 23 = 0 THEN 'scheduled' ELSE g.status END AS status
+FROM {games} g WHERE CAST(g.game_id AS BIGINT) % 29 <> 0""",
+
     "daily_games": """
 SELECT CAST(floor((year(observed_at) * 366 + dayofyear(observed_at)) / 31) AS INT) AS window_id, game_id,
        CAST(observed_at AS DATE) AS import_date, seq, status, home_score

@@ -5,6 +5,7 @@ from datetime import date, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 
@@ -68,9 +69,26 @@ def test_constant_feature_keeps_scale_one(examples):
     assert s.scale_rest_days_diff == 1.0 and s.mean_rest_days_diff == 3.0
 
 
-def test_too_few_iterations_is_an_error(examples):
-    with pytest.raises(fit.NotConverged):
-        fit.fit_logistic(splits.split_60_20_20(examples(example_rows(60))), KEY, {"NBA": ("all",)}, max_iterations=2)
+def test_too_few_iterations_leave_no_model_and_are_listed(examples):
+    split, names = splits.split_60_20_20(examples(example_rows(60))), {"NBA": ("all",)}
+    models = fit.fit_logistic(split, KEY, names, max_iterations=2)
+    assert models.count() == 0
+    assert [(r.candidate, r.reason) for r in fit.fit_violations(models, split, KEY, names).collect()] == [("all", "no_fit")]
+
+
+@pytest.mark.parametrize("fault", ["one_class", "not_finite"])
+def test_a_group_that_cannot_be_fitted_leaves_the_others_alone(examples, fault):
+    names = {"NBA": ("all", "strength")}
+    good = splits.split_60_20_20(examples(example_rows(60)))
+    bad = good.withColumn("season", F.col("season") + 1)
+    bad = bad.withColumn("target", F.lit(1)) if fault == "one_class" else bad.withColumn(FEATURES[0], F.lit(float("nan")))
+    both = good.unionByName(bad)
+    fitted = lambda df: sorted((r.season, r.candidate, r.C, [round(c, 8) for c in r.coefficients]) for r in fit.fit_logistic(df, KEY, names).collect())
+    alone = fitted(good)
+    assert len(alone) == 8 and fitted(both) == alone
+    listed = fit.fit_violations(fit.fit_logistic(both, KEY, names), both, KEY, names).collect()
+    season = alone[0][0]
+    assert {(r.season, r.candidate) for r in listed} == {(season + 1, "all"), (season + 1, "strength")}
 
 
 def test_tie_goes_to_the_smaller_c(spark):
