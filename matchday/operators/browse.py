@@ -59,38 +59,44 @@ def complete_lines(lines: DataFrame, complete: DataFrame, league=None, season=No
     return inside.join(complete.select(*GAME, "starts_at"), GAME)
 
 
+def searched(players: DataFrame, search: str | None) -> DataFrame:
+    if not search or not search.strip():
+        return players
+    return players.where(F.instr(F.lower("name"), F.lower(F.lit(search.strip()))) > 0)
+
+
 def browse_players(lines: DataFrame, complete: DataFrame, teams: DataFrame, players: DataFrame, league=None,
-                   season=None, season_type=REGULAR, team_id=None, search=None) -> DataFrame:
-    """Games and teams per player.
+                   season=None, season_type=REGULAR, team_id=None, player_id=None, game_id=None, category=None,
+                   search=None) -> DataFrame:
+    """Games and teams per player, over the lines that the filters leave.
 
     Two levels of plain aggregates replace the distinct count: first one row per (player, game), then
     per player.  The team lists are bounded by the number of teams of a league.
     """
-    found = players
-    if search:
-        found = players.where(F.instr(F.lower("name"), F.lower(F.lit(search.strip()))) > 0)
-    rows = complete_lines(lines, complete, league, season, season_type, team_id=team_id)
+    rows = complete_lines(lines, complete, league, season, season_type, team_id=team_id, player_id=player_id,
+                          game_id=game_id, category=category)
     per_game = rows.groupBy(*KEY, "player_id", "game_id").agg(F.collect_set("team_id").alias("ids"))
     out = per_game.groupBy(*KEY, "player_id").agg(
         F.count("*").alias("games"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("ids"))
     names = out.select(*KEY, "player_id", F.explode("ids").alias("team_id")).join(
         teams.select("league", "team_id", "name"), ["league", "team_id"]).groupBy(
         *KEY, "player_id").agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("teams"))
-    return (
-        out.join(names, [*KEY, "player_id"]).join(found.select("league", "player_id", "name"), ["league", "player_id"])
-        .select(*KEY, "player_id", "name", "games", "teams")
-    )
+    found = searched(players, search).select("league", "player_id", "name")
+    return out.join(names, [*KEY, "player_id"]).join(found, ["league", "player_id"]).select(
+        *KEY, "player_id", "name", "games", "teams")
 
 
 def browse_player_games(lines: DataFrame, complete: DataFrame, teams: DataFrame, players: DataFrame, league=None,
                         season=None, season_type=REGULAR, team_id=None, player_id=None, game_id=None,
-                        category=None) -> DataFrame:
+                        category=None, search=None) -> DataFrame:
+    """Lines of complete games; position and jersey are null where the stored lines have none."""
     rows = complete_lines(lines, complete, league, season, season_type, team_id=team_id, player_id=player_id,
                           game_id=game_id, category=category)
+    more = [F.col(c) if c in lines.columns else F.lit(None).cast("string").alias(c) for c in ("position", "jersey")]
     return (
         rows.join(teams.select("league", "team_id", F.col("name").alias("team")), ["league", "team_id"])
-        .join(players.select("league", "player_id", F.col("name").alias("player")), ["league", "player_id"])
-        .select(*KEY, "player_id", "player", "game_id", "starts_at", "team", "category", "did_not_play", "starter",
+        .join(searched(players, search).select("league", "player_id", F.col("name").alias("player")), ["league", "player_id"])
+        .select(*KEY, "player_id", "player", "game_id", "starts_at", "team", "category", *more, "did_not_play", "starter",
                 F.col("stats_json").alias("stats"))
     )
 
@@ -110,3 +116,17 @@ def page(df: DataFrame, order: list, limit: int = PAGE_DEFAULT, offset: int = 0)
     if not 1 <= limit <= PAGE_MAX or not 0 <= offset <= OFFSET_MAX:
         raise ValueError(f"limit must be 1-{PAGE_MAX} and offset 0-{OFFSET_MAX}")
     return df.agg(F.count("*").alias("total")), df.orderBy(*order).offset(offset).limit(limit)
+
+
+# The fixed order of each resource; the key comes last, for results of several scopes.
+ORDERS = {
+    "leagues": ["abbreviation"], "seasons": ["-season", "season_type", "league"], "teams": ["name", "team_id", *KEY],
+    "games": ["-starts_at", "game_id", *KEY], "players": ["name", "player_id", *KEY],
+    "player_games": ["-starts_at", "game_id", "player_id", "category", *KEY],
+    "totals": ["player", "player_id", "team_id", "category", "metric", *KEY],
+}
+
+
+def resource_page(df: DataFrame, resource: str, limit: int = PAGE_DEFAULT, offset: int = 0) -> tuple[DataFrame, DataFrame]:
+    """A page of a browse result in its resource's own order."""
+    return page(df, [F.desc(c[1:]) if c[0] == "-" else F.asc(c) for c in ORDERS[resource]], limit, offset)

@@ -1,6 +1,6 @@
 """A table of one row per key, kept in buckets of its keys' hash, to which batches are added and merged.
 
-`path`/data/seq=N holds the rows of commit N, `path`/state/seq=N/bucket=B the rows of a bucket as merged by commit N.  A
+`path`/data/_commit=N holds the rows of commit N, `path`/state/_commit=N/_bucket=B the rows of a bucket as merged by commit N.  A
 commit names for each bucket the merge that is current, and the first batch not merged yet; so a merge reads and writes
 the buckets that its batches touch, and every other file keeps its place.  What the last commit but one names is kept for
 readers that are still at it.
@@ -18,25 +18,25 @@ BUCKETS = 64
 
 
 def bucket_of(keys: list[str], buckets: int):
-    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("_bucket")
 
 
 def read_data(spark: SparkSession, path: str, first: int, last: int) -> DataFrame | None:
     """Rows of the batches `first` to `last`, with their number as batch_id."""
-    paths = [f"{path}/data/seq={n}" for n in range(first, last + 1)]
+    paths = [f"{path}/data/_commit={n}" for n in range(first, last + 1)]
     if not paths:
         return None
-    return spark.read.option("basePath", f"{path}/data").parquet(*paths).withColumnRenamed("seq", "batch_id")
+    return spark.read.option("basePath", f"{path}/data").parquet(*paths).withColumnRenamed("_commit", "batch_id")
 
 
 def read_state(spark: SparkSession, path: str, record: dict, wanted: list[int] | None = None) -> DataFrame | None:
     """Rows of the merged buckets (of the wanted ones), which count as older than any batch."""
     current = record.get("buckets", [])
-    paths = [f"{path}/state/seq={n}/bucket={b}" for b, n in enumerate(current) if n >= 0 and (wanted is None or b in wanted)]
+    paths = [f"{path}/state/_commit={n}/_bucket={b}" for b, n in enumerate(current) if n >= 0 and (wanted is None or b in wanted)]
     if not paths:
         return None
     rows = spark.read.option("basePath", f"{path}/state").parquet(*paths)
-    return rows.drop("seq", "bucket").withColumn("batch_id", F.lit(-1))
+    return rows.drop("_commit", "_bucket").withColumn("batch_id", F.lit(-1))
 
 
 def united(*parts: DataFrame | None) -> DataFrame | None:
@@ -55,22 +55,22 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def read_output(spark: SparkSession, path: str, name: str) -> DataFrame:
     """What the committed batches wrote to a further output."""
     number, _ = commits.latest(spark, path)
-    return spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}").where(F.col("seq") <= number).drop("seq")
+    return spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}").where(F.col("_commit") <= number).drop("_commit")
 
 
 def merge(spark: SparkSession, path: str, record: dict, number: int, keys: list[str], order: list[str]) -> list[int]:
     """Merge the batches up to `number` into the buckets they touch; the merge that is current for each bucket."""
     current = list(record["buckets"])
-    rows = read_data(spark, path, record["since"], number).withColumn("bucket", bucket_of(keys, len(current)))
-    touched = [r.bucket for r in rows.select("bucket").distinct().collect()]
+    rows = read_data(spark, path, record["since"], number).withColumn("_bucket", bucket_of(keys, len(current)))
+    touched = [r._bucket for r in rows.select("_bucket").distinct().collect()]
     if not touched:
         return current
     stored = read_state(spark, path, record, touched)
     if stored is not None:
-        rows = rows.unionByName(stored.withColumn("bucket", bucket_of(keys, len(current))))
+        rows = rows.unionByName(stored.withColumn("_bucket", bucket_of(keys, len(current))))
     # one exchange: grouping by bucket and keys is satisfied by rows dealt by bucket
-    merged = newest(rows.repartition(len(touched), "bucket"), ["bucket", *keys], order).drop("batch_id")
-    merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/state/seq={number}")
+    merged = newest(rows.repartition(len(touched), "_bucket"), ["_bucket", *keys], order).drop("batch_id")
+    merged.write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/state/_commit={number}")
     for b in touched:
         current[b] = number
     return current
@@ -78,13 +78,13 @@ def merge(spark: SparkSession, path: str, record: dict, number: int, keys: list[
 
 def clean(spark: SparkSession, path: str, before: dict, now: dict) -> None:
     """Delete what neither of two commits names."""
-    for folder in commits.folders(spark, f"{path}/data/seq=*"):
+    for folder in commits.folders(spark, f"{path}/data/_commit=*"):
         if int(folder.rsplit("=", 1)[1]) < before.get("since", 0):
             commits.remove(spark, folder)
     named = {(n, b) for record in (before, now) for b, n in enumerate(record.get("buckets", []))}
-    for folder in commits.folders(spark, f"{path}/state/seq=*/bucket=*"):
-        seq, bucket = (int(x.split("=")[1]) for x in folder.split("/")[-2:])
-        if (seq, bucket) not in named:
+    for folder in commits.folders(spark, f"{path}/state/_commit=*/_bucket=*"):
+        number, bucket = (int(x.split("=")[1]) for x in folder.split("/")[-2:])
+        if (number, bucket) not in named:
             commits.remove(spark, folder)
 
 
@@ -108,9 +108,9 @@ def add(path: str, rows: DataFrame, *, batch: tuple[str, int] | None = None, key
         batches[batch[0]] = batch[1]
     now["notes"] = {**now["notes"], **(notes or {})}
     # number is not committed, so whatever these folders hold was left by an attempt that ended early
-    rows.write.mode("overwrite").parquet(f"{path}/data/seq={number}")
+    rows.write.mode("overwrite").parquet(f"{path}/data/_commit={number}")
     for name, df in (outputs or {}).items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}/seq={number}")
+        df.write.mode("overwrite").parquet(f"{path}/{name}/_commit={number}")
     merging = bool(keys) and number - now["since"] + 1 >= merge_every
     if merging:
         now["buckets"] = merge(spark, path, now, number, keys, order or ["batch_id"])

@@ -18,16 +18,26 @@ B_GAMES = "league, season, season_type, game_id, starts_at, status, week, home_t
 
 view("b_player_games", """
 SELECT l.league, l.season, l.season_type, l.player_id, p.name AS player, l.game_id, c.starts_at, t.name AS team, l.category,
-       l.did_not_play, l.starter, l.stats_json AS stats, l.team_id
+       'G' AS position, CAST(CAST(l.player_id AS BIGINT) % 90 AS VARCHAR) AS jersey, l.did_not_play, l.starter, l.stats_json AS stats, l.team_id
 FROM lines l JOIN complete c ON c.league = l.league AND c.game_id = l.game_id
 JOIN players p ON p.league = l.league AND p.player_id = l.player_id JOIN teams t ON t.team_id = l.team_id""")
-B_PLAYER_GAMES = "league, season, season_type, player_id, player, game_id, starts_at, team, category, did_not_play, starter, stats"
+B_PLAYER_GAMES = "league, season, season_type, player_id, player, game_id, starts_at, team, category, position, jersey, did_not_play, starter, stats"
 
 
 def b_games(t, **f):
     return op.browse_games(t["games"], t["teams_by_league"], complete(t), **{"league": None, "season": None, "season_type": None, **f})
 
 
+def worn(t):
+    """Lines with the position and jersey that a box score gives."""
+    return t["lines"].withColumns({"position": F.lit("G"), "jersey": (F.col("player_id").cast("bigint") % 90).cast("string")})
+
+
+def b_player_games(t, **f):
+    return op.browse_player_games(worn(t), complete(t), t["teams_by_league"], t["players"],
+                                  **{"league": None, "season": None, "season_type": None, **f})
+
+
 def b_players(t, **f):
     return op.browse_players(t["lines"], complete(t), t["teams_by_league"], t["players"],
                              **{"league": None, "season": None, "season_type": None, **f})
@@ -83,7 +93,51 @@ def _(t):
 
 @query("browse_player_games", f"SELECT {B_PLAYER_GAMES} FROM b_player_games")
 def _(t):
-    return op.browse_player_games(t["lines"], complete(t), t["teams_by_league"], t["players"], season_type=None)
+    return b_player_games(t)
+
+
+FILTERED = "league = 'NFL' AND season = 1998 AND category = 'passing'"
+
+
+@query("browse_players_filtered", PLAYERS.format(where=f"WHERE {FILTERED}"))
+def _(t):
+    return b_players(t, **SCOPE, category="passing")
+
+
+@query("browse_player_games_filtered", f"""
+SELECT {B_PLAYER_GAMES} FROM b_player_games WHERE {FILTERED} AND contains(lower(player), 'blue')""")
+def _(t):
+    return b_player_games(t, **SCOPE, category="passing", search=" BLUE")
+
+
+@query("browse_player", f"SELECT {B_PLAYER_GAMES} FROM b_player_games WHERE player_id = '7'")
+def _(t):
+    return b_player_games(t, player_id="7")
+
+
+@query("page_seasons", """
+SELECT league, season, season_type, count(*) AS games, count(*) FILTER (WHERE status = 'final') AS final_games,
+       min(starts_at) AS first_game, max(starts_at) AS last_game FROM games GROUP BY ALL ORDER BY season DESC, season_type, league LIMIT 5 OFFSET 2""")
+def _(t):
+    return op.resource_page(op.browse_seasons(t["games"]), "seasons", 5, 2)[1]
+
+
+@query("page_teams", """
+SELECT DISTINCT g.league, g.season, g.season_type, t.team_id, t.name FROM games g JOIN teams t ON t.team_id = g.home OR t.team_id = g.away
+ORDER BY t.name, t.team_id, g.league, g.season, g.season_type LIMIT 20 OFFSET 11""")
+def _(t):
+    return op.resource_page(op.browse_teams(t["games"], t["teams_by_league"], season_type=None), "teams", 20, 11)[1]
+
+
+@query("page_players", PLAYERS.format(where="") + " ORDER BY name, player_id, league, season, season_type LIMIT 25 OFFSET 40")
+def _(t):
+    return op.resource_page(b_players(t), "players", 25, 40)[1]
+
+
+@query("page_player_games", f"""
+SELECT {B_PLAYER_GAMES} FROM b_player_games ORDER BY starts_at DESC, game_id, player_id, category, league, season, season_type LIMIT 100 OFFSET 30""")
+def _(t):
+    return op.resource_page(b_player_games(t), "player_games", 100, 30)[1]
 
 
 @query("browse_totals", """
@@ -114,15 +168,33 @@ def _(t):
     return ordered_page(t, 100, 1_000_000)[1]
 
 
+def snapshot(t):
+    return scope_read(t["games"], worn(t), t["manifest_ids"], t["headers"], complete(t), t["scopes"], t["players"])
+
+
 @query("scope_read_games", """
 SELECT g.league, g.season, g.season_type, g.game_id, g.starts_at, g.home, g.away, g.status, g.home_score, g.away_score, g.week,
        EXISTS (SELECT 1 FROM complete c WHERE c.game_id = g.game_id) AS players_complete FROM games g""")
 def _(t):
-    return scope_read(t["games"], t["lines"], t["manifest_ids"], t["headers"], complete(t), t["scopes"]).games
+    return snapshot(t).games
 
 
 @query("scope_read_players", f"""
-SELECT l.league, l.season, l.season_type, l.game_id, l.player_id, l.team_id, l.category, l.did_not_play, l.starter, l.stats_json
-FROM lines l JOIN complete c ON c.league = l.league AND c.game_id = l.game_id""")
+SELECT l.league, l.season, l.season_type, l.game_id, l.player_id, p.name, l.team_id, l.category, 'G' AS position,
+       CAST(CAST(l.player_id AS BIGINT) % 90 AS VARCHAR) AS jersey, l.did_not_play, l.starter, l.stats_json
+FROM lines l JOIN complete c ON c.league = l.league AND c.game_id = l.game_id JOIN players p ON p.league = l.league AND p.player_id = l.player_id""")
+def _(t):
+    return snapshot(t).players
+
+
+@query("scope_read_dates", "SELECT league, import_date FROM headers h WHERE EXISTS (SELECT 1 FROM scopes s WHERE s.league = h.league)")
+def _(t):
+    return snapshot(t).import_dates
+
+
+@query("scope_read_missing", """
+SELECT DISTINCT s.league, s.season, s.season_type, m.game_id
+FROM manifest_ids m JOIN scopes s ON s.league = m.league AND m.import_date BETWEEN s.date_from AND s.date_to
+WHERE NOT EXISTS (SELECT 1 FROM games g WHERE g.league = m.league AND g.game_id = m.game_id)""")
 def _(t):
-    return scope_read(t["games"], t["lines"], t["manifest_ids"], t["headers"], complete(t), t["scopes"]).players
+    return snapshot(t).missing_ids

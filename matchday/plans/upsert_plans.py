@@ -2,9 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from matchday.operators import integrity, keyed_store
 from matchday.operators import upsert as op
-from matchday.plans.registry import query
+from matchday.plans.registry import query, view
+from matchday.session import scratch_dir
 from matchday.sources.fixtures import FIXTURES  # noqa: F401
+from matchday.sources.tables import leagues
 
 
 @query("newest_wins", """
@@ -102,6 +105,67 @@ def _(t):
     return op.constraint_violations(t["broken_games"], t["broken_lines"], t["broken_imports"], t["league_teams"])
 
 
+# The catalogue over tables with faults: repeated teams, missing players, a league and manifests that stand twice.
+view("cat_teams", "SELECT league, team_id FROM team_updates")
+view("cat_players", "SELECT league, player_id FROM players WHERE CAST(player_id AS BIGINT) % 11 <> 0 UNION ALL SELECT 'XFL', player_id FROM players WHERE CAST(player_id AS BIGINT) % 401 = 0")
+view("cat_dates", "SELECT league, import_date FROM headers UNION ALL SELECT league, import_date FROM headers WHERE dayofmonth(import_date) = 3")
+view("cat_imports", "SELECT league, game_id, home, away FROM player_imports")
+view("cat_team_imports", "SELECT league, max(team_id) AS team_id FROM team_manifest GROUP BY league")
+
+
+def repeated(table, columns, rule):
+    return f"SELECT '{rule}' AS rule, concat_ws('/', {columns}) AS key, count(*) AS rows FROM {table} GROUP BY {columns} HAVING count(*) > 1"
+
+
+def missing(table, columns, parent, parent_columns, rule):
+    on = " AND ".join(f"p.{b.strip()} = c.{a.strip()}" for a, b in zip(columns.split(","), parent_columns.split(",")))
+    picked = ", ".join(f"c.{a.strip()}" for a in columns.split(","))
+    return (f"SELECT '{rule}' AS rule, concat_ws('/', {picked}) AS key, count(*) AS rows FROM {table} c "
+            f"WHERE NOT EXISTS (SELECT 1 FROM {parent} p WHERE {on}) GROUP BY {picked}")
+
+
+SIDES = "(SELECT league, home AS team_id FROM {0} UNION ALL SELECT league, away FROM {0})"
+LEAGUE_LIST = "(SELECT unnest(['NBA', 'NFL']) AS abbreviation)"
+
+
+@query("catalogue_violations", " UNION ALL ".join([
+    repeated("cat_teams", "league, team_id", "team_unique"), repeated("broken_games", "league, game_id", "game_unique"),
+    repeated("cat_players", "league, player_id", "player_unique"), repeated("broken_lines", "league, game_id, player_id, category", "line_unique"),
+    repeated("cat_imports", "league, game_id", "import_unique"), repeated("cat_dates", "league, import_date", "date_import_unique"),
+    missing("cat_players", "league", LEAGUE_LIST, "abbreviation", "player_league"), missing("cat_teams", "league", LEAGUE_LIST, "abbreviation", "team_league"),
+    missing(SIDES.format("broken_games"), "league, team_id", "cat_teams", "league, team_id", "game_team"),
+    missing(SIDES.format("cat_imports"), "league, team_id", "cat_teams", "league, team_id", "import_team"),
+    missing("broken_lines", "league, team_id", "cat_teams", "league, team_id", "line_team"),
+    missing("broken_lines", "league, player_id", "cat_players", "league, player_id", "line_player"),
+    missing("broken_lines", "league, game_id", "broken_games", "league, game_id", "line_game"),
+    missing("cat_imports", "league, game_id", "broken_games", "league, game_id", "import_game"),
+    "SELECT 'team_import_empty' AS rule, league AS key, 1::BIGINT AS rows FROM cat_team_imports WHERE league = 'NFL'"]))
+def _(t):
+    n = F.col("player_id").cast("bigint")
+    players = t["players"].select("league", "player_id")
+    dates = t["headers"].select("league", "import_date")
+    manifests = t["team_manifest"].groupBy("league").agg(F.max("team_id").alias("team_id")).select(
+        "league", F.when(F.col("league") == "NFL", F.array().cast("array<string>")).otherwise(F.array("team_id")).alias("external_ids"))
+    return integrity.catalogue_violations({
+        "leagues": leagues(t.spark), "teams": t["team_updates"], "games": t["broken_games"], "lines": t["broken_lines"],
+        "players": players.where(n % 11 != 0).unionByName(players.where(n % 401 == 0).withColumn("league", F.lit("XFL"))),
+        "imports": t["player_imports"], "team_imports": manifests,
+        "date_imports": dates.unionByName(dates.where(F.dayofmonth("import_date") == 3))})
+
+
+@query("stored_newest_wins", """
+SELECT game_id, observed_at, seq, status, home_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY observed_at DESC, seq DESC) AS r FROM snapshots) WHERE r = 1""")
+def _(t):
+    """The snapshots in three batches, each merged into the stored buckets that it touches."""
+    path, order = scratch_dir(t.spark), ["observed_at", "seq"]
+    snapshots = t["snapshots"].select("game_id", "observed_at", "seq", "status", "home_score")
+    for part in range(3):
+        batch = snapshots.where(F.col("seq") % 3 == part)
+        keyed_store.add(path, batch, keys=["game_id"], order=order, merge_every=1, buckets=8)
+    return op.newest(keyed_store.read(t.spark, path), ["game_id"], order).drop("batch_id")
+
+
 @query("range_dedup", """
 SELECT window_id, game_id, import_date, status, home_score, CAST(first_seq AS BIGINT) AS position FROM (
   SELECT *, row_number() OVER (PARTITION BY window_id, game_id ORDER BY import_date DESC, seq DESC) AS r,

@@ -382,7 +382,7 @@ def test_a_merge_rewrites_the_touched_buckets_only(spark, tmp_path):
     path = f"{tmp_path}/t"
     rows = spark.range(200).selectExpr("concat('k', id) AS k", "id AS v")
     keyed_store.add(path, rows, keys=["k"], merge_every=1, buckets=16)
-    names = lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "t" / "state").glob("seq=*/bucket=*/*.parquet")}
+    names = lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "t" / "state").glob("_commit=*/_bucket=*/*.parquet")}
     first = names()
     assert len(first) == 16
     keyed_store.add(path, spark.createDataFrame([("k7", 1000)], "k string, v long"), keys=["k"], merge_every=1, buckets=16)
