@@ -25,6 +25,7 @@ ranked by item in UTF-8 order; an empty table gives an empty result; further col
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from matchday.llm.common import LOWER, UPPER, pick, table, written
 
 MIN_DOCS, SMOOTH, SCALE, TOP = 30, 5, 1_000_000_000, 50
-BLOCK, ROWS, CHUNK, FLUSH = 1 << 19, 1024, 1 << 20, 300_000
+BLOCK, ROWS, CHUNK, FLUSH = 1 << 16, 1024, 1 << 20, 500_000
 LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)).translate(
     bytes.maketrans(UPPER.encode(), LOWER.encode()))
 
@@ -43,29 +44,29 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), docs (documents with it); one row with a null term per group."""
 
     def rows(counts, having, groups):
-        keys = [(g, t) for g, own in counts.items() for t in own]
+        at = [g for g, own in counts.items() for _ in range(len(own))] + list(groups)
+        spare = [0] * len(groups)
         return pa.RecordBatch.from_arrays(
-            [pa.array([g[0] for g, _ in keys] + [g[0] for g in groups], pa.string()),
-             pa.array([g[1] for g, _ in keys] + [g[1] for g in groups], pa.string()),
-             pa.array([t for _, t in keys] + [None] * len(groups), pa.binary()),
-             pa.array([counts[g][t] for g, t in keys] + [0] * len(groups), pa.int64()),
-             pa.array([having[g][t] for g, t in keys] + [0] * len(groups), pa.int64())],
+            [pa.array([g[0] for g in at], pa.string()), pa.array([g[1] for g in at], pa.string()),
+             pa.array([*chain.from_iterable(counts.values()), *[None] * len(groups)], pa.binary()),
+             pa.array([*chain.from_iterable(own.values() for own in counts.values()), *spare], pa.int64()),
+             pa.array([*chain.from_iterable(map(having[g].__getitem__, own) for g, own in counts.items()), *spare], pa.int64())],
             ["lang", "source", "term", "n", "docs"])
 
     def per_batch(batches):
+        counts, having, groups, held = defaultdict(Counter), defaultdict(Counter), set(), 0
         for batch in batches:
-            counts, having, groups = defaultdict(Counter), defaultdict(Counter), set()
-            langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lang, source, text in zip(langs, sources, batch.column(2)):
-                group = lang, source
-                groups.add(group)
-                own = Counter(text.as_py().translate(LETTERS).split())
-                counts[group].update(own)
-                having[group].update(own.keys())
-                if sum(map(len, counts.values())) > FLUSH:
-                    yield rows(counts, having, ())
-                    counts, having = defaultdict(Counter), defaultdict(Counter)
-            yield rows(counts, having, groups)
+            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                groups.add((lang, source))
+                own, docs_of = counts[lang, source], having[lang, source]
+                before, terms = len(own), text.as_py().translate(LETTERS).split()
+                own.update(terms)
+                docs_of.update(set(terms))
+                held += len(own) - before
+                if held > FLUSH:
+                    yield rows(counts, having, groups)
+                    counts, having, groups, held = defaultdict(Counter), defaultdict(Counter), set(), 0
+        yield rows(counts, having, groups)
 
     found = docs.mapInArrow(per_batch, "lang string, source string, term binary, n bigint, docs bigint")
     return found.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(
