@@ -1,10 +1,9 @@
 """Phrases whose words stand together more often than their parts suggest, per language, by the stripes pattern.
 
-A stripe belongs to a prefix of one to four words and is an associative counter: next word -> how often it follows.  Where
-nothing that matters follows (the piece ends, or the next word cannot be in a frequent phrase) the empty word counts, so a
-stripe's sum is the prefix's own number of occurrences.  Merged stripes give everything: an entry is the count of the phrase
-"prefix next", sums are the counts of a cut's two parts, an entry's maximum over a stripe (and over stripes that end alike)
-says whether a phrase only occurs inside a longer one.
+A stripe belongs to a prefix of one to four words and is an associative counter: next word -> how often it follows.  Merged
+stripes give everything: an entry is the count of the phrase "prefix next"; the two parts of a cut are a word, or an entry of a
+shorter prefix's stripe; the greatest entry of a phrase's own stripe, and of the stripes in which it is the end, say whether
+it only occurs inside a longer phrase.
 
 1. Words are counted (the stripe of the empty prefix, spread by word).
 2. Stripes of one-word prefixes over frequent words.
@@ -117,7 +116,7 @@ def stripes_of(lang, k, names, slots, prefix, following, words, hashes) -> pa.Re
     """Stripes of the given (prefix, next) occurrences, a row per prefix and slot."""
     pairs, n = np.unique(prefix.astype(np.int64) * len(words) + following, return_counts=True)
     prefix, following = pairs // len(words), pairs % len(words)
-    slot = np.where(following == GAP, 0, (hashes[following] >> np.uint64(20)) % slots[prefix].astype(np.uint64)).astype(np.int64)
+    slot = ((hashes[following] >> np.uint64(20)) % slots[prefix].astype(np.uint64)).astype(np.int64)
     order = np.lexsort((slot, prefix))
     prefix, slot, following, n = prefix[order], slot[order], following[order], n[order]
     starts = np.flatnonzero(np.diff(prefix, prepend=-1) | np.diff(slot, prepend=-1))
@@ -140,10 +139,9 @@ def short_stripes(docs: DataFrame, bits, cuts: dict) -> DataFrame:
             hashes = np.fromiter((word_hash(lang, w) for w in words), np.uint64, len(words))
             good = frequent(hashes)
             good[:END + 1] = False
-            at = np.flatnonzero(good[numbers[:-1]])
-            following = numbers[at + 1]
+            at = np.flatnonzero(good[numbers[:-1]] & good[numbers[1:]])
             slots = np.fromiter((cuts.get((lang, w), 1) for w in words), np.int64, len(words))
-            yield stripes_of(lang, 1, words, slots, numbers[at], np.where(good[following], following, GAP), words, hashes)
+            yield stripes_of(lang, 1, words, slots, numbers[at], numbers[at + 1], words, hashes)
 
     return docs.mapInArrow(per_batch, STRIPE)
 
@@ -164,14 +162,14 @@ def long_stripes(docs: DataFrame, bits, cuts: dict) -> DataFrame:
                 names = [names[i] + b" " + words[j] for i, j in zip(before, last)]
                 slots = np.array([cuts.get((lang, x), 1) for x in names], np.int64) if slots is None else slots[before]
                 on = linked[at + k - 1]
-                yield stripes_of(lang, k, names, slots, code, np.where(on, numbers[at + k], GAP), words, hashes)
                 at, code = at[on], code[on]
+                yield stripes_of(lang, k, names, slots, code, numbers[at + k], words, hashes)
 
     return docs.mapInArrow(per_batch, STRIPE)
 
 
 def merged(stripes: DataFrame, min_count: int) -> DataFrame:
-    """Stripes of equal key added elementwise: their sum, and the entries that are frequent."""
+    """Stripes of equal key added elementwise: the entries that are frequent."""
 
     def rows(batches):
         for batch in batches:
@@ -180,8 +178,8 @@ def merged(stripes: DataFrame, min_count: int) -> DataFrame:
     def out(found):
         return pa.RecordBatch.from_arrays(
             [pa.array([x[i] for x in found], t) for i, t in enumerate(
-                (pa.string(), pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64())))],
-            ["lang", "prefix", "k", "total", "nexts", "counts"])
+                (pa.string(), pa.binary(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int64())))],
+            ["lang", "prefix", "k", "nexts", "counts"])
 
     def merge(batches):
         found = []
@@ -190,8 +188,9 @@ def merged(stripes: DataFrame, min_count: int) -> DataFrame:
             for *_, nexts, counts in group:
                 for word, n in zip(nexts.as_py().split(b" "), counts.as_py()):
                     sums[word] = sums.get(word, 0) + n
-            often = {w: n for w, n in sums.items() if w and n >= min_count}
-            found.append((lang, prefix, k, sum(sums.values()), list(often), list(often.values())))
+            often = {w: n for w, n in sums.items() if n >= min_count}
+            if often:
+                found.append((lang, prefix, k, list(often), list(often.values())))
             if len(found) == 4096:
                 yield out(found)
                 found = []
@@ -199,7 +198,7 @@ def merged(stripes: DataFrame, min_count: int) -> DataFrame:
 
     keys = ["lang", "prefix", "k", "slot"]
     return stripes.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
-        merge, "lang string, prefix binary, k int, total bigint, nexts array<binary>, counts array<bigint>")
+        merge, "lang string, prefix binary, k int, nexts array<binary>, counts array<bigint>")
 
 
 def entries(stripes: DataFrame) -> DataFrame:
@@ -233,7 +232,7 @@ def mine(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, percent: i
     stripes = short.unionByName(written(merged(long_stripes(texts, bits, heavy(pairs, sizes)), min_count), "long"))
 
     phrases = written(entries(stripes), "phrases")
-    totals = stripes.groupBy("lang", "prefix").agg(F.sum("total").alias("f")).selectExpr("lang", "CAST(prefix AS STRING) AS phrase", "f")
+    totals = frequent.selectExpr("lang", "CAST(phrase AS STRING) AS phrase", "a AS f").unionByName(phrases.selectExpr("lang", "phrase", "a AS f"))
     beyond = (phrases.select("lang", F.col("prefix").alias("phrase"), "a")
               .unionByName(phrases.select("lang", F.expr("substr(phrase, instr(phrase, ' ') + 1)").alias("phrase"), "a"))
               .groupBy("lang", "phrase").agg(F.max("a").alias("longer")))
