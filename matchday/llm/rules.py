@@ -3,7 +3,9 @@
 Each rule votes good (1), bad (-1) or abstains (0).  Expectation-maximisation over the counts of vote patterns (at most
 3 ** rules rows, whatever the size of the corpus) estimates each rule's accuracy among good and among bad documents; a
 document is kept if its posterior probability of being good is at least one half and no base rule failed.  A rule that
-finds one kind of defect passes most bad documents, so the two accuracies differ: a bad vote weighs more than a good one.
+finds one kind of defect passes most bad documents, so the two accuracies are estimated apart.  Both are free between 0.01
+and 0.99 but for one constraint: a bad vote is at least as likely from a bad document as from a good one.
+`symbols` and `noise` are two thresholds of one count and both speak.
 
 Repeated eight-word windows are found inside the row by sorting window hashes with their positions, in n log n, so
 neither a shuffle nor a long text costs more than its length.
@@ -32,10 +34,10 @@ RULES = {
     "capitals": "CASE WHEN n_upper + n_lower = 0 THEN 0 WHEN n_upper > 0.5 * (n_upper + n_lower) THEN -1 WHEN n_upper < 0.2 * (n_upper + n_lower) THEN 1 ELSE 0 END",
     "shouting": "CASE WHEN n_words = 0 THEN 0 WHEN n_marks > 0.2 * n_words THEN -1 WHEN n_marks <= 0.05 * n_words THEN 1 ELSE 0 END",
 }
-ROUNDS = 15
-GOOD_START, GOOD_RANGE = 0.99, (0.98, 0.995)  # P(good vote | good document and no abstention)
-BAD_START, BAD_RANGE = 0.25, (0.2, 0.3)  # P(bad vote | bad document and no abstention): defects are of several kinds
-PRIOR_START, PRIOR_RANGE = 0.75, (0.5, 0.8)
+ROUNDS, STEP = 100, 1e-4  # the rounds end when no estimate moves by more than STEP
+GOOD_START, BAD_START, PRIOR_START = 0.9, 0.3, 0.7  # P(good vote | good document), P(bad vote | bad one), P(good document)
+ACCURACY_RANGE, PRIOR_RANGE = (0.01, 0.99), (0.05, 0.95)
+SMOOTH = 2  # votes at the starting values that are added to each count
 
 # Positions of windows whose hash occurs twice, then the words those windows cover.  `s` is bound by the outer transform,
 # so the sorted array is made once and not again for each element.
@@ -83,7 +85,7 @@ def fit(votes: DataFrame) -> tuple[Accuracies, float]:
     """Accuracies and prior by expectation-maximisation; one small aggregation a round, four sums a rule."""
     patterns = written(votes.groupBy(*RULES).agg(F.count("*").alias("n")), "patterns").coalesce(1)
     accuracy, prior = dict.fromkeys(RULES, (GOOD_START, BAD_START)), PRIOR_START
-    within = lambda right, total, start, limits: min(max((right + start) / (total + 1), limits[0]), limits[1])
+    within = lambda right, total, start, limits: min(max((right + SMOOTH * start) / (total + SMOOTH), limits[0]), limits[1])
     for _ in range(ROUNDS):
         shares = patterns.withColumn("g", posterior(accuracy, prior) * F.col("n")).withColumn("b", F.col("n") - F.col("g"))
         over = lambda vote, weight: F.coalesce(F.sum(F.when(vote, F.col(weight))), F.lit(0.0))
@@ -92,11 +94,15 @@ def fit(votes: DataFrame) -> tuple[Accuracies, float]:
             for kind, vote in (("right", F.col(r) == right), ("cast", F.col(r) != 0))]).first()
         if not sums["n"]:
             break
-        new = {r: (within(sums[f"{r}_right_g"], sums[f"{r}_cast_g"], GOOD_START, GOOD_RANGE),
-                   within(sums[f"{r}_right_b"], sums[f"{r}_cast_b"], BAD_START, BAD_RANGE)) for r in RULES}
-        change = max(abs(x - y) for r in RULES for x, y in zip(new[r], accuracy[r]))
-        accuracy, prior = new, within(sums["g"], sums["n"], PRIOR_START, PRIOR_RANGE)
-        if change < 1e-4:
+        new = {}
+        for r in RULES:
+            good = within(sums[f"{r}_right_g"], sums[f"{r}_cast_g"], GOOD_START, ACCURACY_RANGE)
+            bad = within(sums[f"{r}_right_b"], sums[f"{r}_cast_b"], BAD_START, ACCURACY_RANGE)
+            new[r] = good, max(bad, 1 - good)  # a bad vote never speaks for a document: the classes keep their names
+        share = within(sums["g"], sums["n"], PRIOR_START, PRIOR_RANGE)
+        change = max(abs(share - prior), *(abs(x - y) for r in RULES for x, y in zip(new[r], accuracy[r])))
+        accuracy, prior = new, share
+        if change < STEP:
             break
     return accuracy, prior
 
