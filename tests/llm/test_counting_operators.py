@@ -198,3 +198,12 @@ def test_bitmaps_never_say_no_wrongly(spark):
     own = np.array([r.h for r in marks.collect()], np.int64).view(np.uint64)
     other = np.array([r.h for r in spark.range(10_000, 13_000).selectExpr("xxhash64(id) AS h").collect()], np.int64).view(np.uint64)
     assert passes(own).all() and passes(other).mean() < 0.4
+
+
+def test_segments_are_found_in_small_pieces(monkeypatch):
+    """Memory of a task follows a bounded piece of its texts, however many it has."""
+    pieces, real = [], suffixes.anchors
+    monkeypatch.setattr(suffixes, "anchors", lambda data: pieces.append(len(data)) or real(data))
+    texts = [bytes([65 + i % 26, 97 + i // 26 % 26]) * 500 for i in range(2000)]
+    found = sum(len(text) for text, *_ in suffixes.segments(texts))
+    assert found >= len(texts) and len(pieces) > 4 and max(pieces) <= 300_000
