@@ -22,7 +22,7 @@ SELECT *, CASE WHEN n % 151 = 0 THEN 'invalid_event' WHEN skip IS NOT NULL THEN
 FROM sb_events""")
 view("sb_responses", """
 SELECT league, bucket, response_id, CAST(min(starts_at) AS DATE) AS import_date,
-       CASE WHEN bucket % 11 = 0 OR bucket % 19 = 0 OR (bucket % 17 <> 0 AND (bucket % 23 = 0 OR bucket % 29 = 0)) THEN 'bad_json' WHEN bucket % 13 = 0 THEN 'league_not_identified' WHEN bucket % 17 = 0 THEN 'events_missing'
+       CASE WHEN bucket % 11 = 0 OR bucket % 19 = 0 OR (bucket % 17 <> 0 AND (bucket % 23 = 0 OR bucket % 29 = 0 AND bool_or(n % 107 <> 0 OR n % 149 <> 0 AND n % 127 <> 0))) THEN 'bad_json' WHEN bucket % 13 = 0 THEN 'league_not_identified' WHEN bucket % 17 = 0 THEN 'events_missing'
             WHEN bool_or(n % 137 = 0) THEN 'duplicate_event' END AS whole, bool_or(reason IS NOT NULL) AS bad
 FROM sb_judged GROUP BY league, bucket, response_id""")
 view("sb_accepted", """
