@@ -83,13 +83,19 @@ UNION ALL
 SELECT league, season, season_type, game_id, starts_at, CAST(starts_at AS DATE), away, home, away_score, home_score
 FROM games WHERE status = 'final'""")
 
+# One row per team and day first, as in the query: over rows of one day, DuckDB's RANGE frame by an interval
+# gives different values on large tables.
+view("side_days", """
+SELECT league, season, season_type, team, date, count(*) AS games,
+       sum(CASE WHEN points_for > points_against THEN 2 WHEN points_for = points_against THEN 1 ELSE 0 END) AS half,
+       sum(points_for) AS pf, sum(points_against) AS pa
+FROM sides GROUP BY league, season, season_type, team, date""")
+
 view("side_history", """
-SELECT *, count(*) OVER w AS n,
-       sum(CASE WHEN points_for > points_against THEN 2 WHEN points_for = points_against THEN 1 ELSE 0 END) OVER w AS half,
-       sum(points_for) OVER w AS pf, sum(points_against) OVER w AS pa, max(date) OVER w AS previous
-FROM sides
-WINDOW w AS (PARTITION BY league, season, season_type, team ORDER BY date
-             RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING)""")
+SELECT league, season, season_type, team, date, CAST(coalesce(sum(games) OVER w, 0) AS BIGINT) AS n,
+       sum(half) OVER w AS half, sum(pf) OVER w AS pf, sum(pa) OVER w AS pa, max(date) OVER w AS previous
+FROM side_days
+WINDOW w AS (PARTITION BY league, season, season_type, team ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 
 # The five latest earlier games: positions n-4 .. n of the team's own (start, id) order.
 view("side_order", """
