@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from matchday.operators import integrity, keyed_store
 from matchday.operators import upsert as op
+from matchday.plans.completeness_plans import stored
 from matchday.plans.registry import query, view
 from matchday.session import scratch_dir
 from matchday.sources.fixtures import FIXTURES  # noqa: F401
@@ -102,7 +103,7 @@ UNION ALL SELECT 'game_team', game_id FROM broken_games g WHERE NOT EXISTS (SELE
 UNION ALL SELECT 'game_team', game_id FROM broken_games g WHERE NOT EXISTS (SELECT 1 FROM league_teams k WHERE k.league = g.league AND k.team_id = g.away)
 UNION ALL SELECT 'line_team', {LINE} FROM broken_lines l WHERE NOT EXISTS (SELECT 1 FROM league_teams k WHERE k.league = l.league AND k.team_id = l.team_id)""")
 def _(t):
-    return op.constraint_violations(t["broken_games"], t["broken_lines"], t["broken_imports"], t["league_teams"])
+    return op.constraint_violations(stored(t, "broken_games"), t["broken_lines"], t["broken_imports"], t["league_teams"])
 
 
 # The catalogue over tables with faults: repeated teams, missing players, a league and manifests that stand twice.
@@ -141,6 +142,7 @@ LEAGUE_LIST = "(SELECT unnest(['NBA', 'NFL']) AS abbreviation)"
     missing("cat_imports", "league, game_id", "broken_games", "league, game_id", "import_game"),
     "SELECT 'team_import_empty' AS rule, league AS key, 1::BIGINT AS rows FROM cat_team_imports WHERE league = 'NFL'"]))
 def _(t):
+    stored(t, "games")
     n = F.col("player_id").cast("bigint")
     players = t["players"].select("league", "player_id")
     dates = t["headers"].select("league", "import_date")
