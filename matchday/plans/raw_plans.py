@@ -131,6 +131,7 @@ ACCEPTED = "NOT EXISTS (SELECT 1 FROM bx_rejects r WHERE r.response_id = l.respo
 
 
 def raw_boxscores(t):
+    t.share("games")
     return raw_fixtures.boxscores(t["line_items"], t["games"])
 
 
@@ -165,9 +166,10 @@ FROM (SELECT g.league, g.game_id, EXISTS (SELECT 1 FROM complete c WHERE c.game_
         (SELECT count(*) FROM bx_reasoned l WHERE {ACCEPTED} AND excluded AND l.game_id = g.game_id) AS x
       FROM games g WHERE g.status = 'final') g GROUP BY g.league""")
 def _(t):
-    raw = raw_boxscores(t)
+    claims = t.share("claimed", boxscore.claimed(raw_boxscores(t)))  # documents are parsed once for both
     return completeness.player_import_progress(
-        t["games"], complete(t), boxscore.boxscore_decode(raw, t["games"]), boxscore.placeholder_dnp(raw, t["games"]))
+        t["games"], complete(t), boxscore.boxscore_decode(None, t["games"], claims),
+        boxscore.placeholder_dnp(None, t["games"], claims))
 
 
 # --- team lists ------------------------------------------------------------------------------

@@ -132,9 +132,9 @@ def sound(items: Column) -> Column:
     return F.when(F.col("early").isNull() & F.col("late").isNull() & (F.size("rules") == 0), items)
 
 
-def boxscore_decode(raw: DataFrame, games: DataFrame) -> DataFrame:
-    """One row per (game, team, category, athlete) of the accepted responses."""
-    flat = claimed(raw).select("response_id", *GAME, "observed_at", *CLAIMS, F.inline_outer(sound(F.col("lines")))).where(
+def boxscore_decode(raw: DataFrame | None, games: DataFrame, claims: DataFrame | None = None) -> DataFrame:
+    """One row per (game, team, category, athlete) of the accepted responses.  ``claims`` may give `claimed(raw)` as written."""
+    flat = (claimed(raw) if claims is None else claims).select("response_id", *GAME, "observed_at", *CLAIMS, F.inline_outer(sound(F.col("lines")))).where(
         "category is not null and not excluded")
     rows = against_games(flat, games).where(F.size("reasons") == 0)
     stats = F.when(F.size("stats") > 0, F.to_json(F.map_from_arrays("keys", "stats"))).otherwise("{}")
@@ -147,9 +147,10 @@ def boxscore_rejects(raw: DataFrame, games: DataFrame) -> DataFrame:
     return against_games(narrow, games).select("response_id", *GAME, F.explode_outer("reasons").alias("reason")).where("reason is not null")
 
 
-def placeholder_dnp(raw: DataFrame, games: DataFrame) -> DataFrame:
-    """Excluded entries without identity, per accepted response."""
+def placeholder_dnp(raw: DataFrame | None, games: DataFrame, claims: DataFrame | None = None) -> DataFrame:
+    """Excluded entries without identity, per accepted response.  ``claims`` as above."""
     n = F.size(F.filter("lines", lambda x: x["excluded"]))
     # an outer generator: a filter on a plain column would go below the parse and repeat it
-    narrow = claimed(raw).select("response_id", *GAME, *CLAIMS, F.explode_outer(sound(F.array(n))).alias("excluded"))
+    claims = claimed(raw) if claims is None else claims
+    narrow = claims.select("response_id", *GAME, *CLAIMS, F.explode_outer(sound(F.array(n))).alias("excluded"))
     return against_games(narrow, games).where((F.size("reasons") == 0) & (F.col("excluded") > 0)).select("response_id", *GAME, "excluded")
