@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from matchday.functions.domain import ADDITIVE_KEYS, PAIR_KEYS, UNCERTAIN_KEYS
 from matchday.operators import player_stats as op
-from matchday.plans.completeness_plans import complete
+from matchday.plans.completeness_plans import complete, stored
 from matchday.plans.registry import query, view
 
 NUMBER = r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"
@@ -50,7 +50,7 @@ def _(t):
 
 @query("player_season_totals", "SELECT * FROM season_totals")
 def _(t):
-    return op.player_season_totals(t["lines"], complete(t))
+    return op.player_season_totals(stored(t, "lines"), complete(t))
 
 
 # Lines with two keys of one metric: the dashed pair comes first, and counts where it gives numbers.
@@ -72,13 +72,13 @@ def _(t):
     """Lines that give one metric under two keys: one value a line, and one game."""
     more = F.expr("CASE WHEN CAST(game_id AS BIGINT) % 5 < 3 AND stats_json LIKE '{%' THEN concat('{\"fieldGoalsMade/fieldGoalAttempts\":\"7/9\"', "
                   "CASE WHEN stats_json = '{}' THEN '' ELSE ',' END, substr(stats_json, 2)) ELSE stats_json END")
-    return op.player_season_totals(t["lines"].withColumn("stats_json", more), complete(t))
+    return op.player_season_totals(stored(t, "lines").withColumn("stats_json", more), complete(t))
 
 
 @query("player_season_teams", """
 SELECT DISTINCT l.league, l.season, l.season_type, l.player_id, l.team_id FROM lines l JOIN complete c ON c.game_id = l.game_id""")
 def _(t):
-    return op.player_season_teams(t["lines"], complete(t))
+    return op.player_season_teams(stored(t, "lines"), complete(t))
 
 
 @query("participation", """
