@@ -35,6 +35,14 @@ LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
+    planes = hashes.view(np.uint8).reshape(len(hashes), 8)
+    # votes per bit, from a histogram of each of the eight bytes
+    votes = np.concatenate([np.bincount(planes[:, i], minlength=256) @ BITS for i in range(8)])
+    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: bytes | None) -> int:
     words = (text or b"").translate(LOWERED).split()
     if not words:
@@ -48,10 +56,7 @@ def fingerprint(text: bytes | None) -> int:
     count = len(words) - width + 1
     hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:count].tolist(), ends[width - 1:].tolist())),
                          np.uint64, count)
-    planes = hashes.view(np.uint8).reshape(count, 8)
-    # votes per bit, from a histogram of each of the eight bytes
-    votes = np.concatenate([np.bincount(planes[:, i], minlength=256) @ BITS for i in range(8)])
-    return int(np.packbits(2 * votes > count, bitorder="little").view(np.uint64)[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
