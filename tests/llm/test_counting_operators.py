@@ -182,6 +182,24 @@ def test_removed_bytes_equal_brute_force(spark, more):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_bytes(rows)
 
 
+@pytest.mark.parametrize("hot, by_window", [(20, 0), (3, 1)])
+def test_windows_of_crowded_anchors_are_the_last_resort(spark, monkeypatch, hot, by_window):
+    """Different segments of one anchor make a suffix array, or those of their finer anchors do, before windows become rows."""
+    phrase = "the text that all of them have"  # 30 bytes: no window lies in it whole
+    r = random.Random(5)
+    mixed = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    rows = [(i, mixed(60) + phrase + mixed(60)) for i in range(150)]
+    passage, before, after = mixed(200), [mixed(60) for _ in range(5)], [mixed(60) for _ in range(7)]
+    rows += [(500 + i, before[i % 5] + passage + after[i % 7]) for i in range(35)]
+    rows += [(1000 + i, rows[i][1][20:130]) for i in range(0, 150, 3)]
+    seen, real = [], suffixes.grouped_windows
+    monkeypatch.setattr(suffixes, "grouped_windows", lambda different: seen.append(different.count()) or real(different))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = suffixes.remove_repeats(df, hot=hot)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_bytes(rows)
+    assert len(seen) == by_window
+
+
 def test_long_texts_with_one_shared_passage(spark):
     shared = chatter(400, 9)
     rows = [(1, LONG + shared), (2, shared + LONG[::-1]), (3, LONG[5000:60_000])]
