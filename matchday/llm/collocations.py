@@ -7,13 +7,16 @@ it only occurs inside a longer phrase.
 
 1. Words are counted (the stripe of the empty prefix, spread by word).
 2. Stripes of one-word prefixes over frequent words.
-3. Stripes of prefixes of two to four words, for runs in which each two neighbouring words are frequent together.
+3. Stripes of two-word prefixes, for runs in which each two neighbouring words are frequent together.
+4. Stripes of prefixes of three and four words, for runs in which each three neighbouring words are.
 
-Every part of a frequent phrase is frequent, so 2 and 3 lose no phrase.  What is frequent reaches the tasks as a bitmap of
+Every part of a frequent phrase is frequent, so 2 to 4 lose no phrase.  What is frequent reaches the tasks as a bitmap of
 hashes, whose size follows the count up to MAX_CELLS bits (16 MB): beyond that it lets more stripes pass, which the exact
-counts then drop.  A task adds up the stripes of some FLUSH words before it emits them.  A stripe of a heavy prefix is cut
-by the next word's hash into slots of about 1/HEAVY of the language's words, at most HEAVY heavy prefixes a language; so no
-reducer holds more than such a slot, and it merges slots elementwise as a sorted stream.
+counts then drop.  A task adds up the stripes of some FLUSH words before it emits them, in at most BUNDLES rows a language
+and prefix length: a row has the stripes of all prefixes whose hash falls to its bundle.  A stripe of a heavy prefix is cut
+by the next word's hash into slots of about 1/HEAVY of the language's words, at most HEAVY heavy prefixes a language, which
+go to bundles of their own; so no bundle has much more than its share.  A reducer adds up a bundle's rows elementwise, MERGE
+entries at a time.
 
 Defined cases: null texts are empty, a null language is `und`; repeated rows count as often as they stand; ties are ranked by
 count and then by phrase in UTF-8 order, cuts with equal scores by the shorter first part; an empty table gives an empty
@@ -23,6 +26,7 @@ result; further columns are ignored.
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 from itertools import count, groupby
 
 import numpy as np
@@ -35,12 +39,12 @@ from matchday.llm.bitmaps import bitmap, cells_for, tester
 from matchday.llm.common import LOWER, UPPER, pick, table, written
 
 MIN_COUNT, LONGEST, TOP, PERCENT = 100, 5, 2000, 100
-FLUSH, HEAVY = 1 << 22, 2000
+FLUSH, HEAVY, BUNDLES, MERGE = 1 << 22, 2000, 1 << 10, 1 << 20
 MIN_CELLS, MAX_CELLS, CELLS_EACH = 1 << 20, 1 << 27, 64
 ENDS = ".,;:!?\n\x0b\x0c\r"
 LETTERS = bytes.maketrans((UPPER + ENDS + "\t").encode(), (LOWER + "\n" * len(ENDS) + " ").encode())
 GAP, END = 0, 1  # local numbers of the empty word and of the end of a piece
-STRIPE = "lang string, prefix binary, k int, slot int, nexts binary, counts array<int>"
+STRIPE = "lang string, k int, bundle int, prefixes binary, widths array<int>, nexts binary, counts array<int>"
 
 
 def word_hash(lang: str, word: bytes) -> int:
@@ -90,17 +94,16 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def marked(phrases: DataFrame):
-    """A broadcast bitmap of the hashes of one- or two-word phrases (columns lang, phrase): MAX_CELLS bits at most."""
+    """A broadcast bitmap of the hashes of phrases of equal length (columns lang, phrase): MAX_CELLS bits at most."""
     cells = cells_for(phrases.count(), CELLS_EACH, MIN_CELLS, MAX_CELLS)
 
     def mark(batches):
         for batch in batches:
             h = [[word_hash(lang, w) for w in phrase.split(b" ")] for lang, phrase in
                  zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            one = np.array([x[0] for x in h], np.uint64)
-            both = pair_hash(one, np.array([x[-1] for x in h], np.uint64))
-            at = np.where(np.array([len(x) == 1 for x in h], bool), one, both) & np.uint64(cells - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64))], ["at"])
+            if h:
+                at = reduce(pair_hash, np.array(h, np.uint64).T) & np.uint64(cells - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64))], ["at"])
 
     return phrases.sparkSession.sparkContext.broadcast((bitmap(phrases.mapInArrow(mark, "at bigint"), cells), cells))
 
@@ -113,21 +116,26 @@ def heavy(phrases: DataFrame, sizes: DataFrame) -> dict[tuple[str, bytes], int]:
 
 
 def stripes_of(lang, k, names, slots, prefix, following, words, hashes) -> pa.RecordBatch:
-    """Stripes of the given (prefix, next) occurrences, a row per prefix and slot."""
+    """Stripes of the given (prefix, next) occurrences, a row per bundle: its prefixes, how many entries each has, and these."""
     pairs, n = np.unique(prefix.astype(np.int64) * len(words) + following, return_counts=True)
-    prefix, following = pairs // len(words), pairs % len(words)
-    slot = ((hashes[following] >> np.uint64(20)) % slots[prefix].astype(np.uint64)).astype(np.int64)
-    order = np.lexsort((slot, prefix))
-    prefix, slot, following, n = prefix[order], slot[order], following[order], n[order]
-    starts = np.flatnonzero(np.diff(prefix, prepend=-1) | np.diff(slot, prepend=-1))
-    bounds = np.append(starts, len(n)).tolist()
-    texts = [words[i] for i in following.tolist()]
+    used, prefix = np.unique(pairs // len(words), return_inverse=True)
+    following, used = pairs % len(words), used.tolist()
+    slot = (hashes[following] >> np.uint64(20)) % slots[used][prefix].astype(np.uint64)
+    home = np.fromiter((word_hash(lang, names[i]) for i in used), np.uint64, len(used))
+    bundle = (pair_hash(home[prefix], slot) % np.uint64(BUNDLES)).astype(np.int64)
+    order = np.lexsort((prefix, bundle))
+    prefix, bundle, following, n = prefix[order], bundle[order], following[order], n[order]
+    rows = np.flatnonzero(np.diff(bundle, prepend=-1))
+    stripes = np.flatnonzero(np.diff(bundle, prepend=-1) | np.diff(prefix, prepend=-1))
+    bounds, inner = np.append(rows, len(n)).tolist(), np.append(np.searchsorted(stripes, rows), len(stripes)).tolist()
+    texts, heads = [words[i] for i in following.tolist()], [names[used[i]] for i in prefix[stripes].tolist()]
     return pa.RecordBatch.from_arrays(
-        [pa.array([lang] * len(starts), pa.string()), pa.array([names[i] for i in prefix[starts].tolist()], pa.binary()),
-         pa.array(np.full(len(starts), k), pa.int32()), pa.array(slot[starts], pa.int32()),
+        [pa.array([lang] * len(rows), pa.string()), pa.array(np.full(len(rows), k), pa.int32()), pa.array(bundle[rows], pa.int32()),
+         pa.array([b"\n".join(heads[a:b]) for a, b in zip(inner, inner[1:])], pa.binary()),
+         pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(np.diff(stripes, append=len(n)), pa.int32())),
          pa.array([b" ".join(texts[a:b]) for a, b in zip(bounds, bounds[1:])], pa.binary()),
          pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(n, pa.int32()))],
-        ["lang", "prefix", "k", "slot", "nexts", "counts"])
+        ["lang", "k", "bundle", "prefixes", "widths", "nexts", "counts"])
 
 
 def short_stripes(docs: DataFrame, bits, cuts: dict) -> DataFrame:
@@ -146,34 +154,69 @@ def short_stripes(docs: DataFrame, bits, cuts: dict) -> DataFrame:
     return docs.mapInArrow(per_batch, STRIPE)
 
 
-def long_stripes(docs: DataFrame, bits, cuts: dict) -> DataFrame:
-    """Stripes of prefixes of two words and more."""
+def long_stripes(docs: DataFrame, bits, cuts: dict, least: int, most: int) -> DataFrame:
+    """Stripes of prefixes of least to most words, two or more, in runs whose phrases of `least` words are all marked."""
 
     def per_batch(batches):
         frequent = tester(*bits.value)
         for lang, words, numbers in encoded(batches):
             hashes = np.fromiter((word_hash(lang, w) for w in words), np.uint64, len(words))
-            linked = frequent(pair_hash(hashes[numbers[:-1]], hashes[numbers[1:]])) & (numbers[:-1] > END) & (numbers[1:] > END)
+            runs = [numbers[i:len(numbers) - least + 1 + i] for i in range(least)]
+            linked = frequent(reduce(pair_hash, [hashes[r] for r in runs])) & np.logical_and.reduce([r > END for r in runs])
             at = np.flatnonzero(linked)
             names, slots, code = words, None, numbers[at].astype(np.int64)
-            for k in range(2, LONGEST):
+            for k in range(2, most + 1):
                 found, code = np.unique(code * len(words) + numbers[at + k - 1], return_inverse=True)
                 before, last = (found // len(words)).tolist(), (found % len(words)).tolist()
                 names = [names[i] + b" " + words[j] for i, j in zip(before, last)]
                 slots = np.array([cuts.get((lang, x), 1) for x in names], np.int64) if slots is None else slots[before]
-                on = linked[at + k - 1]
-                at, code = at[on], code[on]
-                yield stripes_of(lang, k, names, slots, code, numbers[at + k], words, hashes)
+                if k >= least:
+                    on = linked[at + k - least + 1]
+                    at, code = at[on], code[on]
+                    yield stripes_of(lang, k, names, slots, code, numbers[at + k], words, hashes)
 
     return docs.mapInArrow(per_batch, STRIPE)
 
 
+def added(rows: list) -> tuple:
+    """Rows of one bundle added up: prefixes, words, and for each entry its prefix, word and count; ordered by prefix."""
+    prefixes, widths, nexts, counts = zip(*rows)
+    names = pa.array(b"\n".join(prefixes).split(b"\n"), pa.binary()).dictionary_encode()
+    words = pa.array(b" ".join(nexts).split(b" "), pa.binary()).dictionary_encode()
+    code = (np.repeat(names.indices.to_numpy().astype(np.int64), np.concatenate(widths)) * len(words.dictionary)
+            + words.indices.to_numpy())
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    starts = np.flatnonzero(np.diff(code, prepend=-1))
+    return (names.dictionary.to_pylist(), words.dictionary.to_pylist(), code[starts] // len(words.dictionary),
+            code[starts] % len(words.dictionary), np.add.reduceat(np.concatenate(counts)[order], starts))
+
+
+def stripe_bounds(prefix: np.ndarray) -> list[int]:
+    return np.append(np.flatnonzero(np.diff(prefix, prepend=-1)), len(prefix)).tolist()
+
+
 def merged(stripes: DataFrame, min_count: int) -> DataFrame:
     """Stripes of equal key added elementwise: the entries that are frequent."""
 
     def rows(batches):
         for batch in batches:
-            yield from zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), batch.column(5))
+            keys = zip(*(batch.column(i).to_pylist() for i in range(3)))
+            for key, prefixes, widths, nexts, counts in zip(keys, *(batch.column(i) for i in range(3, 7))):
+                yield key, (prefixes.as_py(), widths.values.to_numpy(), nexts.as_py(), counts.values.to_numpy().astype(np.int64))
+
+    def total(group):
+        held, size = [], 0
+        for row in group:
+            held.append(row)
+            size += len(row[3])
+            if size >= MERGE and len(held) > 1:  # what is held becomes one row
+                names, words, prefix, word, n = added(held)
+                bounds = stripe_bounds(prefix)
+                held = [(b"\n".join(names[i] for i in prefix[bounds[:-1]].tolist()), np.diff(bounds),
+                         b" ".join(words[i] for i in word.tolist()), n)]
+                size = 0
+        return added(held)
 
     def out(found):
         return pa.RecordBatch.from_arrays(
@@ -183,20 +226,18 @@ def merged(stripes: DataFrame, min_count: int) -> DataFrame:
 
     def merge(batches):
         found = []
-        for (lang, prefix, k, _), group in groupby(rows(batches), key=lambda r: r[:4]):
-            sums: dict[bytes, int] = {}
-            for *_, nexts, counts in group:
-                for word, n in zip(nexts.as_py().split(b" "), counts.as_py()):
-                    sums[word] = sums.get(word, 0) + n
-            often = {w: n for w, n in sums.items() if n >= min_count}
-            if often:
-                found.append((lang, prefix, k, list(often), list(often.values())))
-            if len(found) == 4096:
+        for (lang, k, _), group in groupby(rows(batches), key=lambda r: r[0]):
+            names, words, prefix, word, n = total(row for _, row in group)
+            often = n >= min_count
+            prefix, texts, n = prefix[often], [words[i] for i in word[often].tolist()], n[often].tolist()
+            bounds = stripe_bounds(prefix)
+            found += [(lang, names[prefix[a]], k, texts[a:b], n[a:b]) for a, b in zip(bounds, bounds[1:])]
+            if len(found) >= 4096:
                 yield out(found)
                 found = []
         yield out(found)
 
-    keys = ["lang", "prefix", "k", "slot"]
+    keys = ["lang", "k", "bundle"]
     return stripes.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
         merge, "lang string, prefix binary, k int, nexts array<binary>, counts array<bigint>")
 
@@ -228,8 +269,10 @@ def mine(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, percent: i
     frequent = words.where(F.col("n") >= min_count).select("lang", F.col("word").alias("phrase"), F.col("n").alias("a"))
     short = written(merged(short_stripes(texts, marked(frequent.select("lang", "phrase")), heavy(frequent, sizes)), min_count), "short")
     pairs = entries(short)
-    bits = marked(pairs.selectExpr("lang", "CAST(phrase AS BINARY) AS phrase"))
-    stripes = short.unionByName(written(merged(long_stripes(texts, bits, heavy(pairs, sizes)), min_count), "long"))
+    cuts, bits = heavy(pairs, sizes), marked(pairs.selectExpr("lang", "CAST(phrase AS BINARY) AS phrase"))
+    middle = written(merged(long_stripes(texts, bits, cuts, 2, 2), min_count), "middle")
+    bits = marked(entries(middle).selectExpr("lang", "CAST(phrase AS BINARY) AS phrase"))
+    stripes = short.unionByName(middle).unionByName(written(merged(long_stripes(texts, bits, cuts, 3, LONGEST - 1), min_count), "long"))
 
     phrases = written(entries(stripes), "phrases")
     totals = frequent.selectExpr("lang", "CAST(phrase AS STRING) AS phrase", "a AS f").unionByName(phrases.selectExpr("lang", "phrase", "a AS f"))

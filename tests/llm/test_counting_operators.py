@@ -75,6 +75,32 @@ def test_phrases_where_stripes_are_cut_and_flushed_often(docs, monkeypatch):
     assert sorted(tuple(r) for r in collocations.mine(docs, min_count=8, top=60).collect()) == brute_phrases(TEXTS, 8, 60)
 
 
+def test_stripe_rows_are_bounded_by_bundles_and_long_ones_need_frequent_parts(spark, monkeypatch):
+    """Every pair of these words is frequent and no three are: a task emits a row per bundle, and no stripe of three words."""
+    monkeypatch.setattr(collocations, "BUNDLES", 16, raising=False)
+    r, seen, merged = random.Random(9), Counter(), collocations.merged
+    docs = spark.createDataFrame([(i, " ".join(f"w{r.randrange(60)}" for _ in range(400)), "en") for i in range(100)], "doc_id long, text string, lang string")
+
+    def watched(stripes, least):
+        for row in stripes.selectExpr("k", "size(counts) AS n").collect():
+            seen[row.k, "rows"] += 1
+            seen[row.k, "entries"] += row.n
+        return merged(stripes, least)
+
+    monkeypatch.setattr(collocations, "merged", watched)
+    rows = [(x.doc_id, x.text, x.lang) for x in docs.collect()]
+    assert sorted(tuple(x) for x in collocations.mine(docs.coalesce(1), min_count=6).collect()) == brute_phrases(
+        [(i, text, lang, None) for i, text, lang in rows], 6, 2000)
+    assert seen[1, "entries"] > 3000 and seen[1, "rows"] <= 16 and seen[2, "rows"] <= 16
+    assert seen[3, "entries"] < 100 and seen[4, "entries"] < 100
+
+
+def test_bundles_larger_than_a_merge_step(docs, monkeypatch):
+    for name, value in (("FLUSH", 700), ("BUNDLES", 3), ("MERGE", 50)):
+        monkeypatch.setattr(collocations, name, value, raising=False)
+    assert sorted(tuple(r) for r in collocations.mine(docs, min_count=8, top=60).collect()) == brute_phrases(TEXTS, 8, 60)
+
+
 def test_phrase_scores_beyond_64_bits(spark):
     """Counts as of a very large corpus: 1000 * a * n passes 64 bits."""
     a, n, left, right = 3 * 10 ** 12, 10 ** 16 + 7, 5 * 10 ** 12, 4 * 10 ** 12
