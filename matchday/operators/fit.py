@@ -99,9 +99,14 @@ def fit_logistic(split: DataFrame, by: list[str], candidates: dict[str, tuple],
         active = [(i, m) for i, m in enumerate(models) if not m["done"]]
         if not active:
             break
-        results = {}
-        for start in range(0, len(active), MODELS_PER_PASS):
-            results.update(_pass(train, by, spark, info, active[start:start + MODELS_PER_PASS]))
+        # models of a group at equal weights, as all are at first, have equal sums: these are computed once
+        place = {i: (m["group"], m["trial"].tobytes()) for i, m in active}
+        once = list({place[i]: (i, m) for i, m in reversed(active)}.values())
+        sums = {}
+        for start in range(0, len(once), MODELS_PER_PASS):
+            sums.update(_pass(train, by, spark, info, once[start:start + MODELS_PER_PASS]))
+        sums = {place[i]: row for i, row in sums.items()}
+        results = {i: sums.get(place[i]) for i, _ in active}
         for i, m in active:
             row, u = results.get(i), m["used"]
             if row is None or not np.isfinite(row["loss"] if row["loss"] is not None else np.nan):
