@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from matchday.functions import expr
 from matchday.functions.domain import STATUSES
+from matchday.operators.integrity import repeated_keys
 
 GAME = ["league", "game_id"]
 
@@ -151,7 +152,7 @@ def constraint_violations(games: DataFrame, lines: DataFrame, imports: DataFrame
     import_rows = check(imports, F.col("game_id"), rule("line_count_positive", F.col("line_count") <= 0))
 
     def duplicated(df, keys, name, entity):
-        return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(F.lit(name).alias("rule"), entity.alias("entity"))
+        return repeated_keys(df, keys).select(F.lit(name).alias("rule"), entity.alias("entity"))
     unique_game = duplicated(games, GAME, "game_unique", F.col("game_id"))
     unique_line = duplicated(lines, [*GAME, "player_id", "category"], "line_unique", line_id)
 

@@ -143,6 +143,7 @@ LEAGUE_LIST = "(SELECT unnest(['NBA', 'NFL']) AS abbreviation)"
     "SELECT 'team_import_empty' AS rule, league AS key, 1::BIGINT AS rows FROM cat_team_imports WHERE league = 'NFL'"]))
 def _(t):
     stored(t, "games")
+    t.share("player_imports")  # four keys and references read it
     n = F.col("player_id").cast("bigint")
     players = t["players"].select("league", "player_id")
     dates = t["headers"].select("league", "import_date")
