@@ -21,7 +21,10 @@ DIGITS = r"^\d+\z"
 RULES = ("V1", "V2", "V3", "V4", "V5", "V6", "V7", "V8", "V9", "V10", "V11")
 
 
-def row_rules(df: DataFrame, rules: dict[str, object], detail) -> DataFrame:
+def row_rules(df: DataFrame, rules: dict[str, object], detail, only: str | None = None) -> DataFrame:
+    """Findings of every rule, or of ``only`` one: columns that no asked rule reads, and joins for them, are not planned."""
+    if only is not None:
+        return df.where(F.coalesce(rules[only], F.lit(False))).select(*REPORT, F.lit(only).alias("rule"), detail.alias("detail"))
     found = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules.items()]))
     return df.select(*REPORT, F.explode_outer(found).alias("rule"), detail.alias("detail")).where("rule is not null")
 
@@ -64,8 +67,8 @@ def game_rules(games: DataFrame, reports: DataFrame) -> DataFrame:
     return row_rules(rows, {"V2": mixed, "V3": time, "V4": identity, "V5": tied}, F.coalesce("game_id", F.lit("")))
 
 
-def key_rules(reports: DataFrame, games: DataFrame, players: DataFrame) -> DataFrame:
-    """V4 and V8 duplicates, V6 counts and V11 teams, from one aggregation over keys.
+def key_rules(reports: DataFrame, games: DataFrame, players: DataFrame, only: str | None = None) -> DataFrame:
+    """V4 and V8 duplicates, V6 counts and V11 teams, from one aggregation over keys; for ``only`` V4 or V8 at its own level.
 
     Reports, games and players become narrow rows of one set; grouping sets count them per player row key, per game and
     per report, with map-side combining, so each table is read once whatever the number of rules.
@@ -81,8 +84,13 @@ def key_rules(reports: DataFrame, games: DataFrame, players: DataFrame) -> DataF
             *[(F.col(c).cast("long") if report else F.lit(None).cast("long")).alias(c) for c in expected])
 
     headers = reports.select(*[F.col(k).alias(r) for k, r in zip(KEY, REPORT)], *expected)
-    everything = rows(headers, report=1).unionByName(rows(games, game=1)).unionByName(rows(players, player=1))
     line, game, scope = [*GAME, "player_id", "category"], GAME, REPORT
+    text = F.concat_ws("/", "game_id", "player_id", "category")
+    if only in ("V4", "V8"):  # duplicates need the rows of one table at one level
+        table, keys, detail = (games, game, F.coalesce("game_id", F.lit(""))) if only == "V4" else (players, line, text)
+        return table.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(
+            *REPORT, F.lit(only).alias("rule"), F.concat(F.lit("duplicate "), detail).alias("detail"))
+    everything = rows(headers, report=1).unionByName(rows(games, game=1)).unionByName(rows(players, player=1))
     counted = everything.groupingSets([line, game, scope], *line).agg(
         F.grouping_id().alias("level"), F.sum("report").alias("reports"), F.sum("game").alias("games"),
         F.sum("player").alias("players"), F.min("team_id").alias("low"), F.max("team_id").alias("high"),
@@ -92,7 +100,6 @@ def key_rules(reports: DataFrame, games: DataFrame, players: DataFrame) -> DataF
     differs = reduce(lambda x, y: x | y, [
         ~(F.col(f"min_{c}").eqNullSafe(F.col(n)) & F.col(f"max_{c}").eqNullSafe(F.col(n))) for c, n in stored.items()])
     finding = lambda bad, rule, detail: F.when(bad, F.struct(F.lit(rule).alias("rule"), detail.alias("detail")))
-    text = F.concat_ws("/", "game_id", "player_id", "category")
     one_sided = F.col("game_id").isNull() | F.col("low").isNull() | (F.col("low") == F.col("high"))
     found = F.array_compact(F.array(
         finding(is_game & (F.col("games") > 1), "V4", F.concat(F.lit("duplicate "), F.coalesce("game_id", F.lit("")))),
@@ -102,12 +109,15 @@ def key_rules(reports: DataFrame, games: DataFrame, players: DataFrame) -> DataF
     return counted.select(*REPORT, F.inline(found))
 
 
-def player_rules(players: DataFrame, games: DataFrame) -> DataFrame:
-    """V7-V10 on single rows; participants come from one equi-join with the distinct games."""
-    known = games.groupBy(*GAME).agg(F.max_by(F.struct("home_team_id", "away_team_id"), "starts_at_utc").alias("g"))
-    rows = players.join(known, GAME, "left").withColumn("entries", expr.typed_stats(F.col("stats_json")))
-    stranger = F.col("g").isNull() | ~F.coalesce(
-        F.col("team_id").isin(F.col("g.home_team_id"), F.col("g.away_team_id")), F.lit(False))
+def player_rules(players: DataFrame, games: DataFrame, only: str | None = None) -> DataFrame:
+    """V7-V10 on single rows; participants come from one equi-join with the distinct games, which V7 alone needs."""
+    rows, stranger = players, F.lit(False)
+    if only in (None, "V7"):
+        known = games.groupBy(*GAME).agg(F.max_by(F.struct("home_team_id", "away_team_id"), "starts_at_utc").alias("g"))
+        rows = players.join(known, GAME, "left")
+        stranger = F.col("g").isNull() | ~F.coalesce(
+            F.col("team_id").isin(F.col("g.home_team_id"), F.col("g.away_team_id")), F.lit(False))
+    rows = rows.withColumn("entries", expr.typed_stats(F.col("stats_json")))
     empty = reduce(lambda a, b: a | b, [F.coalesce(c, F.lit("")) == "" for c in ("game_id", "player_id", "category")])
     identity = empty | expr.blank(F.col("player_name"))
     dnp, status = F.col("did_not_play"), F.col("participation_status")
@@ -116,7 +126,7 @@ def player_rules(players: DataFrame, games: DataFrame) -> DataFrame:
         | ~status.isin("reported", "uncertain", "did_not_play") | ((status == "did_not_play") != (dnp == "true")))
     stats = ~F.coalesce(expr.strings_only(F.col("entries"), null_ok=False), F.lit(False))
     detail = F.concat_ws("/", "game_id", "player_id", "category")
-    return row_rules(rows, {"V7": stranger, "V8": identity, "V9": flags, "V10": stats}, detail)
+    return row_rules(rows, {"V7": stranger, "V8": identity, "V9": flags, "V10": stats}, detail, only)
 
 
 def export_violations(reports: DataFrame, games: DataFrame, players: DataFrame) -> DataFrame:
@@ -128,11 +138,11 @@ def by_rule(rule: str, reports: DataFrame, games: DataFrame, players: DataFrame)
     """Findings of one rule, planned without the passes that cannot produce it."""
     passes = {
         "V1": lambda: [report_rules(reports)],
-        "V4": lambda: [game_rules(games, reports), key_rules(reports, games, players)],
+        "V4": lambda: [game_rules(games, reports), key_rules(reports, games, players, "V4")],
         "V6": lambda: [key_rules(reports, games, players)],
-        "V8": lambda: [player_rules(players, games), key_rules(reports, games, players)],
+        "V8": lambda: [player_rules(players, games, "V8"), key_rules(reports, games, players, "V8")],
         "V11": lambda: [key_rules(reports, games, players)]}
     for name in ("V2", "V3", "V5"):
         passes[name] = lambda: [game_rules(games, reports)]
-    planned = passes.get(rule, lambda: [player_rules(players, games)])()
+    planned = passes.get(rule, lambda: [player_rules(players, games, rule)])()
     return reduce(DataFrame.unionByName, planned).where(F.col("rule") == rule)
